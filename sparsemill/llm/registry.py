@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from sparsemill.llm.bpe import op1_byte_bpe
 from sparsemill.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
 }
 
