@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 8 << 20):
     """Cut a batch into runs of rows of about most_bytes in one string column; whole rows always."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     if not len(sizes):
         return
     ends = np.cumsum(sizes, dtype=np.int64)

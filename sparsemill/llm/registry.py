@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from sparsemill.llm.bpe import op1_byte_bpe
+from sparsemill.llm.simhash import op4_simhash
 from sparsemill.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLES: dict[str, str] = {}
