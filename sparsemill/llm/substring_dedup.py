@@ -22,8 +22,6 @@ table gives an empty result; columns named like results are replaced, all others
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +32,7 @@ from sparsemill.llm.common import NULL_ID, U64, Words, as_bytes, bucket_cuts, co
 
 WINDOW = 20
 BASE = 5
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 64 << 20
 #: Bytes of the last level's entry for one window, and bytes a word at the least, for sizing only.
 _ENTRY, _WORD_BYTES = 28, 6
@@ -223,8 +221,8 @@ def remove_repeats(
         gone, kept = n.copy(), [b""] * docs.num_rows
         if c is not None:
             depth = np.zeros(len(c.words) + 1, dtype=np.int32)
-            np.add.at(depth, starts, 1)
-            np.add.at(depth, starts + window, -1)
+            depth += np.bincount(starts, minlength=len(depth)).astype(np.int32)
+            depth -= np.bincount(starts + window, minlength=len(depth)).astype(np.int32)
             keep = np.cumsum(depth[:-1]) == 0
             n = np.diff(c.words.first)
             total = np.concatenate(([0], np.cumsum(~keep)))
