@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sparsemill.llm.bpe import op1_byte_bpe
+from sparsemill.llm.mixing import OP9_SQL, op9_curriculum_mix
 from sparsemill.llm.simhash import op4_simhash
 from sparsemill.llm.substring_dedup import op2_substring_dedup
 
@@ -10,6 +11,9 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash": op4_simhash,
+    "op9_curriculum_mix": op9_curriculum_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_curriculum_mix": OP9_SQL,
+}
