@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparsemill.llm.bpe import op1_byte_bpe
 from sparsemill.llm.mixing import OP9_SQL, op9_curriculum_mix
+from sparsemill.llm.sharding import op10_kd_tree_shards
 from sparsemill.llm.simhash import op4_simhash
 from sparsemill.llm.substring_dedup import op2_substring_dedup
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash": op4_simhash,
     "op9_curriculum_mix": op9_curriculum_mix,
+    "op10_kd_tree_shards": op10_kd_tree_shards,
 }
 
 ORACLES: dict[str, str] = {
