@@ -7,15 +7,18 @@ from sparsemill.llm.mixing import OP9_SQL, op9_curriculum_mix
 from sparsemill.llm.sharding import op10_kd_tree_shards
 from sparsemill.llm.simhash import op4_simhash
 from sparsemill.llm.substring_dedup import op2_substring_dedup
+from sparsemill.llm.topk import OP5_SQL, op5_exact_top_k
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash": op4_simhash,
+    "op5_exact_top_k": op5_exact_top_k,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_kd_tree_shards": op10_kd_tree_shards,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_exact_top_k": OP5_SQL,
     "op9_curriculum_mix": OP9_SQL,
 }
