@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparsemill.llm.bpe import op1_byte_bpe
 from sparsemill.llm.mixing import OP9_SQL, op9_curriculum_mix
+from sparsemill.llm.ogg import op7_ogg_media
 from sparsemill.llm.sharding import op10_kd_tree_shards
 from sparsemill.llm.simhash import op4_simhash
 from sparsemill.llm.substring_dedup import op2_substring_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash": op4_simhash,
     "op5_exact_top_k": op5_exact_top_k,
+    "op7_ogg_media": op7_ogg_media,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_kd_tree_shards": op10_kd_tree_shards,
 }
