@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sparsemill.llm.bpe import op1_byte_bpe
+from sparsemill.llm.chat import OP8_SQL, op8_reply_trees
 from sparsemill.llm.mixing import OP9_SQL, op9_curriculum_mix
 from sparsemill.llm.ogg import op7_ogg_media
 from sparsemill.llm.sharding import op10_kd_tree_shards
@@ -16,11 +17,13 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_ogg_media": op7_ogg_media,
+    "op8_reply_trees": op8_reply_trees,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_kd_tree_shards": op10_kd_tree_shards,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
+    "op8_reply_trees": OP8_SQL,
     "op9_curriculum_mix": OP9_SQL,
 }
