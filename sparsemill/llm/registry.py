@@ -5,6 +5,7 @@ from __future__ import annotations
 from sparsemill.llm.bpe import op1_byte_bpe
 from sparsemill.llm.chat import OP8_SQL, op8_reply_trees
 from sparsemill.llm.langid import op6_language_id
+from sparsemill.llm.lm import op3_deleted_interpolation
 from sparsemill.llm.mixing import OP9_SQL, op9_curriculum_mix
 from sparsemill.llm.ogg import op7_ogg_media
 from sparsemill.llm.sharding import op10_kd_tree_shards
@@ -15,6 +16,7 @@ from sparsemill.llm.topk import OP5_SQL, op5_exact_top_k
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_simhash": op4_simhash,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_language_id": op6_language_id,
