@@ -1,15 +1,27 @@
-"""The corpus pipeline: documents in, token ids out, each stage one operator."""
+"""The corpus pipeline: documents in, token ids out; each stage applies one operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sparsemill.llm import stages
+from sparsemill.llm.common import load, materialise
+
+STAGES = [
+    ("language ID", stages.language),
+    ("SimHash near-dedup", stages.near_copies),
+    ("substring dedup", stages.repeats),
+    ("mixing to target weights", stages.mixture),
+    ("byte-level BPE", stages.tokens),
+]
+
+#: SimHash components and classifiers have no SQL form: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; what lies between two stages is a table in the shared folder."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
