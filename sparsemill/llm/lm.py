@@ -12,7 +12,8 @@ kind only: learned from, learned from but deleted for the weights, or only score
 ranges add up over chunks and answer with the corpus counts, in the order of the entries. Answers are a
 table in the shared folder. For the weights, chunks of deleted documents sum their tokens over
 cells (bucket, levels of the two ratios, eight to a power of two): a table of bounded size, whatever the
-corpus, from which the driver runs the iterations. Words and pairs are told apart by 64-bit hashes.
+corpus, from which the driver runs the iterations. Words are told apart by 64-bit hashes, pairs by the
+lower 48 bits and the range, which grows finer with the corpus.
 
 Defined results: null text is empty (one token, the end); null ids are scored and not learned from;
 repeated rows count as often as they occur; with nothing to learn from every word is unknown (N = V = 0);
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from sparsemill.llm.common import U64, Words, as_bytes, bucket_cuts, cores, doc_hash, free_name, free_shuffles, input_bytes, load, materialise, mix, parts_for
 
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
 #: One in FOLD training documents gives the held-out counts; kinds of chunks.
 FOLD = 8
 LEARN, DELETED, SCORED = 0, 1, 2
@@ -40,10 +41,23 @@ CONTEXTS, LEVELS, LOWEST, STEPS = 25, 8, 40, 60
 _END, _BEGIN = mix(np.array([3, 5], dtype=U64))
 _A, _B = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)
 WORDS, PAIRS = 0, 1
+KEY_BYTES = (8, 6)
 _SQL = "part long, kind int, chunk long, data binary"
 _ROWS = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary())])
 
 
+def _pack(keys: np.ndarray, width: int) -> bytes:
+    return keys.tobytes() if width == 8 else keys.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(data: bytes, n: int, width: int) -> np.ndarray:
+    if width == 8:
+        return np.frombuffer(data, U64, n)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width).reshape(n, width)
+    return out.reshape(-1).view(U64)
+
+
 class _Chunk:
     """Tokens of a chunk's texts, and its distinct words and pairs."""
 
@@ -75,7 +89,7 @@ def _ask(buckets: int, chunk_col: str, text_col: str):
             cuts = bucket_cuts(keys, buckets)
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 part = slice(cuts[b], cuts[b + 1])
-                data = keys[part].tobytes() + (b"" if chunk % 3 == SCORED else counts[part].astype(np.uint32).tobytes())
+                data = _pack(keys[part], KEY_BYTES[kind]) + (b"" if chunk % 3 == SCORED else counts[part].astype(np.uint32).tobytes())
                 rows.append((b * 2 + kind, kind, chunk, data))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
@@ -89,10 +103,12 @@ def _add_up(rows: pa.Table) -> pa.Table:
     """
     part, kind = rows["part"][0].as_py(), rows["kind"][0].as_py()
     chunks, blobs = rows["chunk"].to_pylist(), rows["data"].to_pylist()
-    number = [len(x) // (8 if c % 3 == SCORED else 12) for c, x in zip(chunks, blobs)]
-    keys = np.concatenate([np.frombuffer(x, U64, n) for x, n in zip(blobs, number)])
-    counts = np.concatenate([np.zeros(n, np.uint32) if c % 3 == SCORED else np.frombuffer(x, np.uint32, n, 8 * n) for c, x, n in zip(chunks, blobs, number)]).astype(np.int64)
-    lost = np.concatenate([counts[e - n : e] if c % 3 == DELETED else np.zeros(n, np.int64) for c, n, e in zip(chunks, number, np.cumsum(number).tolist())])
+    width = KEY_BYTES[kind]
+    number = [len(x) // (width if c % 3 == SCORED else width + 4) for c, x in zip(chunks, blobs)]
+    keys = np.concatenate([_unpack(x, n, width) for x, n in zip(blobs, number)])
+    counts = np.concatenate([np.zeros(n, np.uint32) if c % 3 == SCORED else np.frombuffer(x, np.uint32, n, width * n) for c, x, n in zip(chunks, blobs, number)])
+    del blobs
+    lost = np.concatenate([counts[e - n : e] if c % 3 == DELETED else np.zeros(n, np.uint32) for c, n, e in zip(chunks, number, np.cumsum(number).tolist())])
     order = np.argsort(keys)
     keys = keys[order]
     new = np.concatenate(([True], keys[1:] != keys[:-1]))
