@@ -1,4 +1,509 @@
-"""All queries of the sparse-matrix operators, and their SQL."""
+"""All queries of the sparse-matrix operators over the driver's tables, and their SQL."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparsemill.functions.costs import storage_cost
+from sparsemill.operators import analysis as an
+from sparsemill.operators import convert as cv
+from sparsemill.operators import partition as pt
+from sparsemill.operators import spmv as mv
+from sparsemill.plans import report
+from sparsemill.schema import Matrix
+from sparsemill.sources import matrix as src
+from sparsemill.sources import sinks
+
+WIDTH, DENSE, CAP, PARTS, SHARD_WIDTH = 32, 2, 20_000, 4, 16
+
+
+def _load(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def square(spark: SparkSession, d: str) -> Matrix:
+    """Order key modulo the number of parts x part key: quantity."""
+    n = _load(spark, d, "part").count()
+    coo = _load(spark, d, "lineitem").select((F.col("l_orderkey") % n).alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"))
+    return Matrix.from_df(coo, num_rows=n, num_cols=n, check=False)
+
+
+def wide(spark: SparkSession, d: str) -> Matrix:
+    """Supplier x part: quantity, with repeated cells."""
+    coo = _load(spark, d, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"))
+    return Matrix.from_df(coo, num_rows=_load(spark, d, "supplier").count(), num_cols=_load(spark, d, "part").count(), check=False)
+
+
+def tall(spark: SparkSession, d: str) -> Matrix:
+    """User x hour of day: events."""
+    coo = _load(spark, d, "events").select(F.col("user_id").alias("row"), F.hour("ts").alias("col"), F.lit(1.0).alias("val"))
+    rows = _load(spark, d, "events").agg(F.max("user_id")).first()[0] + 1
+    return Matrix.from_df(coo, num_rows=rows, num_cols=24, check=False)
+
+
+def sizes_vector(spark: SparkSession, d: str) -> DataFrame:
+    return _load(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("x"))
+
+
+def laid_out(spark: SparkSession, d: str, cap: int | None = CAP) -> Matrix:
+    return cv.to_hybrid(square(spark, d), block_width=WIDTH, threshold=DENSE, max_fallback=cap)
+
+
+def measurements(spark: SparkSession, d: str) -> DataFrame:
+    """Events as measurements of two methods at five noise levels."""
+    e = _load(spark, d, "events")
+    method = F.when(F.col("event_type") == "click", "baseline").when(F.col("event_type") == "view", "hybrid")
+    rows = e.select(((F.col("user_id") % 5) / 10.0).alias("noise_level"), F.expr("event_id div 100").alias("iteration"), F.col("value").alias("time_ms"), method.alias("method"), "event_id")
+    return rows.where("method is not null")
+
+
+def _shards(spark: SparkSession, d: str) -> tuple[Matrix, DataFrame, DataFrame, DataFrame]:
+    """The square matrix in parts, its parts' layouts, needed ranges and their owners."""
+    m = square(spark, d)
+    dealt = pt.partition_rows(cv.dedup(m.coo), m.num_rows, PARTS)
+    layout = pt.part_layout(dealt, m.num_rows, m.num_cols, PARTS, SHARD_WIDTH, DENSE)
+    needed = pt.needed_columns(dealt.where("col % 7 = 0"), layout.where("offset % 5 = 0"), m.num_rows, m.num_cols, PARTS, SHARD_WIDTH)
+    ranges = pt.data_ranges(needed)
+    return m, layout, ranges, pt.owner_ranges(ranges, m.num_cols, PARTS)
+
+
+# ---------------------------------------------------------------- queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+_U = 'e AS (SELECT l_orderkey % (SELECT count(*) FROM part) AS "row", l_partkey AS col, l_quantity AS val FROM lineitem), u AS (SELECT "row", col, sum(val) AS val FROM e GROUP BY 1, 2)'
+_N = "(SELECT count(*) FROM part)"
+_K = f"""{_U}, c AS (SELECT "row" // 32 AS block, col - "row" AS off, "row" % 32 AS lane, "row", col, val FROM u),
+g AS (SELECT block, off, count(*) AS n FROM c GROUP BY 1, 2),
+k AS (SELECT *, n >= 2 OR coalesce(sum(CASE WHEN n < 2 THEN n ELSE 0 END) OVER (ORDER BY block, off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 20000 AS kept FROM g)"""
+_M = """m AS (SELECT (user_id % 5) / 10.0::DOUBLE AS noise_level, event_id // 100 AS iteration, value AS time_ms, event_id,
+  CASE event_type WHEN 'click' THEN 'baseline' WHEN 'view' THEN 'hybrid' END AS method FROM events WHERE event_type IN ('click', 'view'))"""
+_P = f"""{_U}, b AS (SELECT {_N} AS n, {_N} // 4 AS r),
+p AS (SELECT least("row" // r, 3) AS part, "row", col, val, "row" - least("row" // r, 3) * r AS lr FROM u, b),
+l AS (SELECT part, lr // 16 AS block, col - "row" AS off, count(*) AS n, count(*) >= 2 AS kept FROM p GROUP BY 1, 2, 3)"""
+_R = f"""{_P}, need AS (
+  SELECT DISTINCT part, col FROM p WHERE col % 7 = 0 UNION
+  SELECT DISTINCT part, c AS col FROM (SELECT part, unnest(generate_series(part * r + block * 16 + off, least(part * r + block * 16 + 16, CASE WHEN part = 3 THEN b.n ELSE (part + 1) * r END) + off - 1)) AS c, b.n AS nn
+    FROM l, b WHERE kept AND off % 5 = 0) WHERE c >= 0 AND c < nn),
+isl AS (SELECT part, col, col - row_number() OVER (PARTITION BY part ORDER BY col) AS i FROM need),
+rg AS (SELECT part, min(col) AS range_start, max(col) + 1 AS range_end FROM isl GROUP BY part, i),
+ow AS (SELECT part, o AS owner, greatest(range_start, o * r) AS range_start, CASE WHEN o = 3 THEN range_end ELSE least(range_end, (o + 1) * r) END AS range_end
+  FROM (SELECT rg.*, r, unnest(generate_series(least(range_start // r, 3), least((range_end - 1) // r, 3))) AS o FROM rg, b)),
+hs AS (SELECT q.part, coalesce(sum(CASE WHEN owner < q.part THEN range_end - range_start END), 0)::BIGINT AS left_size,
+  coalesce(sum(CASE WHEN owner > q.part THEN range_end - range_start END), 0)::BIGINT AS right_size, coalesce(sum(range_end - range_start), 0)::BIGINT AS total_buffer_size
+  FROM (SELECT unnest(generate_series(0, 3)) AS part) q LEFT JOIN ow ON ow.part = q.part GROUP BY q.part)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"""WITH {_U} SELECT i.i AS idx, coalesce(sum(e.val * p.p_size), 0)::DOUBLE AS y
+FROM (SELECT unnest(generate_series(0, {_N} - 1)) AS i) i LEFT JOIN e ON e."row" = i.i LEFT JOIN part p ON p.p_partkey = e.col GROUP BY 1""")
+def spmv_coo(spark, d):
+    m = square(spark, d)
+    return mv.spmv_coo(m.coo, sizes_vector(spark, d), m.num_rows, size=m.num_cols)
+
+
+@query("SELECT max(l_suppkey) + 1 AS num_rows, max(l_partkey) + 1 AS num_cols, count(*) AS nnz FROM lineitem")
+def coo_dims_inferred(spark, d):
+    coo = wide(spark, d).coo
+    return coo.agg((F.max("row") + 1).alias("num_rows"), (F.max("col") + 1).alias("num_cols"), F.count("*").alias("nnz"))
+
+
+_STENCIL = """g AS (SELECT unnest(generate_series(0, 4095)) AS id), o AS (SELECT unnest(generate_series(-1, 1)) AS d),
+s AS (SELECT id AS "row", id + x.d + y.d * 16 + z.d * 256 AS col, (CASE abs(x.d) + abs(y.d) + abs(z.d) WHEN 0 THEN 2610 WHEN 1 THEN -110 WHEN 2 THEN -10 ELSE -1 END)::DOUBLE AS val
+  FROM g, o x, o y, o z WHERE id % 16 + x.d BETWEEN 0 AND 15 AND id // 16 % 16 + y.d BETWEEN 0 AND 15 AND id // 256 + z.d BETWEEN 0 AND 15)"""
+
+
+@query(f"WITH {_STENCIL} SELECT * FROM s")
+def stencil27(spark, d):
+    return src.stencil27(spark, 16, 16, 16, scale=1).coo
+
+
+@query()
+def stencil27_noise(spark, d):
+    return src.stencil27(spark, 16, 16, 16, noise=0.1, scale=1).coo
+
+
+@query(f'WITH {_STENCIL} SELECT "row" AS idx, sum(val * (col + 1)) AS y FROM s GROUP BY 1')
+def spmv_stencil_blocks(spark, d):
+    m = cv.to_hybrid(src.stencil27(spark, 16, 16, 16, scale=1), threshold=8, assume_unique=True)
+    return mv.spmv_hybrid(m.hybrid, src.ramp(spark, m.num_cols, 1).df, strategy="block")
+
+
+@query(f'WITH {_U} SELECT "row", count(*) AS nnz FROM e GROUP BY 1')
+def nnz_per_row(spark, d):
+    return cv.nnz_per_row(square(spark, d).coo)
+
+
+@query('SELECT l_suppkey AS "row", l_partkey AS col, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2')
+def coo_dedup_sum(spark, d):
+    return cv.dedup(wide(spark, d).coo)
+
+
+@query('SELECT l_suppkey AS "row", l_partkey AS col, max_by(l_quantity, l_orderkey * 10 + l_linenumber) AS val FROM lineitem WHERE l_suppkey * 1000000 + l_partkey NOT IN '
+       '(SELECT l_suppkey * 1000000 + l_partkey FROM lineitem GROUP BY l_suppkey, l_partkey, l_orderkey * 10 + l_linenumber HAVING count(*) > 1) GROUP BY 1, 2')
+def coo_dedup_last(spark, d):
+    li = _load(spark, d, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    tied = li.groupBy("row", "col", "seq").count().where("count > 1").select("row", "col").distinct()
+    return cv.dedup(li.join(tied, ["row", "col"], "left_anti"), "last")
+
+
+@query(f'WITH {_U} SELECT col - "row" AS "offset", count(*) AS n FROM e GROUP BY 1')
+def diag_offsets(spark, d):
+    return cv.diagonals(square(spark, d).coo)
+
+
+@query('WITH u AS (SELECT l_suppkey AS "row", l_partkey AS col, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2) SELECT col - "row" AS "offset", "row" AS pos, val FROM u WHERE "row" < (SELECT count(*) FROM supplier)')
+def dia_long(spark, d):
+    return cv.dia_long(wide(spark, d))
+
+
+@query('SELECT user_id AS "row", hour(ts)::BIGINT AS col, count(*)::DOUBLE AS val FROM events WHERE user_id < 24 GROUP BY 1, 2')
+def dia_round_trip(spark, d):
+    return cv.dia_to_coo(cv.to_dia(tall(spark, d)).dia)
+
+
+@query("WITH u AS (SELECT user_id AS r, hour(ts)::BIGINT AS c FROM events GROUP BY 1, 2) SELECT r // 8 AS block, c - r AS \"offset\", count(*) AS n FROM u WHERE r // 8 < 3 GROUP BY 1, 2")
+def block_offset_counts(spark, d):
+    m = tall(spark, d)
+    return cv.block_offset_counts(cv.dedup(m.coo), m.num_rows, m.num_cols, 8)
+
+
+@query(f'WITH {_K} SELECT block, off AS "offset", n FROM g WHERE n >= 2')
+def hybrid_kept_offsets(spark, d):
+    return laid_out(spark, d, None).hybrid.kept
+
+
+@query(f'WITH {_K} SELECT block, off AS "offset", n FROM k WHERE kept')
+def hybrid_cap(spark, d):
+    return laid_out(spark, d).hybrid.kept
+
+
+@query(f'WITH {_K} SELECT c.block, c.off AS "offset", c.lane, c."row", c.col, c.val FROM c JOIN k USING (block, off) WHERE kept')
+def hybrid_block_cells(spark, d):
+    return laid_out(spark, d).hybrid.cells
+
+
+@query(f'WITH {_K} SELECT c."row", c.col, c.val FROM c JOIN k USING (block, off) WHERE NOT kept')
+def hybrid_coo_fallback(spark, d):
+    return laid_out(spark, d).hybrid.fallback
+
+
+@query(f'WITH {_U} SELECT * FROM u')
+def hybrid_round_trip(spark, d):
+    return cv.hybrid_to_coo(laid_out(spark, d).hybrid)
+
+
+@query(f"""WITH {_K}, f AS (SELECT c."row", count(*) AS n FROM c JOIN k USING (block, off) WHERE NOT kept GROUP BY 1), s AS (SELECT unnest(generate_series(0, {_N})) AS r)
+SELECT r AS "row", coalesce(sum(n) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ptr FROM s LEFT JOIN f ON f."row" = r""")
+def fallback_row_ptr(spark, d):
+    m = laid_out(spark, d)
+    return cv.fallback_row_ptr(m.hybrid.fallback, m.num_rows)
+
+
+_SIZES = f"""s AS (SELECT b, count(k.block) AS size, coalesce(sum(k.n), 0) AS nnz FROM (SELECT unnest(generate_series(0, ({_N} + 31) // 32 - 1)) AS b) LEFT JOIN (SELECT * FROM k WHERE kept) k ON k.block = b GROUP BY b)"""
+
+
+@query(f"WITH {_K}, {_SIZES} SELECT size AS diagonal_count, count(*) AS blocks_with_diagonals, sum(nnz)::BIGINT AS nnz_in_blocks FROM s GROUP BY 1")
+def block_histogram(spark, d):
+    return cv.block_histogram(laid_out(spark, d).hybrid)
+
+
+@query(f"WITH {_K} SELECT count(DISTINCT off) AS num_diagonals FROM g")
+def num_diagonals(spark, d):
+    return cv.num_diagonals(laid_out(spark, d).hybrid.counts)
+
+
+@query(f"""WITH {_K}, {_SIZES}, t AS (SELECT b, size FROM s UNION ALL SELECT ({_N} + 31) // 32, 0)
+SELECT b AS block, coalesce(sum(size) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS block_start, size AS block_size FROM t""")
+def block_directory(spark, d):
+    m = laid_out(spark, d)
+    return cv.block_directory(m.hybrid.kept, m.hybrid.num_blocks)
+
+
+@query(f'WITH {_K} SELECT row_number() OVER (ORDER BY block, off) - 1 AS pos, block, off AS "offset" FROM k WHERE kept')
+def flattened_offsets(spark, d):
+    return cv.flattened_offsets(laid_out(spark, d).hybrid.kept)
+
+
+_Y = f'FROM (SELECT unnest(generate_series(0, {_N} - 1)) AS i) i LEFT JOIN {{}} ON t."row" = i.i LEFT JOIN part p ON p.p_partkey = t.col GROUP BY 1'
+
+
+@query(f"WITH {_U} SELECT i.i AS idx, coalesce(sum(t.val * p.p_size), 0)::DOUBLE AS y " + _Y.format("u t"))
+def spmv_hybrid(spark, d):
+    m = laid_out(spark, d)
+    return mv.spmv_hybrid(m.hybrid, sizes_vector(spark, d), size=m.num_cols)
+
+
+@query(f"WITH {_U} SELECT i.i AS idx, coalesce(sum(t.val * p.p_size), 0)::DOUBLE AS y " + _Y.format("u t"))
+def spmv_hybrid_block_form(spark, d):
+    return mv.spmv_hybrid(laid_out(spark, d).hybrid, sizes_vector(spark, d), strategy="block")
+
+
+@query(f"WITH {_K} SELECT i.i AS idx, coalesce(sum(t.val * p.p_size), 0)::DOUBLE AS y " + _Y.format("(SELECT c.* FROM c JOIN k USING (block, off) WHERE kept) t"))
+def spmv_blocks_only(spark, d):
+    m = laid_out(spark, d)
+    return mv.total(mv.block_products(m.hybrid, sizes_vector(spark, d)), m.num_rows)
+
+
+@query(f"WITH {_K} SELECT i.i AS idx, coalesce(sum(t.val * p.p_size), 0)::DOUBLE AS y " + _Y.format("(SELECT c.* FROM c JOIN k USING (block, off) WHERE NOT kept) t"))
+def spmv_coo_fallback(spark, d):
+    m = laid_out(spark, d)
+    return mv.spmv_coo(m.hybrid.fallback, sizes_vector(spark, d), m.num_rows, size=m.num_cols)
+
+
+@query("SELECT coalesce(a.i, b.i) AS idx, coalesce(a.x, 0) + coalesce(b.x, 0) AS x FROM (SELECT p_partkey AS i, p_size::DOUBLE AS x FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT l_partkey AS i, sum(l_quantity) AS x FROM lineitem GROUP BY 1) b ON a.i = b.i")
+def vector_add(spark, d):
+    sums = _load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("idx")).agg(F.sum("l_quantity").alias("x"))
+    return mv.vector_add(sizes_vector(spark, d).where("idx % 3 != 0"), sums)
+
+
+@query("""WITH b AS (SELECT p_size::DOUBLE AS x, CASE WHEN p_partkey % 10 = 0 THEN p_size + 1.0::DOUBLE ELSE p_size END AS y FROM part)
+SELECT count(*) AS n, max(abs(x - y)) AS max_abs_error, sum(x) AS sum_abs_a, sum(y) AS sum_abs_b, sum(CASE WHEN x <> y THEN 1 ELSE 0 END)::BIGINT AS mismatches, round(abs(sum(x) - sum(y)) / sum(x), 9) AS relative_error FROM b""")
+def compare_vectors(spark, d):
+    x = sizes_vector(spark, d)
+    out = mv.compare_vectors(x, x.select("idx", F.when(F.col("idx") % 10 == 0, F.col("x") + 1).otherwise(F.col("x")).alias("x")))
+    return out.withColumn("relative_error", F.round("relative_error", 9))
+
+
+@query(f"""WITH {_P}, w AS (SELECT q.part, count(p.part) AS local_nnz FROM (SELECT unnest(generate_series(0, 3)) AS part) q LEFT JOIN (SELECT least("row" // r, 3) AS part FROM e, b) p ON p.part = q.part GROUP BY 1)
+SELECT part, n AS global_rows, n AS global_cols, (SELECT count(*) FROM e) AS global_nnz, CASE WHEN part = 3 THEN n - 3 * r ELSE r END AS local_rows, n AS local_cols, local_nnz FROM w, b""")
+def row_partition_stats(spark, d):
+    m = square(spark, d)
+    return pt.row_partition_stats(m.coo, m.num_rows, m.num_cols, PARTS)
+
+
+@query(f"WITH b AS (SELECT {_N} // 7 AS r) SELECT least(p_partkey // r, 6) AS part, p_partkey - least(p_partkey // r, 6) * r AS pos, p_partkey AS idx, p_size::DOUBLE AS x FROM part, b")
+def vector_partition(spark, d):
+    x = sizes_vector(spark, d)
+    return pt.partition_vector(x, x.count(), 7)
+
+
+@query('SELECT p_partkey AS idx, p_size::DOUBLE AS x FROM part')
+def gather_vector(spark, d):
+    x = sizes_vector(spark, d)
+    return pt.gather(pt.partition_vector(x, x.count(), 7))
+
+
+@query(f'WITH {_P} SELECT part, block, off AS "offset", n, kept FROM l')
+def distributed_layout(spark, d):
+    return _shards(spark, d)[1]
+
+
+@query(f"WITH {_R} SELECT * FROM rg")
+def data_ranges(spark, d):
+    return _shards(spark, d)[2]
+
+
+@query(f"WITH {_R} SELECT * FROM ow")
+def owner_ranges(spark, d):
+    return _shards(spark, d)[3]
+
+
+@query(f"WITH {_R} SELECT * FROM hs")
+def halo_sizes(spark, d):
+    return pt.halo_sizes(_shards(spark, d)[3], spark, PARTS)
+
+
+@query(f"""WITH {_R}, f AS (SELECT ow.*, coalesce(sum(range_end - range_start) OVER (PARTITION BY part, owner > part ORDER BY owner, range_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM ow WHERE owner <> part),
+q AS (SELECT l.part, block, off, part * r + block * 16 + off AS i, part * r AS s, CASE WHEN part = 3 THEN b.n ELSE (part + 1) * r END AS t, left_size FROM l JOIN hs USING (part), b WHERE kept)
+SELECT q.part, block, off AS "offset", (CASE WHEN i >= s AND i < t THEN left_size + i - s WHEN i < 0 THEN i
+  ELSE coalesce(bef + (CASE WHEN owner > q.part THEN left_size + t - s ELSE 0 END) + i - range_start, -2147483648) END)::BIGINT AS position
+FROM q LEFT JOIN f ON f.part = q.part AND i >= range_start AND i < range_end""")
+def vector_offsets(spark, d):
+    m, layout, _, owned = _shards(spark, d)
+    return pt.vector_offsets(layout, owned, m.num_rows, PARTS, SHARD_WIDTH)
+
+
+@query(f"WITH {_P} SELECT DISTINCT p.part, least(col // r, 3) AS owner, col AS idx, p_size::DOUBLE AS x FROM p, b, part WHERE p_partkey = col AND least(col // r, 3) <> p.part")
+def halo_exchange(spark, d):
+    m = square(spark, d)
+    return pt.halo(sizes_vector(spark, d), pt.partition_rows(m.coo, m.num_rows, PARTS), m.num_cols, PARTS)
+
+
+@query(f"WITH {_P} SELECT part, count(DISTINCT col) AS elements, 0::BIGINT AS wrong FROM p, b WHERE least(col // r, 3) <> part GROUP BY 1")
+def verify_halo(spark, d):
+    m = square(spark, d)
+    return pt.verify_halo(pt.halo(src.ramp(spark, m.num_cols).df, pt.partition_rows(m.coo, m.num_rows, PARTS), m.num_cols, PARTS))
+
+
+@query(f"WITH {_U} SELECT i.i AS idx, coalesce(sum(t.val * p.p_size), 0)::DOUBLE AS y " + _Y.format("u t"))
+def distributed_spmv(spark, d):
+    from sparsemill.schema import Vector
+
+    m = square(spark, d)
+    return pt.distributed_spmv(m, Vector(sizes_vector(spark, d), m.num_cols), PARTS)
+
+
+@query(f"""WITH {_K}, t AS (SELECT (SELECT count(*) FROM u) AS nnz, (SELECT count(DISTINCT off) FROM g) AS dg, ({_N} + 31) // 32 AS nb, (SELECT count(*) FROM k WHERE kept) AS kk,
+  (SELECT coalesce(sum(n), 0)::BIGINT FROM k WHERE NOT kept) AS q, {_N} AS n, (SELECT sum(m)::BIGINT FROM (SELECT max(c) AS m FROM (SELECT "row", count(*) AS c FROM u GROUP BY 1) GROUP BY "row" // 32)) AS sl),
+c2 AS (SELECT nnz, dg AS num_diagonals, nb AS num_blocks, kk * 32 AS stored_cells, q AS fallback_entries, kk * 256 + 4 * (nb + 1) + 4 * kk + 16 * q AS hybrid_cost_bytes, 16 * nnz AS coo_cost_bytes,
+  dg * (8 * n + 4) AS dia_cost_bytes, sl * 384 + 4 * ((n + 31) // 32) AS sell_cost_bytes, 12 * nnz + 4 * (n + 1) AS csr_cost_bytes FROM t)
+SELECT *, hybrid_cost_bytes / coo_cost_bytes AS hybrid_vs_coo, dia_cost_bytes / coo_cost_bytes AS dia_vs_coo, csr_cost_bytes / coo_cost_bytes AS csr_vs_coo, sell_cost_bytes / coo_cost_bytes AS sell_vs_coo FROM c2""")
+def storage_costs(spark, d):
+    return storage_cost(laid_out(spark, d))
+
+
+@query(f'WITH {_U} SELECT "row", col, val FROM u ORDER BY 1, 2 LIMIT 10')
+def coo_head(spark, d):
+    return report.coo_head(cv.dedup(square(spark, d).coo))
+
+
+@query(f"WITH {_U} SELECT {_N} * {_N} AS cells, count(*) AS nnz, round(count(*) * 100.0::DOUBLE / ({_N} * {_N}), 9) AS density_percent FROM u WHERE val <> 0")
+def density(spark, d):
+    out = report.density(square(spark, d))
+    return out.withColumn("density_percent", F.round("density_percent", 9))
+
+
+@query('SELECT user_id AS "row", hour(ts)::BIGINT AS col, count(*)::DOUBLE AS val FROM events GROUP BY 1, 2')
+def mtx_round_trip(spark, d):
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    path = f"{base}/mtx-{uuid.uuid4().hex[:12]}"
+    m = tall(spark, d)
+    sinks.save_mtx(Matrix(m.num_rows, m.num_cols, cv.dedup(m.coo)), path)
+    return src.read_mtx(spark, path).coo
+
+
+@query('SELECT vec_id AS "row", count(*) AS nnz FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) WHERE v <> 0 GROUP BY 1')
+def dense_to_triples(spark, d):
+    return cv.nnz_per_row(src.from_dense(_load(spark, d, "embeddings"), "vec_id", "embedding").coo)
+
+
+# -- measurements
+
+
+@query("SELECT event_id, (user_id % 5 / 10.0)::DOUBLE AS noise_level FROM events")
+def regex_extract(spark, d):
+    e = _load(spark, d, "events")
+    folder = F.format_string("grid_8_8_8_%.6f_%s", (F.col("user_id") % 5) / 10.0, sinks.stamp(F.col("ts")))
+    return e.select("event_id", src.folder_noise(folder).alias("noise_level"))
+
+
+@query(f"WITH {_M} SELECT noise_level, iteration, time_ms, method, event_id FROM m")
+def measurements_union(spark, d):
+    m = measurements(spark, d)
+    return an.measurements_union([m.where("method = 'baseline'"), m.where("method = 'hybrid'")])
+
+
+@query(f"WITH {_M} SELECT event_id FROM m WHERE iteration > 0 AND method = 'hybrid' AND noise_level = 0.2")
+def warmup_filter(spark, d):
+    return an.without_warmup(measurements(spark, d)).where("method = 'hybrid' and noise_level = 0.2D").select("event_id")
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(f"WITH {_M} SELECT noise_level, method, count(*) AS count, round(avg(time_ms), 6) AS mean, round(stddev_samp(time_ms), 6) AS std, min(time_ms) AS min, max(time_ms) AS max FROM m GROUP BY 1, 2")
+def runtime_summary(spark, d):
+    return _rounded(an.runtime_summary(measurements(spark, d), "noise_level", "method"), "mean", "std")
+
+
+@query(f"WITH {_M} SELECT method, round(avg(time_ms), 6) AS mean, round(stddev_pop(time_ms), 6) AS std, min(time_ms) AS min, max(time_ms) AS max FROM m GROUP BY 1")
+def print_stats(spark, d):
+    return _rounded(an.print_stats(measurements(spark, d), "method"), "mean", "std")
+
+
+_CMP = f"""{_M}, b AS (SELECT noise_level, avg(time_ms) AS x FROM m WHERE method = 'baseline' AND noise_level > 0.05 GROUP BY 1), h AS (SELECT noise_level, avg(time_ms) AS y FROM m WHERE method = 'hybrid' AND noise_level < 0.35 GROUP BY 1),
+j AS (SELECT coalesce(b.noise_level, h.noise_level) AS noise_level, x, y FROM b FULL JOIN h ON b.noise_level = h.noise_level)"""
+
+
+def _comparison(spark, d):
+    m = measurements(spark, d)
+    return an.runtime_comparison(m.where("method = 'baseline' and noise_level > 0.05"), m.where("method = 'hybrid' and noise_level < 0.35"))
+
+
+@query(f"WITH {_CMP} SELECT noise_level, round(x, 6) AS baseline_mean_ms, round(y, 6) AS hybrid_mean_ms, round(x / y, 6) AS speedup, round((x - y) / x * 100, 6) AS hybrid_faster_by_percent FROM j")
+def runtime_comparison(spark, d):
+    return _rounded(_comparison(spark, d), "baseline_mean_ms", "hybrid_mean_ms", "speedup", "hybrid_faster_by_percent")
+
+
+@query(f"WITH {_CMP} SELECT round(avg(x / y), 6) AS avg_speedup, round(max(x / y), 6) AS max_speedup, round(min(x / y), 6) AS min_speedup FROM j")
+def speedup_extremes(spark, d):
+    return _rounded(an.speedup_extremes(_comparison(spark, d)), "avg_speedup", "max_speedup", "min_speedup")
+
+
+@query(f"WITH {_M} SELECT noise_level, count(*) AS n, round(avg(time_ms), 6) AS mean, round(quantile_cont(time_ms, 0.25), 6) AS p25, round(quantile_cont(time_ms, 0.5), 6) AS median, round(quantile_cont(time_ms, 0.75), 6) AS p75 FROM m GROUP BY 1")
+def storage_quartiles(spark, d):
+    return _rounded(an.quartiles(measurements(spark, d), "time_ms", "noise_level"), "mean", "p25", "median", "p75")
+
+
+@query("SELECT l_linenumber AS noise, min_by(t, cost * 1000 + t) AS threshold, min(cost) AS cost FROM (SELECT l_linenumber, round(l_tax * 100)::INTEGER AS t, sum(l_quantity)::BIGINT AS cost FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def best_threshold(spark, d):
+    costs = _load(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("noise"), F.round(F.col("l_tax") * 100).cast("int").alias("threshold")).agg(F.sum("l_quantity").cast("long").alias("cost"))
+    return an.best_threshold(costs)
+
+
+@query("SELECT o_orderkey, (o_orderkey * 16) AS coo_cost_bytes, o_orderkey * 16 / 1048576 AS coo_storage_mb FROM orders")
+def bytes_to_megabytes(spark, d):
+    return an.to_megabytes(_load(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 16).alias("coo_cost_bytes")))
+
+
+@query("SELECT event_id, CASE user_id % 6 WHEN 0 THEN '0%' WHEN 1 THEN '0.01%' WHEN 2 THEN '0.1%' WHEN 3 THEN '1%' WHEN 4 THEN '50%' ELSE '300%' END AS label FROM events")
+def percent_labels(spark, d):
+    k = F.col("user_id") % 6
+    noise = F.when(k == 0, 0.0).when(k == 1, 0.0001).when(k == 2, 0.001).when(k == 3, 0.01).when(k == 4, 0.5).otherwise(3.0)
+    return _load(spark, d, "events").select("event_id", an.percent_label(noise).alias("label"))
+
+
+_SUMS = f"""{_M}, s AS (SELECT noise_level, count(*) FILTER (method = 'baseline') AS n0, avg(time_ms) FILTER (method = 'baseline') AS m0, var_samp(time_ms) FILTER (method = 'baseline') AS v0,
+  count(*) FILTER (method = 'hybrid') AS n1, avg(time_ms) FILTER (method = 'hybrid') AS m1, var_samp(time_ms) FILTER (method = 'hybrid') AS v1 FROM m GROUP BY 1)"""
+
+
+@query(f"""WITH {_SUMS}, c AS (SELECT noise_level, (m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)) AS d FROM s)
+SELECT noise_level, round(d, 6) AS cohens_d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect_size FROM c""")
+def cohens_d(spark, d):
+    return _rounded(an.cohens_d(measurements(spark, d), "baseline", "hybrid", "noise_level"), "cohens_d")
+
+
+@query(f"""WITH {_SUMS} SELECT noise_level, round(m0 / m1, 6) AS speedup, round(m0 / m1 - 1.959963984540054 * sqrt(v0 / (n0 * m1 ** 2) + m0 ** 2 * v1 / (n1 * m1 ** 4)), 6) AS ci_low,
+  round(m0 / m1 + 1.959963984540054 * sqrt(v0 / (n0 * m1 ** 2) + m0 ** 2 * v1 / (n1 * m1 ** 4)), 6) AS ci_high FROM s""")
+def speedup_ci(spark, d):
+    return _rounded(an.speedup_ci(measurements(spark, d), "baseline", "hybrid", "noise_level"), "speedup", "ci_low", "ci_high")
+
+
+@query(f"WITH {_M} SELECT round(avg(time_ms) FILTER (method = 'baseline') / avg(time_ms) FILTER (method = 'hybrid'), 6) AS speedup FROM m WHERE iteration > 0")
+def mean_speedup(spark, d):
+    return _rounded(an.mean_speedup(measurements(spark, d), "baseline", "hybrid"), "speedup")
+
+
+@query()
+def parametric_ci(spark, d):
+    return an.parametric_ci(measurements(spark, d), "noise_level", "method", normal_from=30)
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return an.bootstrap_ci(measurements(spark, d), "noise_level", "method", resamples=1000)
+
+
+@query()
+def bootstrap_speedup_ci(spark, d):
+    return an.bootstrap_speedup_ci(measurements(spark, d), "baseline", "hybrid", "noise_level", resamples=1000)
+
+
+@query()
+def normality(spark, d):
+    return an.normality(measurements(spark, d), "noise_level", "method")
+
+
+@query()
+def location_measure(spark, d):
+    return an.location_measure(an.normality(measurements(spark, d), "noise_level", "method"))
+
+
+@query()
+def compare_methods(spark, d):
+    return an.compare_methods(measurements(spark, d), "baseline", "hybrid", "noise_level")
