@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparsemill.llm.common import as_bytes, load, mix, slices
+from sparsemill.llm.common import bounded_batches, load, mix, slices
 
 NONE = np.int32((1 << 31) - 1)  # the rank of a pair that never merges
 #: Longest piece (bytes) that shares a matrix with others, cells of a matrix, and remembered pieces.
-SHARED_WIDTH, CELLS, REMEMBERED = 256, 1 << 20, 150_000
+SHARED_WIDTH, CELLS, REMEMBERED = 256, 1 << 18, 150_000
 
 
 class PairTable:
@@ -202,10 +202,12 @@ def _schema(df: DataFrame, new: dict[str, T.DataType]) -> T.StructType:
 def encode(df: DataFrame, *, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
     """df with the packed token ids of text_col and their number."""
 
+    bounded_batches(df.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary, pattern)
         for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 ids = t.encode_batch(part.column(text_col).to_pylist())
                 yield _with(part, {count_col: pa.array([len(x) // 4 for x in ids], pa.int64()), ids_col: pa.array(ids, pa.binary())})
 
@@ -215,10 +217,12 @@ def encode(df: DataFrame, *, vocabulary: str, pattern: str, text_col: str = "tex
 def decode(df: DataFrame, *, vocabulary: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """df with the bytes that the packed ids stand for."""
 
+    bounded_batches(df.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary, pattern)
         for batch in batches:
-            for part in slices(batch, ids_col, 4 << 20):
+            for part in slices(batch, ids_col, 1 << 20):
                 yield _with(part, {bytes_col: pa.array(t.decode_batch(part.column(ids_col).to_pylist()), pa.binary())})
 
     return df.mapInArrow(work, _schema(df, {bytes_col: T.BinaryType()}))

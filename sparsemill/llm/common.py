@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import inspect
 import math
 import tempfile
 import uuid
@@ -52,6 +54,35 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of an Arrow batch between the JVM and Python, at most: bounds what long texts take in both.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches to BATCH_BYTES, if it is larger; it stays so afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).rstrip("bB")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def lean(work):
+    """A group function that hands freed memory back to the system: workers live on between stages."""
+    if len(inspect.signature(work).parameters) == 2:
+        return lambda left, right: trim(work(left, right))
+    return lambda rows: trim(work(rows))
+
+
+def trim(result=None):
+    """Return unused memory of this Python process to the system; gives its argument back."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its own habits
+        pass
+    return result
+
+
 def input_bytes(df: DataFrame, text_col: str) -> int:
     """Estimated bytes of df from the optimiser's statistics; counted where it has none."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -86,7 +117,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 2 << 20):
     """Cut a batch into runs of rows of about most_bytes in one string column; whole rows always."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     if not len(sizes):
@@ -98,6 +129,7 @@ def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 8 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    trim()
 
 
 # ---------------------------------------------------------------- vectorised words and hashes

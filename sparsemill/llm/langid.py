@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparsemill.llm.common import doc_hash, load, slices
+from sparsemill.llm.common import bounded_batches, doc_hash, load, slices, trim
 
 BITS, GRAMS = 15, 3
 PLACES = 1 << BITS
@@ -134,6 +134,7 @@ def fit(langs: list[str], idf: np.ndarray, places: list[np.ndarray], counts: lis
 
 def _document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """How many documents have each place, over all of docs; and the number of documents."""
+    bounded_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(PLACES, dtype=np.int64), 0
@@ -142,6 +143,7 @@ def _document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, i
                 if has_letter(text):
                     df[feature_counts(text)[0]] += 1
                     n += 1
+            trim()
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*df[at].tolist(), n], pa.int64())], names=["place", "n"])
 
@@ -181,6 +183,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 def identify(df: DataFrame, model: Model, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", keep_text: bool = True) -> DataFrame:
     """df with the predicted language and its calibrated probability."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in df.columns if c.lower() not in (lang_out, score_out) and (keep_text or c != text_col)]
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparsemill.llm.common import U64, Words, as_bytes, bucket_cuts, cores, doc_hash, free_name, free_shuffles, input_bytes, load, materialise, mix, parts_for
+from sparsemill.llm.common import U64, Words, as_bytes, bounded_batches, bucket_cuts, cores, doc_hash, free_name, free_shuffles, input_bytes, lean, load, materialise, mix, parts_for
 
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
 #: One in FOLD training documents gives the held-out counts; kinds of chunks.
@@ -197,6 +197,7 @@ def score(
 ) -> DataFrame:
     """df with n_tokens, n_known, train_tokens, base_score and score; learn marks the rows to learn from."""
     results = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
+    bounded_batches(df.sparkSession)
     spark, size = df.sparkSession, input_bytes(df, text_col)
     df = df.select(*(c for c in df.columns if c.lower() not in results or c in (id_col, text_col)))
     chunks, buckets = parts_for(size, chunk_bytes, cores(spark)), parts_for(size * 2, bucket_bytes, cores(spark))
@@ -205,8 +206,8 @@ def score(
     kind = F.when(~F.coalesce(learn, F.lit(False)), SCORED).when(F.pmod(F.xxhash64(h, F.lit("fold")), F.lit(FOLD)) == 0, DELETED).otherwise(LEARN)
     dealt = df.withColumn(chunk_col, (F.pmod(h, F.lit(chunks)) * 3 + kind).cast("long"))
     slim = dealt.select(text_col, chunk_col)
-    asked = slim.groupBy(chunk_col).applyInArrow(_ask(buckets, chunk_col, text_col), _SQL)
-    answers = materialise(asked.groupBy("part").applyInArrow(_add_up, _SQL), "counts")
+    asked = slim.groupBy(chunk_col).applyInArrow(lean(_ask(buckets, chunk_col, text_col)), _SQL)
+    answers = materialise(asked.groupBy("part").applyInArrow(lean(_add_up), _SQL), "counts")
     del asked
     free_shuffles(spark)
     sums = F.split(F.col("data").cast("string"), ",")
@@ -214,7 +215,7 @@ def score(
     tokens, distinct, rest = (x or 0 for x in stats.first())
     answers = answers.where("chunk >= 0")
     deleted = slim.where(F.col(chunk_col) % 3 == DELETED).groupBy(chunk_col)
-    seen = deleted.cogroup(answers.where(f"chunk % 3 = {DELETED}").groupBy("chunk")).applyInArrow(_cells(chunk_col, text_col, rest), "cell long, n long")
+    seen = deleted.cogroup(answers.where(f"chunk % 3 = {DELETED}").groupBy("chunk")).applyInArrow(lean(_cells(chunk_col, text_col, rest)), "cell long, n long")
     table = seen.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     weights = learn_weights(table["cell"].to_numpy(), table["n"].to_numpy().astype(np.float64), distinct)
     del seen, table
@@ -238,7 +239,7 @@ def score(
         return pa.Table.from_arrays([*(docs[k] for k in carried), *n], names=[*carried, *results])
 
     schema = T.StructType([*(fields[c] for c in carried), *(T.StructField(k, t) for k, t in results.items())])
-    return dealt.groupBy(chunk_col).cogroup(answers.groupBy("chunk")).applyInArrow(work, schema)
+    return dealt.groupBy(chunk_col).cogroup(answers.groupBy("chunk")).applyInArrow(lean(work), schema)
 
 
 def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

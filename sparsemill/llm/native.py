@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparsemill.llm.common import WORD, free_name
 
 #: Rows that one group of a running sum sorts together.
-RUN_ROWS = 4096
+RUN_ROWS = 512
 
 
 def word_count(text: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparsemill.llm.common import as_bytes, load, slices
+from sparsemill.llm.common import as_bytes, bounded_batches, load, slices
 
 FRAME, RATE = 576, 8000
 SAMPLES, NOTES = 1, 2  # serial numbers
@@ -168,6 +168,7 @@ def _batch(part: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
 
 def store(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """df with media: text_col's UTF-8 bytes, padded, as an Ogg file."""
+    bounded_batches(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

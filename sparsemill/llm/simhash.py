@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparsemill.llm.common import NULL_ID, as_bytes, cores, load, materialise, parts_for, slices
+from sparsemill.llm.common import NULL_ID, as_bytes, bounded_batches, cores, lean, load, materialise, parts_for, slices
 
 SHINGLE, SEED, MOST = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, bits)
@@ -70,11 +70,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def add_fingerprint(df: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, out_col: str = "_fp") -> DataFrame:
     """df without text_col, with its fingerprint as a signed 64-bit integer."""
+    bounded_batches(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [c for c in batch.schema.names if c != text_col]
-            for part in slices(batch, text_col) if batch.num_rows else [batch]:
+            for part in slices(batch, text_col):
                 fps = np.array([fingerprint(t, shingle) for t in as_bytes(part.column(text_col))], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(fps)], names=[*keep, out_col])
 
@@ -235,7 +236,7 @@ def links(classes: DataFrame, fp_col: str, n: int, *, most: int = MOST) -> DataF
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     asked = classes.select(F.col(fp_col)).mapInArrow(spread, "bucket long, data binary")
-    return asked.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return asked.groupBy("bucket").applyInArrow(lean(meet), "a long, b long")
 
 
 # ---------------------------------------------------------------- connected components

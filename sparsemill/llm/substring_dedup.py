@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparsemill.llm.common import NULL_ID, U64, Words, as_bytes, bucket_cuts, cores, free_name, input_bytes, load, mix, parts_for, with_chunk
+from sparsemill.llm.common import NULL_ID, U64, Words, as_bytes, bounded_batches, bucket_cuts, cores, free_name, input_bytes, lean, load, mix, parts_for, with_chunk
 
 WINDOW = 20
 BASE = 5
@@ -204,6 +204,7 @@ def remove_repeats(
     chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, kept_col: str = "kept_text",
 ) -> DataFrame:
     """df with n_words, n_removed and the kept words joined by one space in kept_col."""
+    bounded_batches(df.sparkSession)
     steps, size = levels(window, base), input_bytes(df, text_col)
     chunks = parts_for(size, chunk_bytes, 2 * cores(df.sparkSession))
     buckets = parts_for(size // _WORD_BYTES * _ENTRY, bucket_bytes, cores(df.sparkSession))
@@ -234,11 +235,11 @@ def remove_repeats(
         return docs
 
     args = (id_col, text_col, chunk_col, buckets)
-    asked = dealt.groupBy(chunk_col).applyInArrow(_step(0, steps, *args), _ROWS_SQL)
+    asked = dealt.groupBy(chunk_col).applyInArrow(lean(_step(0, steps, *args)), _ROWS_SQL)
     for level in range(1, len(steps) + 1):
-        answers = asked.groupBy("bucket").applyInArrow(_answer(level == len(steps)), _ROWS_SQL)
+        answers = asked.groupBy("bucket").applyInArrow(lean(_answer(level == len(steps))), _ROWS_SQL)
         work, schema = (_step(level, steps, *args), _ROWS_SQL) if level < len(steps) else (_step(level, steps, *args, finish), out_schema)
-        asked = dealt.groupBy(chunk_col).cogroup(answers.groupBy("chunk")).applyInArrow(work, schema)
+        asked = dealt.groupBy(chunk_col).cogroup(answers.groupBy("chunk")).applyInArrow(lean(work), schema)
     return asked
 
 
