@@ -48,20 +48,20 @@ def best_paths(nodes: DataFrame, *, per_tree: int = 1) -> DataFrame:
     known = nodes.select(F.col("tree"), F.col("node").alias("parent"))
     # a parent that is not there makes a root
     rooted = nodes.join(known.withColumn("_there", F.lit(True)), ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), F.col("score").cast("double").alias("sum"))
-    now = materialise(rooted.withColumn("length", F.lit(1).cast("long")), "jumps")
-    rounds, left = [], now.where("up is not null").count()
-    while left:
-        rounds.append(now.select("tree", "node", "up").where("up is not null"))
-        far = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("length").alias("_length"))
-        joined = now.join(far, ["tree", "up"], "left")
-        now = materialise(
-            joined.select("tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"), (F.col("length") + F.coalesce("_length", F.lit(0))).alias("length")), "jumps"
-        )
-        before, left = left, now.where("up is not null").count()
-        if before == left and 2 ** len(rounds) > max(1, nodes.count()):
-            break  # what is left goes round in circles
+    # nodes that have reached a root leave the joins: each round joins only those that have not
+    every = materialise(rooted.withColumn("length", F.lit(1).cast("long")), "jumps")
+    done, active = every.where("up is null"), every.where("up is not null")
+    rounds, left, most = [], active.count(), max(1, every.count())
+    while left and 2 ** len(rounds) <= most:  # beyond that, what is left goes round in circles
+        rounds.append(active.select("tree", "node", "up"))
+        far = done.unionByName(active).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("length").alias("_length"))
+        joined = active.join(far, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"), (F.col("length") + F.col("_length")).alias("length"))
+        moved = materialise(joined, "jumps")
+        done, active = done.unionByName(moved.where("up is null")), moved.where("up is not null")
+        left = active.count()
+    now = done
     parents = rooted.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = now.where("up is null").join(parents, ["tree", "node"], "left_anti")
+    leaves = now.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("sum").desc(), F.col("length").desc(), "node")
     chosen = leaves.withColumn("path", F.row_number().over(order)).where(F.col("path") <= per_tree)
     # depth of a node is its length: the number of nodes from its root
