@@ -10,7 +10,7 @@ from sparsemill.llm.mixing import OP9_SQL, op9_curriculum_mix
 from sparsemill.llm.ogg import op7_ogg_media
 from sparsemill.llm.sharding import op10_kd_tree_shards
 from sparsemill.llm.simhash import op4_simhash
-from sparsemill.llm.substring_dedup import op2_substring_dedup
+from sparsemill.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from sparsemill.llm.topk import OP5_SQL, op5_exact_top_k
 
 QUERIES = {
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
     "op5_exact_top_k": OP5_SQL,
     "op8_reply_trees": OP8_SQL,
     "op9_curriculum_mix": OP9_SQL,

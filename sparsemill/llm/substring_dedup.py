@@ -249,3 +249,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(docs)
     digest: Column = F.sha2(F.col("kept_text").cast("binary"), 256)
     return done.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w)::BIGINT - 19)) AS s FROM d WHERE len(w) >= 20),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) AS n FROM p),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS pos FROM r WHERE n > 1),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w)::BIGINT)) AS pos FROM d),
+g AS (SELECT x.doc_id, count(*) AS n_words, count(c.pos) AS n_removed, string_agg(word, ' ' ORDER BY x.pos) FILTER (c.pos IS NULL) AS kept
+  FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.pos = x.pos GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""

@@ -68,13 +68,13 @@ def test_run(spark):
 
 
 def test_queries_with_sql(spark):
-    """op5 and op8 against their SQL (op9 has its own test)."""
+    """op2, op5 and op8 against their SQL (op9 has its own test)."""
     import duckdb
 
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    for name in ("op5_exact_top_k", "op8_reply_trees"):
+    for name in ("op2_substring_dedup", "op5_exact_top_k", "op8_reply_trees"):
         got, want = __spark_entry__.queries()[name](spark, SF).toPandas(), con.sql(__spark_entry__.oracle_sql()[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert sorted(map(repr, got[sorted(got)].astype(object).values.tolist())) == sorted(map(repr, want[sorted(want)].astype(object).values.tolist()))
