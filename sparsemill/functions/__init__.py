@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Prefix sums, storage costs and statistics."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Conversions, products, partitions, halo ranges and measurement analysis."""

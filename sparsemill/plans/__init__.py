@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Queries over tables, their SQL, and text reports."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Where matrices, vectors and measurements come from and go to."""
