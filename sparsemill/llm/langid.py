@@ -161,9 +161,15 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     df, n = _document_frequencies(labelled, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
+    # the first `sample` of each language by hash: of large languages, only hashes that can be among them are sorted
+    at = F.shiftrightunsigned(doc_hash(id_col, text_col), 1)
+    sizes = {r["_lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).collect()}
+    share = {lang: (3 * sample + 100) / n for lang, n in sizes.items()}
+    most = {lang: int(x * (1 << 63)) if x < 1 else (1 << 63) - 1 for lang, x in share.items()}
+    limits = docs.sparkSession.createDataFrame(list(most.items()), "_lang string, _most long")
+    likely = labelled.select(F.col(lang_col).alias("_lang"), at.alias("_hash"), id_col, text_col).join(F.broadcast(limits), "_lang").where("_hash <= _most")
     order = Window.partitionBy("_lang").orderBy("_hash", id_col)
-    numbered = labelled.select(F.col(lang_col).alias("_lang"), doc_hash(id_col, text_col).alias("_hash"), id_col, text_col).withColumn("_n", F.row_number().over(order))
-    picked = numbered.where(F.col("_n") <= sample)
+    picked = likely.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
