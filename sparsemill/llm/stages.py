@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsemill.llm.bpe import decode, encode, multilingual
-from sparsemill.llm.common import NULL_ID, doc_hash
+from sparsemill.llm.common import NULL_ID, doc_hash, materialise
 from sparsemill.llm.langid import UNDETERMINED, identify, train, train_split
 from sparsemill.llm.mixing import in_training_order, mix
-from sparsemill.llm.simhash import near_duplicates
+from sparsemill.llm.similar import first_of_groups
 from sparsemill.llm.substring_dedup import remove_repeats
 
 #: A document whose language is less likely than this is rejected; an even guess among four has 0.25.
@@ -28,11 +28,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component: the one with the least id (of rows equal in that, the least hash)."""
-    named = near_duplicates(docs.select("doc_id", "text", doc_hash("doc_id", "text").alias("_hash")))
-    first = named.groupBy(F.coalesce("component_id", F.lit(NULL_ID))).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "_hash")).alias("_first"))
-    keys = first.select("_first.*")
+    """Keeps one document of each group of near copies: the one with the least id (of rows equal in that, the least hash).
+
+    Documents link by SimHash (4 words, 4 bits) and, beyond that, by a verified similarity of five-word shingles of 0.8.
+    """
     keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_hash": doc_hash("doc_id", "text")})
+    keys = materialise(first_of_groups(keyed.select("_id", "_hash", "text")), "kept")
     return keyed.join(keys, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
 
 

@@ -50,6 +50,37 @@ def test_stages(spark, make):
     assert len(done) == mixed.count() and all(r["n_tokens"] * 4 == len(r["ids"]) for r in done)
 
 
+def test_edited_copies_go_and_others_stay(spark, make):
+    """Copies with a similarity of 0.8 or more go; clean documents and those far below stay."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    rows, must = [], set()
+    for g in range(40):
+        base = [word() for _ in range(rng.randrange(120, 300))]
+        rows.append((g * 10, " ".join(base)))
+        for k, share in ((1, 0.0), (2, 0.012), (3, 0.2)):
+            w = list(base)
+            for at in rng.sample(range(len(w)), int(share * len(w))):
+                w[at] = word()
+            rows.append((g * 10 + k, " ".join(w)))
+        must.add(g * 10 + 2)
+    kept = {r["doc_id"] for r in stages.near_copies(spark, make(rows), SF).collect()}
+    assert {g * 10 for g in range(40)} | {g * 10 + 3 for g in range(40)} <= kept
+    assert not kept & {g * 10 + 1 for g in range(40)}
+    assert len(kept & must) <= 3
+
+
+def test_large_group_is_one(spark, make):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(1000)}" for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 300):
+        w = list(base)
+        w[rng.randrange(400)] = f"new{k}"
+        rows.append((k, " ".join(w)))
+    assert [r["doc_id"] for r in stages.near_copies(spark, make(rows), SF).collect()] == [0]
+
+
 def test_repeated_rows_and_empty(spark, make):
     two = make([(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (None, None, None, None), (None, None, None, None)])
     assert stages.near_copies(spark, two, SF).count() == 2
