@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
 import inspect
@@ -44,10 +46,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparsemill-{uuid.uuid4().hex[:12]}/{name}"
+    if not _tables:
+        atexit.register(drop_tables, spark)
+    _tables.append(path.rpartition("/")[0])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of this process's tables.
+_tables: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete this process's tables in the shared folder; results that read them end with it. Runs when Python ends, too."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc
+    with contextlib.suppress(Exception):  # the JVM may be gone before Python
+        while _tables:
+            path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+            path.getFileSystem(conf.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -84,8 +102,9 @@ def trim(result=None):
 
 
 def input_bytes(df: DataFrame, text_col: str) -> int:
-    """Estimated bytes of df from the optimiser's statistics; counted where it has none."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that df is read from, by the optimiser's statistics of its sources; counted where they have none."""
+    sources = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(str(sources.apply(k).stats().sizeInBytes())) for k in range(sources.length()))
     if 0 < known < 1 << 55:
         return known
     return df.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long") + 16), F.lit(0))).first()[0]

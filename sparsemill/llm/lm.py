@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from sparsemill.llm.common import U64, Words, as_bytes, bounded_batches, bucket_cuts, cores, doc_hash, free_name, free_shuffles, input_bytes, lean, load, materialise, mix, parts_for
 
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
+CHUNK_BYTES, BUCKET_BYTES = 5 << 20, 14 << 20
 #: One in FOLD training documents gives the held-out counts; kinds of chunks.
 FOLD = 8
 LEARN, DELETED, SCORED = 0, 1, 2

@@ -32,7 +32,7 @@ from sparsemill.llm.common import NULL_ID, U64, Words, as_bytes, bounded_batches
 
 WINDOW = 20
 BASE = 5
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 64 << 20
 #: Bytes of the last level's entry for one window, and bytes a word at the least, for sizing only.
 _ENTRY, _WORD_BYTES = 28, 6
