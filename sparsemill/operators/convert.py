@@ -95,11 +95,12 @@ def to_hybrid(m: Matrix, *, block_width: int = BLOCK_WIDTH, threshold: int = THR
         raise ValueError("the block width must be positive")
     coo = m.coo if assume_unique else dedup(m.coo, duplicates)
     counts = block_offset_counts(coo, m.num_rows, m.num_cols, block_width)
-    kept = keep_rule(counts, threshold, max_fallback).where("kept").select("block", "offset", "n")
-    entries = with_offsets(coo, block_width)
-    cells = entries.join(kept.select("block", "offset"), ["block", "offset"])
-    fallback = entries.join(kept.select("block", "offset"), ["block", "offset"], "left_anti").select("row", "col", "val")
-    return replace(m, hybrid=HybridLayout(kept, cells.select("block", "offset", "lane", "row", "col", "val"), fallback, counts, m.num_rows, m.num_cols, block_width, threshold, max_fallback))
+    ruled = keep_rule(counts, threshold, max_fallback)
+    # counts are dealt by (block, offset) already, so this join shuffles the entries alone
+    entries = with_offsets(coo, block_width).join(ruled.select("block", "offset", "kept"), ["block", "offset"], "left")
+    entries = entries.select("block", "offset", "lane", "row", "col", "val", F.coalesce("kept", F.lit(False)).alias("kept"))
+    kept = ruled.where("kept").select("block", "offset", "n")
+    return replace(m, hybrid=HybridLayout(kept, entries, counts, m.num_rows, m.num_cols, block_width, threshold, max_fallback))
 
 
 def check_storage(layout: HybridLayout) -> int:

@@ -61,12 +61,12 @@ def block_products(layout: HybridLayout, x: DataFrame) -> DataFrame:
 
 
 def spmv_hybrid(layout: HybridLayout, x: DataFrame, *, strategy: str = "join", size: int | None = None) -> DataFrame:
-    """Block and fallback products together, under one final sum."""
+    """Block and fallback products together, under one final sum; entry by entry, one pass over both parts."""
     if strategy == "block":
-        stored = block_products(layout, x)
+        both = block_products(layout, x).unionByName(partial_products(layout.fallback, x, size=size))
     else:
-        stored = partial_products(layout.cells.select("row", "col", "val"), x, size=size)
-    return total(stored.unionByName(partial_products(layout.fallback, x, size=size)), layout.num_rows)
+        both = partial_products(layout.entries.select("row", "col", "val"), x, size=size)
+    return total(both, layout.num_rows)
 
 
 def mean_fill(layout: HybridLayout) -> float:

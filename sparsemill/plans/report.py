@@ -70,7 +70,7 @@ def hybrid(layout: HybridLayout) -> str:
     shown = {r["block"]: r["n"] for r in sizes.orderBy("block").limit(BLOCKS).collect()}
     left = layout.fallback.count()
     lines = [f"block width {w}, threshold {layout.threshold}, {groups * w} stored cells, {left} fallback entries"]
-    few = HybridLayout(layout.kept.where(F.col("block").isin(*shown)), layout.cells.where(F.col("block").isin(*shown)), layout.fallback, layout.counts, layout.num_rows, layout.num_cols, w, layout.threshold, layout.max_fallback)
+    few = HybridLayout(layout.kept.where(F.col("block").isin(*shown)), layout.entries.where(F.col("block").isin(*shown)), layout.counts, layout.num_rows, layout.num_cols, w, layout.threshold, layout.max_fallback)
     lanes = convert.blocks(few).select("block", "offset", F.slice("lanes", 1, LANES).alias("v")).orderBy("block", "offset").collect() if shown else []
     for b, n in shown.items():
         own = [r for r in lanes if r["block"] == b]

@@ -34,12 +34,12 @@ def reject(df: DataFrame, checks: dict[str, tuple], columns: tuple[str, ...]) ->
 class HybridLayout:
     """Blocked diagonals and the entries outside them.
 
-    kept: block, offset, n; cells: block, offset, lane, val (row, col as in the matrix); fallback: row, col, val.
+    kept: block, offset, n; counts: the same of all groups; entries: block, offset, lane, row, col, val and
+    whether the entry's group is kept, so that one pass over them serves both parts.
     """
 
     kept: DataFrame
-    cells: DataFrame
-    fallback: DataFrame
+    entries: DataFrame
     counts: DataFrame
     num_rows: int
     num_cols: int
@@ -47,6 +47,16 @@ class HybridLayout:
     threshold: int
     max_fallback: int | None
 
+    @property
+    def cells(self) -> DataFrame:
+        """Entries in kept groups."""
+        return self.entries.where("kept").drop("kept")
+
+    @property
+    def fallback(self) -> DataFrame:
+        """All other entries: row, col, val."""
+        return self.entries.where("not kept").select("row", "col", "val")
+
     @property
     def num_blocks(self) -> int:
         return num_blocks(self.num_rows, self.num_cols, self.block_width)

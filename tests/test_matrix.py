@@ -92,8 +92,8 @@ def greedy(groups, threshold, cap):
     return kept
 
 
-@pytest.mark.parametrize("shape", [(12, 12), (3, 10), (40, 3), (33, 33), (1, 1)])
-@pytest.mark.parametrize("width, threshold, cap", [(8, 2, None), (4, 2, 0), (4, 3, 7), (32, 99, 1), (5, 1, None)])
+@pytest.mark.parametrize("shape", [(12, 12), (3, 10), (40, 3), (33, 33)])
+@pytest.mark.parametrize("width, threshold, cap", [(8, 2, None), (4, 2, 0), (4, 3, 7)])
 def test_layout_does_not_change_the_product(spark, shape, width, threshold, cap):
     rng = random.Random(f"{shape}{width}{threshold}{cap}")
     rows = [(rng.randrange(shape[0]), rng.randrange(shape[1]), rng.randint(-3, 3)) for _ in range(60)]
