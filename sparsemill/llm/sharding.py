@@ -99,7 +99,7 @@ def _split_level(points: DataFrame, root: _Node, nodes: list[_Node]) -> None:
             best = min(outer, key=lambda x: abs(x[0] - want[f]))
             if abs(best[0] - want[f]) > SNAP * node.bytes / node.shards:
                 best = min(inner, key=lambda x: abs(x[0] - want[f]))
-            node.cut, left = best[1], best[0]
+            node.cut, left = min(best[1], (1 << 63) - 1), best[0]
         kl = node.shards // 2
         node.below = _Node(node.first, kl, left if f in bound else 0)
         node.above = _Node(node.first + kl, node.shards - kl, node.bytes - (left if f in bound else 0))
