@@ -14,7 +14,7 @@ their true distance.
 
 Within a key no list of pairs is made: a search takes one member, finds all unvisited ones within
 distance, and goes on from those, so that a dense group costs about a row a member, and at most
-n - 1 links leave it. A bucket of keys reduces its links to a forest before they leave. Components
+n - 1 links leave it. A bucket of keys reduces its links to stars around the least member. Components
 of the links between classes come from large-star/small-star rounds over a table in the shared
 folder. No fingerprint, link or component is collected to the driver.
 
@@ -177,8 +177,28 @@ def group_links(fps: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
     return out
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What these links connect, as (member, least member) of each component."""
+    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    root = np.array([top(x) for x in range(len(names))], dtype=np.int64)
+    member = np.flatnonzero(root != np.arange(len(names)))
+    return names[member], names[root[member]]
+
+
 def bucket_links(keys: np.ndarray, fps: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of links between the fingerprints that meet under some key."""
+    """What links connect under some key, as stars: (member, least member). Buckets that see one group alike say the same."""
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
@@ -195,26 +215,11 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, most: int = MOST) -> tuple[n
             one.append(members[a])
             two.append(members[b])
     a, b = np.concatenate(one), np.concatenate(two)
-    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    parent = list(range(len(names)))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    keep = []
-    for k, (x, y) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist())):
-        x, y = top(x), top(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep.append(k)
-    return a[keep], b[keep]
+    return stars(a, b)
 
 
 def links(classes: DataFrame, fp_col: str, n: int, *, most: int = MOST) -> DataFrame:
-    """Verified links (a, b) that connect the distinct fingerprints of classes, as far as any do."""
+    """Pairs (a, b) of distinct fingerprints of classes that verified links connect; together they connect all that links do."""
     buckets = parts_for(n * KEYS_EACH, BUCKET_ENTRIES, cores(classes.sparkSession))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +241,19 @@ def links(classes: DataFrame, fp_col: str, n: int, *, most: int = MOST) -> DataF
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     asked = classes.select(F.col(fp_col)).mapInArrow(spread, "bucket long, data binary")
-    return asked.groupBy("bucket").applyInArrow(lean(meet), "a long, b long")
+    return asked.groupBy("bucket").applyInArrow(lean(meet), "a long, b long").distinct()
+
+
+def contract(edges: DataFrame, n: int) -> DataFrame:
+    """Fewer links (a, b) that connect the same nodes: buckets of links, n in all, reduced to stars."""
+    buckets = parts_for(n, BUCKET_ENTRIES, cores(edges.sparkSession))
+
+    def work(rows: pa.Table) -> pa.Table:
+        a, b = stars(rows["a"].to_numpy(), rows["b"].to_numpy())
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    dealt = edges.select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").applyInArrow(lean(work), "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- connected components

@@ -82,7 +82,7 @@ def add_marks(df: DataFrame, text_col: str) -> DataFrame:
 
 def _meet(keys: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (rows of docs) among those that share a key."""
-    order = np.argsort(keys)
+    order = np.lexsort((docs["node"][at], keys))  # a search begins with the least node, whatever the key
     keys, at = keys[order], at[order]
     a, b = docs["a"][at], docs["b"][at]
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
@@ -204,7 +204,8 @@ def first_of_groups(docs: DataFrame, *, least: float = LEAST) -> DataFrame:
     free_shuffles(spark)
     pairs = materialise(candidates(wide.select(F.col("b").alias("node"), "_a", "_b"), n), "candidates")
     free_shuffles(spark)
-    similar = materialise(verified(pairs, docs.select(F.col("_hash").alias("node"), "text"), least=least), "similar")
+    similar = verified(pairs, docs.select(F.col("_hash").alias("node"), "text"), least=least)
+    similar = materialise(simhash.contract(similar, pairs.count()), "similar")
     free_shuffles(spark)
     edges = same[0].unionByName(same[1]).unionByName(found).unionByName(similar)
     rooted = classes.join(simhash.components(edges), "node", "left").withColumn("_root", F.coalesce("root", "node"))
