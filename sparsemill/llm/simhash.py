@@ -244,18 +244,6 @@ def links(classes: DataFrame, fp_col: str, n: int, *, most: int = MOST) -> DataF
     return asked.groupBy("bucket").applyInArrow(lean(meet), "a long, b long").distinct()
 
 
-def contract(edges: DataFrame, n: int) -> DataFrame:
-    """Fewer links (a, b) that connect the same nodes: buckets of links, n in all, reduced to stars."""
-    buckets = parts_for(n, BUCKET_ENTRIES, cores(edges.sparkSession))
-
-    def work(rows: pa.Table) -> pa.Table:
-        a, b = stars(rows["a"].to_numpy(), rows["b"].to_numpy())
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    dealt = edges.select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).alias("bucket"))
-    return dealt.groupBy("bucket").applyInArrow(lean(work), "a long, b long").distinct()
-
-
 # ---------------------------------------------------------------- connected components
 
 

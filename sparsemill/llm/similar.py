@@ -1,19 +1,20 @@
-"""Documents of similar word shingles: wider SimHash links, verified by their Jaccard similarity.
+"""Documents of similar word shingles: SimHash with 256 bits, under the same Golay keys.
 
-`simhash` links fingerprints at few differing bits, which texts of a few edits may exceed. Here two more 64-bit
-fingerprints are taken over a text's distinct five-word shingles. Their six segments are decoded to
-nearby Golay codewords as there, and documents meet under the keys of any two segments. Documents that meet and differ in at most WIDE_MOST of the 128 bits are candidates, and
-the candidates' similarity is then computed from their shingles: pairs of at least LEAST stay.
+`simhash` links fingerprints at few differing bits, which texts of a few edits may exceed. Here four more 64-bit
+fingerprints are taken over a text's distinct five-word shingles. The six segments of the first two are decoded to
+nearby Golay codewords as there, documents meet under the keys of any two segments, and link if at most
+WIDE_MOST of all 256 bits differ.
 
-For segments whose bits differ with the probability p that belongs to a similarity (0.15 at 0.8, 0.10 at
-0.9), two of six meet and the bits stay under the limit in about nine of ten pairs at 0.8, and in nearly all at 0.9.
-Texts of fewer than SHINGLES distinct shingles have no reliable fingerprint and take no part; equal and
-almost equal ones link in `simhash` already.
+The limit stands for a Jaccard similarity of 0.8: at that similarity 39 bits differ on average, with a deviation
+of 6; at 0.9 27 bits, at 0.7 49, at 0.6 59. Two of the six segments meet in about 95 of 100 pairs at 0.8, and in nearly all
+above 0.85. So pairs from 0.85 on link almost always, pairs just over 0.8 in about three of five cases, pairs of 0.7 to
+0.8 in one of four, and pairs under 0.5 never. Texts of fewer than SHINGLES distinct shingles have no reliable fingerprint and take no
+part; equal and almost equal ones link in `simhash` already.
 
 Distribution. Keys go to buckets by pair of segments and first codeword, packed; a document is sent to
-at most 6 buckets for each of 15 pairs. Keys with up to SMALL members give all their candidates;
-larger ones are searched member by member, which leaves n - 1 candidates that connect what can be
-connected. Only the shingles of documents with a candidate are joined. Null ids must not occur (the caller names nodes).
+at most 6 buckets for each of 15 pairs. Keys with up to SMALL members are compared pairwise, larger ones
+searched member by member; a bucket gives stars around the least member, never pairs. Null ids must
+not occur (the caller names nodes).
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from pyspark.sql import types as T
 from sparsemill.llm import simhash
 from sparsemill.llm.common import U64, as_bytes, bounded_batches, cores, free_shuffles, lean, materialise, mix, parts_for, slices
 
-SHINGLE, LEAST, WIDE_MOST, SHINGLES, SMALL = 5, 0.8, 26, 24, 24
+SHINGLE, WIDE_MOST, SHINGLES, SMALL, WORDS = 5, 40, 24, 24, 4
 BUCKET_ENTRIES, KEYS_EACH = 3 << 20, 420
 _PAIRS = list(combinations(range(6), 2))
-_DOC = np.dtype([("node", "<i8"), ("a", "<u8"), ("b", "<u8")])
+_DOC = np.dtype([("node", "<i8"), ("bits", "<u8", (WORDS,))])
+_COLUMNS = [f"_w{k}" for k in range(WORDS)]
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -59,7 +61,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def add_marks(df: DataFrame, text_col: str) -> DataFrame:
-    """df without text_col, with _fp as in simhash, and _a and _b (null for texts with too few shingles)."""
+    """df without text_col, with _fp as in simhash, and _w0 to _w3 (null for texts with too few shingles)."""
     bounded_batches(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,45 +69,48 @@ def add_marks(df: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             keep = [c for c in batch.schema.names if c != text_col]
             for part in slices(batch, text_col):
-                narrow, one, two = [], [], []
+                marks = []
                 for text in as_bytes(part.column(text_col)):
-                    narrow.append(signed(simhash.fingerprint(text)))
                     own = shingles(text)
-                    enough = len(own) >= SHINGLES
-                    one.append(signed(fingerprint(mix(own))) if enough else None)
-                    two.append(signed(fingerprint(mix(own ^ U64(0x5DEECE66D)))) if enough else None)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in (narrow, one, two))], names=[*keep, "_fp", "_a", "_b"])
+                    wide = [signed(fingerprint(mix(own ^ U64(k)))) for k in range(WORDS)] if len(own) >= SHINGLES else [None] * WORDS
+                    marks.append((signed(simhash.fingerprint(text)), *wide))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(list(x), pa.int64()) for x in zip(*marks))], names=[*keep, "_fp", *_COLUMNS])
 
     fields = [f for f in df.schema.fields if f.name != text_col]
-    return df.mapInArrow(work, T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("_fp", "_a", "_b"))]))
+    return df.mapInArrow(work, T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("_fp", *_COLUMNS))]))
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= WIDE_MOST
 
 
 def _meet(keys: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (rows of docs) among those that share a key."""
+    """Linked pairs (rows of docs) among those that share a key; they connect all that links under a key do."""
     order = np.lexsort((docs["node"][at], keys))  # a search begins with the least node, whatever the key
     keys, at = keys[order], at[order]
-    a, b = docs["a"][at], docs["b"][at]
+    bits = docs["bits"]
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     size = np.diff(edges)
-    small = np.repeat(size <= SMALL, size)
     one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    reach = np.flatnonzero(small)
+    reach = np.flatnonzero(np.repeat(size <= SMALL, size))
     for d in range(1, SMALL):
         reach = reach[reach + d < len(keys)]
         reach = reach[keys[reach + d] == keys[reach]]
         if not len(reach):
             break
-        near = np.bitwise_count(a[reach] ^ a[reach + d]).astype(np.int64) + np.bitwise_count(b[reach] ^ b[reach + d]) <= WIDE_MOST
-        one.append(at[reach[near]])
-        two.append(at[reach[near] + d])
+        for lo in range(0, len(reach), 1 << 18):
+            some = reach[lo : lo + (1 << 18)]
+            near = _near(bits[at[some]], bits[at[some + d]])
+            one.append(at[some[near]])
+            two.append(at[some[near] + d])
     for k in np.flatnonzero(size > SMALL).tolist():
-        part = slice(edges[k], edges[k + 1])
-        x, y, own, rest = a[part], b[part], at[part], np.arange(size[k])
+        own = at[edges[k] : edges[k + 1]]
+        x, rest = bits[own], np.arange(size[k])
         while len(rest) > 1:
             front, rest = [int(rest[0])], rest[1:]
             while front and len(rest):
                 f = front.pop()
-                near = np.bitwise_count(x[rest] ^ x[f]).astype(np.int64) + np.bitwise_count(y[rest] ^ y[f]) <= WIDE_MOST
+                near = _near(x[rest], x[f])
                 hit = rest[near]
                 one.append(np.full(len(hit), own[f]))
                 two.append(own[hit])
@@ -114,8 +119,8 @@ def _meet(keys: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(one), np.concatenate(two)
 
 
-def candidates(marked: DataFrame, n: int) -> DataFrame:
-    """Distinct (a, b), a < b: nodes that may be similar. marked: node, _a, _b."""
+def links(marked: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all similar ones. marked: node, _w0 to _w3."""
     buckets = parts_for(n * KEYS_EACH, BUCKET_ENTRIES, cores(marked.sparkSession))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +131,10 @@ def candidates(marked: DataFrame, n: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 docs = np.empty(part.num_rows, dtype=_DOC)
-                for name, c in (("node", "node"), ("a", "_a"), ("b", "_b")):
-                    docs[name] = part.column(c).to_numpy().view(docs.dtype[name])
-                words = [((docs[w] >> U64(low)) & U64((1 << bits) - 1)).astype(np.int64) for w in "ab" for low, bits in simhash.SEGMENTS]
+                docs["node"] = part.column("node").to_numpy()
+                for k, c in enumerate(_COLUMNS):
+                    docs["bits"][:, k] = part.column(c).to_numpy().view(U64)
+                words = [((docs["bits"][:, w] >> U64(low)) & U64((1 << bits) - 1)).astype(np.int64) for w in (0, 1) for low, bits in simhash.SEGMENTS]
                 near = [simhash._golay[0].keys(w) for w in words]
                 found = []
                 for p, (i, j) in enumerate(_PAIRS):
@@ -154,58 +160,30 @@ def candidates(marked: DataFrame, n: int) -> DataFrame:
         at = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + k for x, k in zip(rows["at"].to_pylist(), base.tolist())])
         every = np.concatenate(docs)
         one, two = _meet(keys, at, every)
-        one, two = every["node"][one], every["node"][two]
-        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)[one != two], axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        a, b = simhash.stars(every["node"][one], every["node"][two])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    asked = marked.select("node", "_a", "_b").mapInArrow(spread, "bucket long, docs binary, keys binary, at binary")
+    asked = marked.select("node", *_COLUMNS).mapInArrow(spread, "bucket long, docs binary, keys binary, at binary")
     return asked.groupBy("bucket").applyInArrow(lean(meet), "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, *, least: float = LEAST) -> DataFrame:
-    """The pairs whose shingles have a Jaccard similarity of at least `least`. texts: node, text (rows of equal node are equal)."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingles(t).tobytes() for t in as_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
-
-    sets = materialise(texts.join(asked, "node", "left_semi").select("node", "text").mapInArrow(take, "node long, set binary").dropDuplicates(["node"]), "shingles")
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "sb"}), "b")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                common = len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True))
-                ok.append(common >= least * (len(x) // 8 + len(y) // 8 - common))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
-
-
-def first_of_groups(docs: DataFrame, *, least: float = LEAST) -> DataFrame:
+def first_of_groups(docs: DataFrame) -> DataFrame:
     """(_id, _hash) of the first row of each group of near copies. docs: _id, _hash (one for each different row), text.
 
-    Rows link by equal fingerprints, by simhash's links, and by verified similarity. Only classes of equal
+    Rows link by equal fingerprints, by simhash's links, and by the wider ones. Only classes of equal
     fingerprints, each named by its first row, take part in the search.
     """
     spark = docs.sparkSession
     marks = add_marks(docs.select("_id", "_hash", "text"), "text")
-    classes = materialise(marks.groupBy("_fp", "_a", "_b").agg(F.min(F.struct("_id", "_hash")).alias("_first")).withColumn("node", F.col("_first._hash")), "classes")
+    classes = materialise(marks.groupBy("_fp", *_COLUMNS).agg(F.min(F.struct("_id", "_hash")).alias("_first")).withColumn("node", F.col("_first._hash")), "classes")
     n = classes.count()
     named = lambda key: classes.where(F.col(key[0]).isNotNull()).groupBy(*key).agg(F.min("node").alias("b"))
-    narrow, wide = (materialise(named(key), "names") for key in (["_fp"], ["_a", "_b"]))
-    same = [classes.join(names, key).select(F.col("node").alias("a"), "b") for key, names in ((["_fp"], narrow), (["_a", "_b"], wide))]
+    narrow, wide = (materialise(named(key), "names") for key in (["_fp"], _COLUMNS))
+    same = [classes.join(names, key).select(F.col("node").alias("a"), "b") for key, names in ((["_fp"], narrow), (_COLUMNS, wide))]
     found = simhash.links(narrow, "_fp", n)
     found = materialise(found.join(narrow.select(F.col("_fp").alias("a"), F.col("b").alias("x")), "a").join(narrow.select(F.col("_fp").alias("b"), F.col("b").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
     free_shuffles(spark)
-    pairs = materialise(candidates(wide.select(F.col("b").alias("node"), "_a", "_b"), n), "candidates")
-    free_shuffles(spark)
-    similar = verified(pairs, docs.select(F.col("_hash").alias("node"), "text"), least=least)
-    similar = materialise(simhash.contract(similar, pairs.count()), "similar")
+    similar = materialise(links(wide.select(F.col("b").alias("node"), *_COLUMNS), n), "similar")
     free_shuffles(spark)
     edges = same[0].unionByName(same[1]).unionByName(found).unionByName(similar)
     rooted = classes.join(simhash.components(edges), "node", "left").withColumn("_root", F.coalesce("root", "node"))
