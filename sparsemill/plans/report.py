@@ -9,6 +9,7 @@ from sparsemill.operators import convert
 from sparsemill.operators.partition import NOT_FOUND
 from sparsemill.schema import HybridLayout, Matrix, Vector
 
+# fixed values: how much of each part is shown
 HEAD, BLOCKS, OFFSETS, LANES, DIAGONALS, POSITIONS, RANGES, DENSE, NUMERIC = 10, 5, 10, 8, 10, 50, 3, 100, 20
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 ENTRY = T.StructType([T.StructField("row", T.LongType()), T.StructField("col", T.LongType()), T.StructField("val", T.DoubleType())])
 VECTOR = T.StructType([T.StructField("idx", T.LongType()), T.StructField("x", T.DoubleType())])
+# fixed values: default block width and threshold
 BLOCK_WIDTH, THRESHOLD = 32, 1
 #: The largest number of cells that a dense encoding may have.
 MOST_CELLS = 100_000_000_000

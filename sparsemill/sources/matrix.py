@@ -99,9 +99,13 @@ def from_dense(df: DataFrame, row: str, values: str) -> Matrix:
     return Matrix.from_df(every)
 
 
+# fixed values: how a run's folder is named
+FOLDER = r"_(\d+\.\d+)_\d{8}_\d{6}_\d{3}$"
+
+
 def folder_noise(folder: Column) -> Column:
     """The noise level in the name of a run's folder (..._0.001000_20250821_163209_715); null if there is none."""
-    found = F.regexp_extract(folder, r"_(\d+\.\d+)_\d{8}_\d{6}_\d{3}$", 1)
+    found = F.regexp_extract(folder, FOLDER, 1)
     return F.when(found != "", found).cast("double")
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: the columns of a run's flags
 FLAGS = ("execCOOCPU", "execCOOGPU", "unifiedMemory", "unifiedMemory_malloc", "unifiedMemory_managedMalloc", "unifiedMemory_NumaAllocOnNode")
 
 
