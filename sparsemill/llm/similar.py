@@ -1,20 +1,24 @@
-"""Documents of similar word shingles: SimHash with 256 bits, under the same Golay keys.
-
-`simhash` links fingerprints at few differing bits, which texts of a few edits may exceed. Here four more 64-bit
-fingerprints are taken over a text's distinct five-word shingles. The six segments of the first two are decoded to
-nearby Golay codewords as there, documents meet under the keys of any two segments, and link if at most
-WIDE_MOST of all 256 bits differ.
-
-The limit stands for a Jaccard similarity of 0.8: at that similarity 39 bits differ on average, with a deviation
-of 6; at 0.9 27 bits, at 0.7 49, at 0.6 59. Two of the six segments meet in about 95 of 100 pairs at 0.8, and in nearly all
-above 0.85. So pairs from 0.85 on link almost always, pairs just over 0.8 in about three of five cases, pairs of 0.7 to
-0.8 in one of four, and pairs under 0.5 never. Texts of fewer than SHINGLES distinct shingles have no reliable fingerprint and take no
-part; equal and almost equal ones link in `simhash` already.
-
-Distribution. Keys go to buckets by pair of segments and first codeword, packed; a document is sent to
-at most 6 buckets for each of 15 pairs. Keys with up to SMALL members are compared pairwise, larger ones
-searched member by member; a bucket gives stars around the least member, never pairs. Null ids must
-not occur (the caller names nodes).
+"""Documents whose distinct five-word shingles have a Jaccard similarity of at least 0.8, decided exactly.
+
+`simhash` links fingerprints at few differing bits, which texts of a few edits may exceed. Here the similarity itself
+decides. Its search has three steps.
+
+Keys. A text's shingles are put in one order for all texts (common ones of a sample last, so that they are rarely
+asked for, then by hash). Two sets of similarity 0.8 or more have their first common shingle among the first
+n - ceil(0.8 n) + 1 of both, so texts meet under these shingles, and no such pair is missed, whatever the sample.
+
+Groups. Under a key, texts whose sizes allow 0.8 and whose 256-bit SimHashes differ in at most LOOSE bits (LOOSE_FEW
+if one has fewer than FEW shingles) are put in one group. At 0.8 40 bits differ on average, with a deviation of 6
+(48 for the smallest sets), so a pair at 0.8 is past the limit about once in 10^10 times. The limit only keeps groups small.
+
+Decision. The shingle sets of a group are sent to one task, once each, and compared there: |x & y| / |x | y| >= 0.8 in whole
+numbers. Texts of fewer than SHINGLES distinct shingles take no part.
+
+Distribution. Keys go to buckets by hash, packed. Keys with up to SMALL members are compared pairwise, larger ones
+searched member by member; a bucket gives stars around the least member, never pairs, and no join has pairs. A group
+of very many alike texts is held by one task. Null ids must not occur (the caller names nodes).
+
+`add_marks` and `links` search fingerprints alone, at WIDE_MOST of 256 bits under Golay keys; the pipeline does not use them.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ BUCKET_ENTRIES, KEYS_EACH = 3 << 20, 420
 _PAIRS = list(combinations(range(6), 2))
 _DOC = np.dtype([("node", "<i8"), ("bits", "<u8", (WORDS,))])
 _COLUMNS = [f"_w{k}" for k in range(WORDS)]
+LOOSE, LOOSE_FEW, FEW = 80, 96, 32
+KEY_ENTRIES, SET_BYTES, SAMPLE, COMMON = 2 << 20, 32 << 20, 4096, 8
+_SIZED = np.dtype([("node", "<i8"), ("n", "<i8"), ("bits", "<u8", (WORDS,))])
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -81,17 +88,21 @@ def add_marks(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= WIDE_MOST
+    return np.bitwise_count(x["bits"] ^ y["bits"]).sum(axis=1, dtype=np.int64) <= WIDE_MOST
+
 
+def _loose(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    least, most = np.minimum(x["n"], y["n"]), np.maximum(x["n"], y["n"])
+    return (5 * least >= 4 * most) & (np.bitwise_count(x["bits"] ^ y["bits"]).sum(axis=1, dtype=np.int64) <= np.where(least < FEW, LOOSE_FEW, LOOSE))
 
-def _meet(keys: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _meet(keys: np.ndarray, at: np.ndarray, docs: np.ndarray, near_by=_near) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (rows of docs) among those that share a key; they connect all that links under a key do."""
     order = np.lexsort((docs["node"][at], keys))  # a search begins with the least node, whatever the key
     keys, at = keys[order], at[order]
-    bits = docs["bits"]
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     size = np.diff(edges)
-    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found, held = np.zeros(0, np.int64), []
     reach = np.flatnonzero(np.repeat(size <= SMALL, size))
     for d in range(1, SMALL):
         reach = reach[reach + d < len(keys)]
@@ -99,24 +110,27 @@ def _meet(keys: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarra
         if not len(reach):
             break
         for lo in range(0, len(reach), 1 << 18):
-            some = reach[lo : lo + (1 << 18)]
-            near = _near(bits[at[some]], bits[at[some + d]])
-            one.append(at[some[near]])
-            two.append(at[some[near] + d])
+            one, two = at[reach[lo : lo + (1 << 18)]], at[reach[lo : lo + (1 << 18)] + d]
+            near = near_by(docs[one], docs[two])
+            held.append(np.unique(one[near] * len(docs) + two[near]))
+        found, held = np.unique(np.concatenate([found, *held])), []
     for k in np.flatnonzero(size > SMALL).tolist():
         own = at[edges[k] : edges[k + 1]]
-        x, rest = bits[own], np.arange(size[k])
+        x, rest = docs[own], np.arange(size[k])
         while len(rest) > 1:
             front, rest = [int(rest[0])], rest[1:]
             while front and len(rest):
                 f = front.pop()
-                near = _near(x[rest], x[f])
+                near = near_by(x[rest], x[f : f + 1])
                 hit = rest[near]
-                one.append(np.full(len(hit), own[f]))
-                two.append(own[hit])
-                front += hit.tolist()
-                rest = rest[~near]
-    return np.concatenate(one), np.concatenate(two)
+                if len(hit):
+                    held.append(own[f] * len(docs) + own[hit])
+                    front += hit.tolist()
+                    rest = rest[~near]
+        if len(held) > 4096:
+            found, held = np.unique(np.concatenate([found, *held])), []
+    found = np.unique(np.concatenate([found, *held]))
+    return found // max(1, len(docs)), found % max(1, len(docs))
 
 
 def links(marked: DataFrame, n: int) -> DataFrame:
@@ -167,23 +181,164 @@ def links(marked: DataFrame, n: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(lean(meet), "a long, b long").distinct()
 
 
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that at least COMMON of about SAMPLE documents have. They only set the order of keys. docs: _hash, text."""
+    n = max(1, docs.count() // SAMPLE)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t) for t in as_bytes(part.column("text"))]).view(np.int64))], names=["shingle"])
+
+    some = docs.where(F.pmod(F.xxhash64("_hash"), F.lit(n)) == 0).select("text")
+    rows = some.mapInArrow(take, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).select("shingle").collect()
+    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(U64))
+
+
+def add_keys(df: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
+    """df without text_col, with _fp as in simhash, _set (a hash of all shingles), _n (how many), _w0 to _w3 and _keys (the first shingles); null but _fp for texts that take no part."""
+    bounded_batches(df.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        for batch in batches:
+            keep = [c for c in batch.schema.names if c != text_col]
+            for part in slices(batch, text_col):
+                marks = []
+                for text in as_bytes(part.column(text_col)):
+                    own = shingles(text)
+                    n, mark = len(own), [None] * (3 + WORDS)
+                    if n >= SHINGLES:
+                        late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(n, dtype=bool)
+                        keys = np.concatenate((own[~late], own[late]))[: n - (4 * n + 4) // 5 + 1]
+                        mark = [signed(xxhash.xxh64_intdigest(own.tobytes())), n, *(signed(fingerprint(mix(own ^ U64(k)))) for k in range(WORDS)), keys.tobytes()]
+                    marks.append((signed(simhash.fingerprint(text)), *mark))
+                *longs, keys = zip(*marks)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(list(x), pa.int64()) for x in longs), pa.array(list(keys), pa.binary())], names=[*keep, "_fp", "_set", "_n", *_COLUMNS, "_keys"])
+
+    fields = [f for f in df.schema.fields if f.name != text_col]
+    return df.mapInArrow(work, T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("_fp", "_set", "_n", *_COLUMNS)), T.StructField("_keys", T.BinaryType())]))
+
+
+def candidates(keyed: DataFrame, entries: int) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all that may be similar. keyed: node, _n, _w0 to _w3, _keys (about `entries` in all)."""
+    buckets = parts_for(entries, KEY_ENTRIES, cores(keyed.sparkSession))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                docs = np.empty(part.num_rows, dtype=_SIZED)
+                docs["node"], docs["n"] = part.column("node").to_numpy(), part.column("_n").to_numpy()
+                for k, c in enumerate(_COLUMNS):
+                    docs["bits"][:, k] = part.column(c).to_numpy().view(U64)
+                blobs = part.column("_keys").to_pylist()
+                keys, at = np.frombuffer(b"".join(blobs), U64), np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs])
+                bucket = (mix(keys) % U64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                keys, at, bucket = keys[order], at[order], bucket[order]
+                names, cuts = np.unique(bucket, return_index=True)
+                cuts = [*cuts.tolist(), len(keys)]
+                rows = []
+                for x, y in zip(cuts, cuts[1:]):
+                    used, local = np.unique(at[x:y], return_inverse=True)
+                    rows.append((docs[used].tobytes(), keys[x:y].tobytes(), local.astype(np.uint16).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], names=["bucket", "docs", "keys", "at"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        docs = [np.frombuffer(x, _SIZED) for x in rows["docs"].to_pylist()]
+        base = np.cumsum([0, *map(len, docs)])
+        keys = np.concatenate([np.frombuffer(x, U64) for x in rows["keys"].to_pylist()])
+        at = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + k for x, k in zip(rows["at"].to_pylist(), base.tolist())])
+        every = np.concatenate(docs)
+        one, two = _meet(keys, at, every, _loose)
+        a, b = simhash.stars(every["node"][one], every["node"][two])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    asked = keyed.select("node", "_n", *_COLUMNS, "_keys").mapInArrow(spread, "bucket long, docs binary, keys binary, at binary")
+    return asked.groupBy("bucket").applyInArrow(lean(meet), "a long, b long").distinct()
+
+
+def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (indices) that connect all sets with a Jaccard similarity of 0.8 or more; a forest. The sets are not empty."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    each = np.split(flat, np.cumsum(size)[:-1])
+    mark, rest, out = np.zeros(len(names), dtype=np.uint8), np.arange(len(sets)), []
+
+    def without(gone: np.ndarray) -> None:
+        nonlocal flat, rest
+        flat, rest = flat[np.repeat(~gone, size[rest])], rest[~gone]
+
+    while len(rest) > 1:
+        front = [int(rest[0])]
+        without(np.arange(len(rest)) == 0)
+        while front and len(rest):
+            f = front.pop()
+            mark[each[f]] = 1
+            common = np.add.reduceat(mark[flat], np.cumsum(size[rest]) - size[rest], dtype=np.int64)
+            mark[each[f]] = 0
+            near = 9 * common >= 4 * (size[f] + size[rest])
+            if near.any():
+                hit = rest[near].tolist()
+                out += [(f, x) for x in hit]
+                front += hit
+                without(near)
+    return out
+
+
+def similar_in(groups: DataFrame, texts: DataFrame, shingles_in_all: int) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all similar ones of each group. groups: node, root; texts: node, text (rows of equal node are equal)."""
+    buckets = parts_for(8 * shingles_in_all, SET_BYTES, cores(texts.sparkSession))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                root = part.column("root").to_numpy()
+                bucket = (mix(root.view(U64)) % U64(buckets)).astype(np.int64)
+                sets = [shingles(t).tobytes() for t in as_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(root), part.column("node"), pa.array(sets, pa.binary())], names=["bucket", "root", "node", "set"])
+
+    def decide(rows: pa.Table) -> pa.Table:
+        root, node, sets = rows["root"].to_numpy(), rows["node"].to_numpy(), rows["set"].combine_chunks()
+        order = np.lexsort((node, root))
+        cuts = [*np.flatnonzero(np.concatenate(([True], np.diff(root[order]) != 0))).tolist(), len(order)]
+        one, two = [], []
+        for x, y in zip(cuts, cuts[1:]):
+            own = order[x:y]
+            links = alike([np.frombuffer(sets[k].as_buffer(), U64) for k in own.tolist()])
+            one += [node[own[a]] for a, _ in links]
+            two += [node[own[b]] for _, b in links]
+        a, b = simhash.stars(np.array(one, dtype=np.int64), np.array(two, dtype=np.int64))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    asked = texts.join(groups, "node").select("root", "node", "text").mapInArrow(take, "bucket long, root long, node long, set binary")
+    return asked.groupBy("bucket").applyInArrow(lean(decide), "a long, b long")
+
+
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """(_id, _hash) of the first row of each group of near copies. docs: _id, _hash (one for each different row), text.
 
-    Rows link by equal fingerprints, by simhash's links, and by the wider ones. Only classes of equal
-    fingerprints, each named by its first row, take part in the search.
+    Rows link by equal fingerprints, by simhash's links, and by a similarity of 0.8. Only classes of equal
+    fingerprints and shingles, each named by its first row, take part in the search.
     """
     spark = docs.sparkSession
-    marks = add_marks(docs.select("_id", "_hash", "text"), "text")
-    classes = materialise(marks.groupBy("_fp", *_COLUMNS).agg(F.min(F.struct("_id", "_hash")).alias("_first")).withColumn("node", F.col("_first._hash")), "classes")
-    n = classes.count()
-    named = lambda key: classes.where(F.col(key[0]).isNotNull()).groupBy(*key).agg(F.min("node").alias("b"))
-    narrow, wide = (materialise(named(key), "names") for key in (["_fp"], _COLUMNS))
-    same = [classes.join(names, key).select(F.col("node").alias("a"), "b") for key, names in ((["_fp"], narrow), (_COLUMNS, wide))]
+    marks = materialise(add_keys(docs.select("_id", "_hash", "text"), "text", common_shingles(docs)), "marks")
+    classes = materialise(marks.groupBy("_fp", "_set", "_n").agg(F.min(F.struct("_id", "_hash")).alias("_first")).withColumn("node", F.col("_first._hash")), "classes")
+    n, size, entries = classes.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.expr("_n div 5 + 1")), F.lit(0))).first()
+    named = lambda key: classes.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("node").alias("b"))
+    narrow, wide = (materialise(named(key), "names") for key in ("_fp", "_set"))
+    same = [classes.join(names, key).select(F.col("node").alias("a"), "b") for key, names in (("_fp", narrow), ("_set", wide))]
     found = simhash.links(narrow, "_fp", n)
     found = materialise(found.join(narrow.select(F.col("_fp").alias("a"), F.col("b").alias("x")), "a").join(narrow.select(F.col("_fp").alias("b"), F.col("b").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
     free_shuffles(spark)
-    similar = materialise(links(wide.select(F.col("b").alias("node"), *_COLUMNS), n), "similar")
+    keyed = marks.withColumnRenamed("_hash", "node").join(wide.select(F.col("b").alias("node")), "node", "left_semi")
+    groups = simhash.components(materialise(candidates(keyed, entries), "candidates"))
+    groups = materialise(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    free_shuffles(spark)
+    similar = materialise(similar_in(groups, docs.select(F.col("_hash").alias("node"), "text"), size), "similar")
     free_shuffles(spark)
     edges = same[0].unionByName(same[1]).unionByName(found).unionByName(similar)
     rooted = classes.join(simhash.components(edges), "node", "left").withColumn("_root", F.coalesce("root", "node"))

@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the least id (of rows equal in that, the least hash).
 
-    Documents link by SimHash (4 words, 4 of 64 bits) and by a wider one (5 words, 40 of 256 bits: a similarity of about 0.8).
+    Documents link by SimHash (4 words, 4 of 64 bits) and by a Jaccard similarity of 0.8 of their distinct five-word shingles.
     """
     keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_hash": doc_hash("doc_id", "text")})
     keys = materialise(first_of_groups(keyed.select("_id", "_hash", "text")), "kept")
