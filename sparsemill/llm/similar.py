@@ -12,13 +12,13 @@ if one has fewer than FEW shingles) are put in one group. At 0.8 40 bits differ
 (48 for the smallest sets), so a pair at 0.8 is past the limit about once in 10^10 times. The limit only keeps groups small.
 
 Decision. The shingle sets of a group are sent to one task, once each, and compared there: |x & y| / |x | y| >= 0.8 in whole
-numbers. Texts of fewer than SHINGLES distinct shingles take no part.
+numbers. Short texts and texts that repeat themselves are searched like all others; only texts without a word take no part.
 
 Distribution. Keys go to buckets by hash, packed. Keys with up to SMALL members are compared pairwise, larger ones
 searched member by member; a bucket gives stars around the least member, never pairs, and no join has pairs. A group
 of very many alike texts is held by one task. Null ids must not occur (the caller names nodes).
 
-`add_marks` and `links` search fingerprints alone, at WIDE_MOST of 256 bits under Golay keys; the pipeline does not use them.
+`add_marks` and `links` search fingerprints alone, at WIDE_MOST of 256 bits under Golay keys and from SHINGLES shingles on; the pipeline does not use them.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ _PAIRS = list(combinations(range(6), 2))
 _DOC = np.dtype([("node", "<i8"), ("bits", "<u8", (WORDS,))])
 _COLUMNS = [f"_w{k}" for k in range(WORDS)]
 LOOSE, LOOSE_FEW, FEW = 80, 96, 32
-KEY_ENTRIES, SET_BYTES, SAMPLE, COMMON = 2 << 20, 32 << 20, 4096, 8
+KEY_ENTRIES, SET_BYTES, SAMPLE, COMMON = 1 << 20, 16 << 20, 4096, 8
 _SIZED = np.dtype([("node", "<i8"), ("n", "<i8"), ("bits", "<u8", (WORDS,))])
 
 
@@ -196,7 +196,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def add_keys(df: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
-    """df without text_col, with _fp as in simhash, _set (a hash of all shingles), _n (how many), _w0 to _w3 and _keys (the first shingles); null but _fp for texts that take no part."""
+    """df without text_col, with _fp as in simhash, _set (a hash of all shingles), _n (how many), _w0 to _w3 and _keys (the first shingles); null but _fp for texts without a word."""
     bounded_batches(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def add_keys(df: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
                 for text in as_bytes(part.column(text_col)):
                     own = shingles(text)
                     n, mark = len(own), [None] * (3 + WORDS)
-                    if n >= SHINGLES:
+                    if n:
                         late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(n, dtype=bool)
                         keys = np.concatenate((own[~late], own[late]))[: n - (4 * n + 4) // 5 + 1]
                         mark = [signed(xxhash.xxh64_intdigest(own.tobytes())), n, *(signed(fingerprint(mix(own ^ U64(k)))) for k in range(WORDS)), keys.tobytes()]

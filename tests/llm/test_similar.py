@@ -67,3 +67,21 @@ def test_similarity_of_four_fifths_decides(spark):
     assert all(want[k] == k - 1 for k in range(1, 200, 4)) and sum(want[k] == k for k in range(3, 200, 4)) >= 40
     docs = spark.createDataFrame([(k, 1000 + k, t) for k, t in enumerate(texts)], "_id long, _hash long, text string")
     assert sorted(r["_id"] for r in sm.first_of_groups(docs).collect()) == sorted(set(want))
+
+
+def test_short_and_repeating_texts_take_part(spark):
+    """Near copies of few distinct shingles: 5 to 27 words with one appended, and long texts of a repeated phrase."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    texts = []
+    for n in [8, 9, 12, 16, 20, 24, 27] * 8:
+        base = " ".join(word() for _ in range(n))
+        texts += [base, f"{base} {word()}"]
+    for _ in range(8):
+        phrase = " ".join(word() for _ in range(15))
+        texts += [" ".join([phrase] * 6), f"{' '.join([phrase] * 7)} {word()}"]
+    texts += [f"{word()} same words here every time {word()}" for _ in range(60)] + ["one", "ONE", "two", "", " "]
+    want = similar_groups(texts)
+    assert all(want[k] == k - 1 for k in range(1, 128, 2)) and len(set(want)) == 64 + 60 + 3
+    docs = spark.createDataFrame([(k, 1000 + k, t) for k, t in enumerate(texts)], "_id long, _hash long, text string")
+    assert sorted(r["_id"] for r in sm.first_of_groups(docs).collect()) == sorted(set(want))
