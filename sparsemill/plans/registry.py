@@ -66,7 +66,7 @@ def _shards(spark: SparkSession, d: str) -> tuple[Matrix, DataFrame, DataFrame,
     m = square(spark, d)
     dealt = pt.partition_rows(cv.dedup(m.coo), m.num_rows, PARTS)
     layout = pt.part_layout(dealt, m.num_rows, m.num_cols, PARTS, SHARD_WIDTH, DENSE)
-    needed = pt.needed_columns(dealt.where("col % 7 = 0"), layout.where("offset % 5 = 0"), m.num_rows, m.num_cols, PARTS, SHARD_WIDTH)
+    needed = pt.needed_columns(dealt, layout, m.num_rows, m.num_cols, PARTS, SHARD_WIDTH)
     ranges = pt.data_ranges(needed)
     return m, layout, ranges, pt.owner_ranges(ranges, m.num_cols, PARTS)
 
