@@ -57,3 +57,13 @@ def test_ranges_owners_sizes_and_offsets_cover_every_needed_column(spark, small)
 
     got = {(r["part"], r["block"], r["offset"]): r["position"] for r in registry.vector_offsets(spark, d).collect()}
     assert got == {g: position(*g) for g in kept} and pt.NOT_FOUND not in got.values()
+
+
+def test_sums_take_every_part(spark, small):
+    d, n, lineitem = small
+    want = {k: k % 50 + 1.0 for k in range(n)}
+    for _, c, v in lineitem:
+        want[c] += v
+    one_sided = set(range(n)) - {c for _, c, _ in lineitem}
+    got = {r["idx"]: r["x"] for r in registry.vector_add(spark, d).collect()}
+    assert got == want and {k % 3 == 0 for k in one_sided} == {True, False}
