@@ -67,3 +67,13 @@ def test_sums_take_every_part(spark, small):
     one_sided = set(range(n)) - {c for _, c, _ in lineitem}
     got = {r["idx"]: r["x"] for r in registry.vector_add(spark, d).collect()}
     assert got == want and {k % 3 == 0 for k in one_sided} == {True, False}
+
+
+def test_comparison_has_every_noise_level(spark, tmp_path):
+    """Levels 0 to 0.2 have both methods, 0.3 the baseline only, 0.4 the hybrid only."""
+    rows = [(10 * u + k, u, kind, value + k) for u, kind, value in
+            ((0, "click", 8.0), (0, "view", 2.0), (1, "click", 6.0), (1, "view", 3.0), (2, "click", 4.0), (2, "view", 7.0), (3, "click", 5.0), (4, "view", 9.0)) for k in (0, 2)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {round(r["noise_level"], 1): (r["baseline_mean_ms"], r["hybrid_mean_ms"], r["speedup"]) for r in registry.runtime_comparison(spark, str(tmp_path)).collect()}
+    assert got == {0.0: (9.0, 3.0, 3.0), 0.1: (7.0, 4.0, 1.75), 0.2: (5.0, 8.0, 0.625), 0.3: (6.0, None, None), 0.4: (None, 10.0, None)}
+    assert tuple(registry.speedup_extremes(spark, str(tmp_path)).first()) == (round((3 + 1.75 + 0.625) / 3, 6), 3.0, 0.625)
