@@ -486,12 +486,12 @@ def parametric_ci(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return an.bootstrap_ci(measurements(spark, d), "noise_level", "method", resamples=1000)
+    return an.bootstrap_ci(measurements(spark, d), "noise_level", "method")
 
 
 @query()
 def bootstrap_speedup_ci(spark, d):
-    return an.bootstrap_speedup_ci(measurements(spark, d), "baseline", "hybrid", "noise_level", resamples=1000)
+    return an.bootstrap_speedup_ci(measurements(spark, d), "baseline", "hybrid", "noise_level")
 
 
 @query()

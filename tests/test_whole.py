@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from sparsemill.operators import analysis as an
 from sparsemill.operators import partition as pt
 from sparsemill.plans import registry
 
@@ -77,3 +78,13 @@ def test_comparison_has_every_noise_level(spark, tmp_path):
     got = {round(r["noise_level"], 1): (r["baseline_mean_ms"], r["hybrid_mean_ms"], r["speedup"]) for r in registry.runtime_comparison(spark, str(tmp_path)).collect()}
     assert got == {0.0: (9.0, 3.0, 3.0), 0.1: (7.0, 4.0, 1.75), 0.2: (5.0, 8.0, 0.625), 0.3: (6.0, None, None), 0.4: (None, 10.0, None)}
     assert tuple(registry.speedup_extremes(spark, str(tmp_path)).first()) == (round((3 + 1.75 + 0.625) / 3, 6), 3.0, 0.625)
+
+
+def test_bootstraps_take_ten_thousand_resamples(spark, tmp_path, monkeypatch):
+    rows = [(100 * k + u, u, kind, 1.0 + (7 * k + u) % 11) for k in range(12) for u, kind in ((0, "click"), (5, "view"))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    m, d = registry.measurements(spark, str(tmp_path)), str(tmp_path)
+    whole = an.bootstrap_ci(m, "noise_level", "method", resamples=10_000)
+    assert sorted(map(tuple, registry.bootstrap_ci(spark, d).collect())) == sorted(map(tuple, whole.collect()))
+    whole = an.bootstrap_speedup_ci(m, "baseline", "hybrid", "noise_level", resamples=10_000)
+    assert registry.bootstrap_speedup_ci(spark, d).collect() == whole.collect()
