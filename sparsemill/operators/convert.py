@@ -20,11 +20,11 @@ STRETCH = 4096
 
 
 def dedup(coo: DataFrame, duplicates: str = "sum") -> DataFrame:
-    """One entry for each cell: the sum of its entries (zero sums stay), or the one written last."""
+    """One entry for each cell: the sum of its entries (zero sums stay), or the one written last (of those the largest, where seq ties)."""
     if duplicates == "last":
         if "seq" not in coo.columns:
             raise ValueError("the last writer needs a seq column")
-        value = F.max_by("val", "seq")
+        value = F.max_by("val", F.struct("seq", "val"))
     elif duplicates == "sum":
         value = F.sum("val")
     else:

@@ -88,3 +88,10 @@ def test_bootstraps_take_ten_thousand_resamples(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, registry.bootstrap_ci(spark, d).collect())) == sorted(map(tuple, whole.collect()))
     whole = an.bootstrap_speedup_ci(m, "baseline", "hybrid", "noise_level", resamples=10_000)
     assert registry.bootstrap_speedup_ci(spark, d).collect() == whole.collect()
+
+
+def test_last_writer_keeps_tied_cells(spark, tmp_path):
+    rows = [(1, 1, 5, 7, 3.0), (1, 1, 5, 7, 4.0), (2, 1, 5, 7, 1.0), (3, 1, 5, 8, 9.0), (3, 1, 5, 8, 2.0), (1, 2, 6, 7, 6.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, registry.coo_dedup_last(spark, str(tmp_path)).select("row", "col", "val").collect()))
+    assert got == [(5, 7, 1.0), (5, 8, 9.0), (6, 7, 6.0)]
