@@ -45,6 +45,13 @@ def tall(spark: SparkSession, d: str) -> Matrix:
     return Matrix.from_df(coo, num_rows=rows, num_cols=24, check=False)
 
 
+def tall_squared(spark: SparkSession, d: str) -> Matrix:
+    """The user x hour matrix with empty columns (or rows) up to a square, so that diagonals reach every row."""
+    m = tall(spark, d)
+    n = max(m.num_rows, m.num_cols)
+    return Matrix.from_df(m.coo, num_rows=n, num_cols=n, check=False)
+
+
 def sizes_vector(spark: SparkSession, d: str) -> DataFrame:
     return _load(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("x"))
 
@@ -171,12 +178,12 @@ def dia_long(spark, d):
 
 @query('SELECT user_id AS "row", hour(ts)::BIGINT AS col, count(*)::DOUBLE AS val FROM events WHERE user_id < 24 GROUP BY 1, 2')
 def dia_round_trip(spark, d):
-    return cv.dia_to_coo(cv.to_dia(tall(spark, d)).dia)
+    return cv.dia_to_coo(cv.to_dia(tall_squared(spark, d)).dia)
 
 
 @query("WITH u AS (SELECT user_id AS r, hour(ts)::BIGINT AS c FROM events GROUP BY 1, 2) SELECT r // 8 AS block, c - r AS \"offset\", count(*) AS n FROM u WHERE r // 8 < 3 GROUP BY 1, 2")
 def block_offset_counts(spark, d):
-    m = tall(spark, d)
+    m = tall_squared(spark, d)
     return cv.block_offset_counts(cv.dedup(m.coo), m.num_rows, m.num_cols, 8)
 
 

@@ -95,3 +95,14 @@ def test_last_writer_keeps_tied_cells(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = sorted(map(tuple, registry.coo_dedup_last(spark, str(tmp_path)).select("row", "col", "val").collect()))
     assert got == [(5, 7, 1.0), (5, 8, 9.0), (6, 7, 6.0)]
+
+
+def test_diagonals_reach_every_user(spark, tmp_path):
+    rows = [(u, f"2024-01-01 {(5 * u + k) % 24:02d}:00:00") for u in range(40) for k in range(3)]
+    events = spark.createDataFrame(rows, "user_id long, t string").selectExpr("user_id", "cast(t as timestamp) as ts")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    cells = [(u, int(t[11:13])) for u, t in rows]
+    got = registry.dia_round_trip(spark, str(tmp_path)).select("row", "col", "val").collect()
+    assert sorted(map(tuple, got)) == sorted((r, c, 1.0) for r, c in cells)
+    got = registry.block_offset_counts(spark, str(tmp_path)).select("block", "offset", "n").collect()
+    assert {(r["block"], r["offset"]): r["n"] for r in got} == Counter((r // 8, c - r) for r, c in cells)
