@@ -93,9 +93,9 @@ _P = f"""{_U}, b AS (SELECT {_N} AS n, {_N} // 4 AS r),
 p AS (SELECT least("row" // r, 3) AS part, "row", col, val, "row" - least("row" // r, 3) * r AS lr FROM u, b),
 l AS (SELECT part, lr // 16 AS block, col - "row" AS off, count(*) AS n, count(*) >= 2 AS kept FROM p GROUP BY 1, 2, 3)"""
 _R = f"""{_P}, need AS (
-  SELECT DISTINCT part, col FROM p WHERE col % 7 = 0 UNION
+  SELECT DISTINCT part, col FROM p UNION
   SELECT DISTINCT part, c AS col FROM (SELECT part, unnest(generate_series(part * r + block * 16 + off, least(part * r + block * 16 + 16, CASE WHEN part = 3 THEN b.n ELSE (part + 1) * r END) + off - 1)) AS c, b.n AS nn
-    FROM l, b WHERE kept AND off % 5 = 0) WHERE c >= 0 AND c < nn),
+    FROM l, b WHERE kept) WHERE c >= 0 AND c < nn),
 isl AS (SELECT part, col, col - row_number() OVER (PARTITION BY part ORDER BY col) AS i FROM need),
 rg AS (SELECT part, min(col) AS range_start, max(col) + 1 AS range_end FROM isl GROUP BY part, i),
 ow AS (SELECT part, o AS owner, greatest(range_start, o * r) AS range_start, CASE WHEN o = 3 THEN range_end ELSE least(range_end, (o + 1) * r) END AS range_end
@@ -159,8 +159,8 @@ def coo_dedup_sum(spark, d):
     return cv.dedup(wide(spark, d).coo)
 
 
-@query('SELECT l_suppkey AS "row", l_partkey AS col, max_by(l_quantity, l_orderkey * 10 + l_linenumber) AS val FROM lineitem WHERE l_suppkey * 1000000 + l_partkey NOT IN '
-       '(SELECT l_suppkey * 1000000 + l_partkey FROM lineitem GROUP BY l_suppkey, l_partkey, l_orderkey * 10 + l_linenumber HAVING count(*) > 1) GROUP BY 1, 2')
+@query("""SELECT "row", col, val FROM (SELECT l_suppkey AS "row", l_partkey AS col, l_quantity AS val,
+  row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 10 + l_linenumber DESC, l_quantity DESC) AS k FROM lineitem) WHERE k = 1""")
 def coo_dedup_last(spark, d):
     li = _load(spark, d, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return cv.dedup(li, "last")
@@ -176,12 +176,12 @@ def dia_long(spark, d):
     return cv.dia_long(wide(spark, d))
 
 
-@query('SELECT user_id AS "row", hour(ts)::BIGINT AS col, count(*)::DOUBLE AS val FROM events WHERE user_id < 24 GROUP BY 1, 2')
+@query('SELECT user_id AS "row", hour(ts)::BIGINT AS col, count(*)::DOUBLE AS val FROM events GROUP BY 1, 2')
 def dia_round_trip(spark, d):
     return cv.dia_to_coo(cv.to_dia(tall_squared(spark, d)).dia)
 
 
-@query("WITH u AS (SELECT user_id AS r, hour(ts)::BIGINT AS c FROM events GROUP BY 1, 2) SELECT r // 8 AS block, c - r AS \"offset\", count(*) AS n FROM u WHERE r // 8 < 3 GROUP BY 1, 2")
+@query("WITH u AS (SELECT user_id AS r, hour(ts)::BIGINT AS c FROM events GROUP BY 1, 2) SELECT r // 8 AS block, c - r AS \"offset\", count(*) AS n FROM u GROUP BY 1, 2")
 def block_offset_counts(spark, d):
     m = tall_squared(spark, d)
     return cv.block_offset_counts(cv.dedup(m.coo), m.num_rows, m.num_cols, 8)
@@ -270,7 +270,7 @@ def spmv_coo_fallback(spark, d):
     return mv.spmv_coo(m.hybrid.fallback, sizes_vector(spark, d), m.num_rows, size=m.num_cols)
 
 
-@query("SELECT coalesce(a.i, b.i) AS idx, coalesce(a.x, 0) + coalesce(b.x, 0) AS x FROM (SELECT p_partkey AS i, p_size::DOUBLE AS x FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT l_partkey AS i, sum(l_quantity) AS x FROM lineitem GROUP BY 1) b ON a.i = b.i")
+@query("SELECT coalesce(a.i, b.i) AS idx, coalesce(a.x, 0) + coalesce(b.x, 0) AS x FROM (SELECT p_partkey AS i, p_size::DOUBLE AS x FROM part) a FULL JOIN (SELECT l_partkey AS i, sum(l_quantity) AS x FROM lineitem GROUP BY 1) b ON a.i = b.i")
 def vector_add(spark, d):
     sums = _load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("idx")).agg(F.sum("l_quantity").alias("x"))
     return mv.vector_add(sizes_vector(spark, d), sums)
@@ -422,7 +422,7 @@ def print_stats(spark, d):
     return _rounded(an.print_stats(measurements(spark, d), "method"), "mean", "std")
 
 
-_CMP = f"""{_M}, b AS (SELECT noise_level, avg(time_ms) AS x FROM m WHERE method = 'baseline' AND noise_level > 0.05 GROUP BY 1), h AS (SELECT noise_level, avg(time_ms) AS y FROM m WHERE method = 'hybrid' AND noise_level < 0.35 GROUP BY 1),
+_CMP = f"""{_M}, b AS (SELECT noise_level, avg(time_ms) AS x FROM m WHERE method = 'baseline' GROUP BY 1), h AS (SELECT noise_level, avg(time_ms) AS y FROM m WHERE method = 'hybrid' GROUP BY 1),
 j AS (SELECT coalesce(b.noise_level, h.noise_level) AS noise_level, x, y FROM b FULL JOIN h ON b.noise_level = h.noise_level)"""
 
 
