@@ -12,8 +12,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparsemill.functions.arrays import sorted_cells, zero_filled
 from sparsemill.functions.prefix import running_total
-from sparsemill.schema import BLOCK_WIDTH, MOST_CELLS, THRESHOLD, HybridLayout, Matrix, num_blocks
+from sparsemill.schema import BLOCK_WIDTH, MOST_CELLS, MOST_DIAGONAL, THRESHOLD, HybridLayout, Matrix, num_blocks
 
 #: Blocks or rows that one stretch of a running sum covers.
 STRETCH = 4096
@@ -51,17 +52,21 @@ def dia_long(m: Matrix, *, assume_unique: bool = False) -> DataFrame:
 
 
 def to_dia(m: Matrix, *, assume_unique: bool = False) -> Matrix:
-    """m with dia: offset and its zero-filled array, indexed by local row. Every offset of an entry is kept."""
+    """m with dia: offset and its zero-filled array, indexed by local row. Every offset of an entry is kept.
+
+    A diagonal is one row, so its length is bounded; `dia_long` has the same cells without that bound.
+    """
     if m.has("dia") or not m.has("coo"):
         return m
     coo, length = m.coo if assume_unique else dedup(m.coo), min(m.num_rows, m.num_cols)
     offs = with_offsets(coo)
+    if length > MOST_DIAGONAL:
+        raise ValueError(f"a diagonal would have {length} cells")
     if (cells := length * offs.select("offset").distinct().count()) > MOST_CELLS:
         raise ValueError(f"the diagonal layout would have {cells} cells")
-    inside = F.when(F.col("row") < length, F.struct("row", "val"))
-    arrays = offs.groupBy("offset").agg(F.map_from_entries(F.collect_list(inside)).alias("m"))
-    fill = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max(0, length - 1)).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return replace(m, dia=arrays.select("offset", (fill if length else F.array().cast("array<double>")).alias("diag")))
+    inside = F.when(F.col("row") < length, F.col("row"))
+    arrays = offs.groupBy("offset").agg(sorted_cells(inside, F.col("val")).alias("cells"))
+    return replace(m, dia=arrays.select("offset", zero_filled(F.col("cells"), length).alias("diag")))
 
 
 def dia_to_coo(dia: DataFrame) -> DataFrame:
@@ -113,10 +118,12 @@ def check_storage(layout: HybridLayout) -> int:
 
 def blocks(layout: HybridLayout) -> DataFrame:
     """block, offset, lanes: zero-filled arrays of the block width."""
-    width = layout.block_width
-    grouped = layout.cells.groupBy("block", "offset").agg(F.map_from_entries(F.collect_list(F.struct("lane", "val"))).alias("m"))
-    lanes = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return grouped.select("block", "offset", lanes.alias("lanes"))
+    return packed_blocks(layout).select("block", "offset", zero_filled(F.col("cells"), layout.block_width).alias("lanes"))
+
+
+def packed_blocks(layout: HybridLayout) -> DataFrame:
+    """block, offset, cells: the lanes that hold entries, as (pos, val) by lane. Entries are dealt by (block, offset) already."""
+    return layout.cells.groupBy("block", "offset").agg(sorted_cells(F.col("lane"), F.col("val")).alias("cells"))
 
 
 def hybrid_to_coo(layout: HybridLayout) -> DataFrame:

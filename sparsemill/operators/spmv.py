@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparsemill.operators.convert import blocks, dedup
+from sparsemill.functions.arrays import sorted_cells, zero_filled
+from sparsemill.operators.convert import dedup, packed_blocks
 from sparsemill.schema import HybridLayout, Matrix, Vector
 
 #: Most elements of x that are broadcast: 16 bytes each, so 32 MB.
@@ -39,31 +40,32 @@ def spmv_coo(coo: DataFrame, x: DataFrame, num_rows: int, *, size: int | None =
     return total(partial_products(coo, x, size=size), num_rows)
 
 
-def block_products(layout: HybridLayout, x: DataFrame) -> DataFrame:
-    """row, y from whole lanes: one join row for each kept (block, offset) and side, not for each entry.
+def block_products(layout: HybridLayout, x: DataFrame, *, size: int | None = None) -> DataFrame:
+    """row, y by lanes: one join row for each kept (block, offset) and side, not for each entry.
 
     x is cut into segments of the block width. A diagonal's window of x spans two segments at most;
-    where a segment is missing it is zero, which is the rule for columns outside the matrix.
+    where a segment is missing it is zero, which is the rule for columns outside the matrix. Only lanes
+    that hold an entry are multiplied: an empty lane adds nothing.
     """
     w = layout.block_width
-    segments = x.groupBy(F.expr(f"idx div {w}").alias("seg")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr(f"idx % {w}").alias("p"), "x"))).alias("m"))
-    lane = F.sequence(F.lit(0).cast("long"), F.lit(w - 1).cast("long"))
-    segments = segments.select("seg", F.transform(lane, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("s"))
+    segments = x.groupBy(F.expr(f"idx div {w}").alias("seg")).agg(sorted_cells(F.expr(f"idx % {w}"), F.col("x")).alias("cells"))
+    segments = segments.select("seg", zero_filled(F.col("cells"), w).alias("s"))
+    if size is not None and size <= BROADCAST_ELEMENTS:
+        segments = F.broadcast(segments)
     start = F.col("block") * w + F.col("offset")
-    kept = blocks(layout).withColumn("seg", F.floor(start / w).cast("long")).withColumn("shift", F.pmod(start, F.lit(w)).cast("int"))
-    zero = F.array_repeat(F.lit(0.0), w)
+    kept = packed_blocks(layout).withColumn("seg", F.floor(start / w).cast("long")).withColumn("shift", F.pmod(start, F.lit(w)).cast("long"))
     one = kept.join(segments.withColumnRenamed("s", "s0"), "seg", "left").withColumn("seg", F.col("seg") + 1)
     two = one.join(segments.withColumnRenamed("s", "s1"), "seg", "left")
-    window = F.slice(F.concat(F.coalesce("s0", zero), F.coalesce("s1", zero)), F.col("shift") + 1, F.lit(w))
-    products = F.zip_with("lanes", window, lambda a, b: F.when(a == 0, F.lit(0.0)).otherwise(a * b))
-    rows = two.select("block", F.posexplode(products).alias("lane", "y"))
-    return rows.select((F.col("block") * w + F.col("lane")).alias("row"), "y").where((F.col("row") < layout.num_rows) & (F.col("y") != 0))
+    at = lambda c: (F.col("shift") + c["pos"]).cast("int")
+    element = lambda c: F.coalesce(F.when(at(c) < w, F.get("s0", at(c))).otherwise(F.get("s1", at(c) - w)), F.lit(0.0))
+    products = F.transform("cells", lambda c: F.struct((F.col("block") * w + c["pos"]).alias("row"), _product(c["val"], element(c)).alias("y")))
+    return two.select(F.inline(products))
 
 
 def spmv_hybrid(layout: HybridLayout, x: DataFrame, *, strategy: str = "join", size: int | None = None) -> DataFrame:
     """Block and fallback products together, under one final sum; entry by entry, one pass over both parts."""
     if strategy == "block":
-        both = block_products(layout, x).unionByName(partial_products(layout.fallback, x, size=size))
+        both = block_products(layout, x, size=size).unionByName(partial_products(layout.fallback, x, size=size))
     else:
         both = partial_products(layout.entries.select("row", "col", "val"), x, size=size)
     return total(both, layout.num_rows)

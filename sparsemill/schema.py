@@ -17,6 +17,8 @@ VECTOR = T.StructType([T.StructField("idx", T.LongType()), T.StructField("x", T.
 BLOCK_WIDTH, THRESHOLD = 32, 1
 #: The largest number of cells that a dense encoding may have.
 MOST_CELLS = 100_000_000_000
+#: The longest diagonal that one row holds: 128 MB.
+MOST_DIAGONAL = 1 << 24
 ENCODINGS = ("coo", "dia", "hybrid")
 
 
