@@ -11,14 +11,15 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparsemill.functions.prefix import running_total
 from sparsemill.operators.convert import dedup, with_offsets
 from sparsemill.operators.spmv import total
 from sparsemill.schema import Matrix, Vector
 
-#: What stands for an index that is in no buffer.
+# fixed values: what stands for an index that is in no buffer
 NOT_FOUND = -(1 << 31)
-#: Columns that one stretch of the gaps-and-islands step covers.
-STRETCH = 65536
+#: Columns that one stretch covers: of the gaps-and-islands step and running sums, and of the search for a range.
+STRETCH, SEARCH = 65536, 1024
 
 
 class Partitioner(Protocol):
@@ -136,18 +137,17 @@ def needed_columns(dealt: DataFrame, layout: DataFrame | None, num_rows: int, nu
 def data_ranges(needed: DataFrame) -> DataFrame:
     """part, range_start, range_end: the union of the runs as separate ranges.
 
-    Ranges within a stretch of starts are joined first, so that one part's columns are not all in one task;
-    the stretches' ranges, far fewer, are joined after.
+    A run begins a range if no earlier one reaches it. What earlier runs reach is known within a stretch
+    of starts from its rows, and from before the stretch by one number, so no part's columns are all in one task.
     """
-
-    def merged(df: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("lo", "hi")
-        reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        marked = df.withColumn("new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
-        return marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
-
-    near = merged(needed.withColumn("stretch", F.expr(f"lo div {STRETCH}")), ["part", "stretch"]).drop("stretch")
-    return merged(near, ["part"]).select("part", F.col("lo").alias("range_start"), F.col("hi").alias("range_end"))
+    key, first = ["part", "stretch"], Window.unboundedPreceding
+    runs = needed.withColumn("stretch", F.expr(f"lo div {STRETCH}"))
+    inside, across = Window.partitionBy(*key).orderBy("lo", "hi").rowsBetween(first, -1), Window.partitionBy("part").orderBy("stretch").rowsBetween(first, -1)
+    ends = runs.groupBy(*key).agg(F.max("hi").alias("end")).select(*key, F.max("end").over(across).alias("before"))
+    reach = F.greatest(F.max("hi").over(inside), F.col("before"))  # of the two, the one that is not null
+    marked = runs.join(ends, key).withColumn("reach", reach).withColumn("new", F.when(F.col("lo") <= F.col("reach"), 0).otherwise(1).cast("long")).drop("reach", "before", "stretch")
+    islands = running_total(marked, "lo", F.col("new"), "island", span=STRETCH, ties=("hi",), by=("part",), inclusive=True)
+    return islands.groupBy("part", "island").agg(F.min("lo").alias("range_start"), F.max("hi").alias("range_end")).drop("island")
 
 
 def owner_ranges(ranges: DataFrame, num_cols: int, parts: int) -> DataFrame:
@@ -173,8 +173,8 @@ def buffer_positions(owned: DataFrame, sizes: DataFrame, num_rows: int, parts: i
     p = RowWise(num_rows, parts)
     length = F.col("range_end") - F.col("range_start")
     side = F.col("owner") > F.col("part")
-    before = Window.partitionBy("part", side).orderBy("owner", "range_start").rowsBetween(Window.unboundedPreceding, -1)
-    foreign = owned.where("owner != part").withColumn("before", F.coalesce(F.sum(length).over(before), F.lit(0)))
+    # owners follow one another as their columns do, so the order of starts is the order of (owner, start)
+    foreign = running_total(owned.where("owner != part").withColumn("_side", side), "range_start", length, "before", span=STRETCH, by=("part", "_side"))
     local = F.when(F.col("part") == parts - 1, F.lit(num_rows - (parts - 1) * p.each)).otherwise(F.lit(p.each))
     return foreign.join(sizes.select("part", "left_size"), "part").select("part", "range_start", "range_end", (F.col("before") + F.when(side, F.col("left_size") + local).otherwise(0)).alias("base"))
 
@@ -190,10 +190,12 @@ def vector_offsets(layout: DataFrame, owned: DataFrame, num_rows: int, parts: in
     first = p.start(F.col("part"))
     end = F.when(F.col("part") == parts - 1, F.lit(num_rows)).otherwise(first + p.each)
     asked = layout.where("kept").select("part", "block", "offset").withColumn("idx", first + F.col("block") * block_width + F.col("offset")).join(sizes.select("part", "left_size"), "part")
-    # only indices outside the part look for a range; ranges of a part do not overlap, so at most one is found
-    ranges = buffer_positions(owned, sizes, num_rows, parts).withColumnRenamed("part", "_part")
-    found = asked.join(ranges, (F.col("part") == F.col("_part")) & (F.col("idx") >= F.col("range_start")) & (F.col("idx") < F.col("range_end")), "left")
+    # a range is listed in every stretch that it touches; a part's ranges do not overlap, so at most one is found
+    last = F.expr(f"(range_end - 1) div {SEARCH}")
+    ranges = buffer_positions(owned, sizes, num_rows, parts).withColumn("_at", F.explode(F.sequence(F.expr(f"range_start div {SEARCH}"), last))).withColumnRenamed("part", "_part")
     local = (F.col("idx") >= first) & (F.col("idx") < end)
+    asked = asked.withColumn("_own", F.expr(f"idx div {SEARCH}"))
+    found = asked.join(ranges, (F.col("part") == F.col("_part")) & (F.col("_own") == F.col("_at")) & (F.col("idx") >= F.col("range_start")) & (F.col("idx") < F.col("range_end")), "left")
     position = F.when(local, F.col("left_size") + F.col("idx") - first).when(F.col("idx") < 0, F.col("idx")).otherwise(F.coalesce(F.col("base") + F.col("idx") - F.col("range_start"), F.lit(NOT_FOUND)))
     return found.select("part", "block", "offset", position.cast("long").alias("position"))
 
