@@ -115,15 +115,42 @@ def bootstrap_ci(df: DataFrame, *by: str, statistic: str = "median", resamples:
     return df.where("time_ms is not null").groupBy(*by).applyInPandas(work, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", f"{statistic} double", "ci_low double", "ci_high double"]))
 
 
+#: D'Agostino and Pearson's test, step by step, from a sample's size n (8 at least), skewness g1 and kurtosis g2.
+_DAGOSTINO = {
+    "y": "g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2)))",
+    "beta": "3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))",
+    "w2": "sqrt(2 * (beta - 1)) - 1",
+    "z1": "asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2)",
+    "v": "(g2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))",
+    "root": "6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))",
+    "a": "6 + 8 / root * (2 / root + sqrt(1 + 4 / (root * root)))",
+    "z2": "(1 - 2 / (9 * a) - cbrt(try_divide(1 - 2 / a, 1 + v * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a))",
+    "p_value": "exp(-(z1 * z1 + z2 * z2) / 2)",
+}
+
+
 def normality(df: DataFrame, *by: str) -> DataFrame:
-    """n, p_value of D'Agostino and Pearson's test, and whether the sample passes for normal (never under 8 values)."""
+    """n, p_value of D'Agostino and Pearson's test, and whether the sample passes for normal (never under 8 values or where all are equal).
+
+    The test needs a group's moments alone, so no sample is gathered.
+    """
+    steps = df.groupBy(*by).agg(F.count("time_ms").alias("_n"), F.skewness("time_ms").alias("g1"), (F.kurtosis("time_ms") + 3).alias("g2")).where("_n > 0")
+    steps = steps.withColumn("n", F.greatest("_n", F.lit(8)).cast("double"))
+    for name, value in _DAGOSTINO.items():
+        steps = steps.withColumn(name, F.expr(value))
+    p = F.when(F.col("_n") < 8, None).otherwise(F.col("p_value"))
+    return steps.select(*by, F.col("_n").alias("n"), F.coalesce(p, F.lit(float("nan"))).alias("p_value"), F.coalesce(p > 0.05, F.lit(False)).alias("is_normal"))
+
+
+def shapiro(df: DataFrame, *by: str) -> DataFrame:
+    """n, w and p_value of Shapiro and Wilk's test, and is_normal (p of 0.05 or more). The test sorts a group's sample: one run's measurements."""
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
-        p = st.normality(g["time_ms"].to_numpy(dtype=float))
-        return pd.DataFrame({**{c: [g[c].iloc[0]] for c in by}, "n": [len(g)], "p_value": [p], "is_normal": [bool(p > 0.05)]})
+        w, p = st.shapiro(g["time_ms"].to_numpy(dtype=float))
+        return pd.DataFrame({**{c: [g[c].iloc[0]] for c in by}, "n": [len(g)], "w": [w], "p_value": [p], "is_normal": [bool(p >= 0.05)]})
 
     kinds = dict(df.dtypes)
-    return df.where("time_ms is not null").groupBy(*by).applyInPandas(work, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", "p_value double", "is_normal boolean"]))
+    return df.where("time_ms is not null").groupBy(*by).applyInPandas(work, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", "w double", "p_value double", "is_normal boolean"]))
 
 
 def location_measure(tests: DataFrame) -> DataFrame:

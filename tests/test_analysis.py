@@ -35,6 +35,29 @@ def test_tests():
     assert lo < a.mean() < hi
 
 
+def test_shapiro():
+    """Published values for a sample of eleven weights, and what the test says of known shapes."""
+    w, p = st.shapiro(np.array([148.0, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]))
+    assert w == pytest.approx(0.78881, abs=1e-4) and p == pytest.approx(0.006704, abs=1e-5)
+    rng = np.random.default_rng(2)
+    assert np.mean([st.shapiro(rng.normal(size=40))[1] < 0.05 for _ in range(400)]) < 0.09
+    assert st.shapiro(rng.exponential(size=60))[1] < 1e-4 and st.shapiro(np.array([1.0, 2, 3]))[0] == pytest.approx(1)
+    assert math.isnan(st.shapiro(np.ones(9))[1]) and math.isnan(st.shapiro(np.array([1.0, 2]))[0])
+
+
+def test_normality_from_moments(spark):
+    """Sums over groups say what the whole sample does; small and constant samples never pass."""
+    rng = np.random.default_rng(3)
+    groups = {"n": rng.normal(5, 2, 60), "e": rng.exponential(1, 60), "few": rng.normal(size=7), "same": np.ones(20), "t": rng.standard_t(3, 300)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("n", None)], "method string, time_ms double")
+    for r in an.normality(df, "method").collect():
+        want = st.normality(groups[r["method"]])
+        assert r["n"] == len(groups[r["method"]]) and r["is_normal"] == (want > 0.05)
+        assert r["p_value"] == pytest.approx(want, rel=1e-9, nan_ok=True)
+    got = {r["method"]: r for r in an.shapiro(df, "method").collect()}
+    assert got["n"]["is_normal"] and not got["e"]["is_normal"]
+
+
 def test_groups(spark):
     rows = [(0.1, m, i, 10.0 + (m == "b") + 0.1 * (i % 7)) for m in "ab" for i in range(40)]
     df = spark.createDataFrame(rows, "noise_level double, method string, iteration long, time_ms double")
