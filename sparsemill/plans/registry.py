@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsemill.functions.costs import storage_cost
+from sparsemill.functions import statistics as st
+from sparsemill.functions.costs import matrix_info, storage_cost
 from sparsemill.operators import analysis as an
 from sparsemill.operators import convert as cv
 from sparsemill.operators import partition as pt
 from sparsemill.operators import spmv as mv
-from sparsemill.plans import report
+from sparsemill.plans import report, run
 from sparsemill.schema import Matrix
 from sparsemill.sources import matrix as src
 from sparsemill.sources import sinks
+from sparsemill.sources.shared import shared_dir
 
 WIDTH, DENSE, CAP, PARTS, SHARD_WIDTH = 32, 2, 20_000, 4, 16
 
@@ -68,6 +70,11 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("method is not null")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def _shards(spark: SparkSession, d: str) -> tuple[Matrix, DataFrame, DataFrame, DataFrame]:
     """The square matrix in parts, its parts' layouts, needed ranges and their owners."""
     m = square(spark, d)
@@ -128,9 +135,21 @@ def coo_dims_inferred(spark, d):
     return coo.agg((F.max("row") + 1).alias("num_rows"), (F.max("col") + 1).alias("num_cols"), F.count("*").alias("nnz"))
 
 
-_STENCIL = """g AS (SELECT unnest(generate_series(0, 4095)) AS id), o AS (SELECT unnest(generate_series(-1, 1)) AS d),
-s AS (SELECT id AS "row", id + x.d + y.d * 16 + z.d * 256 AS col, (CASE abs(x.d) + abs(y.d) + abs(z.d) WHEN 0 THEN 2610 WHEN 1 THEN -110 WHEN 2 THEN -10 ELSE -1 END)::DOUBLE AS val
-  FROM g, o x, o y, o z WHERE id % 16 + x.d BETWEEN 0 AND 15 AND id // 16 % 16 + y.d BETWEEN 0 AND 15 AND id // 256 + z.d BETWEEN 0 AND 15)"""
+def _stencil_sql(n: int) -> str:
+    """CTEs g, o, s: the stencil of an n x n x n grid."""
+    return f"""g AS (SELECT unnest(generate_series(0, {n**3 - 1})) AS id), o AS (SELECT unnest(generate_series(-1, 1)) AS d),
+s AS (SELECT id AS "row", id + x.d + y.d * {n} + z.d * {n * n} AS col, (CASE abs(x.d) + abs(y.d) + abs(z.d) WHEN 0 THEN 2610 WHEN 1 THEN -110 WHEN 2 THEN -10 ELSE -1 END)::DOUBLE AS val
+  FROM g, o x, o y, o z WHERE id % {n} + x.d BETWEEN 0 AND {n - 1} AND id // {n} % {n} + y.d BETWEEN 0 AND {n - 1} AND id // {n * n} + z.d BETWEEN 0 AND {n - 1})"""
+
+
+def _noise_sql(n: int, draws: int) -> str:
+    """CTEs h, w, z: the noise beside that stencil."""
+    return f"""h AS (SELECT k, md5('42-' || k) AS h FROM (SELECT unnest(generate_series(0, {draws - 1})) AS k)),
+w AS (SELECT k, ('0x' || substr(h, 1, 10))::BIGINT % {n**3} AS "row", ('0x' || substr(h, 11, 10))::BIGINT % {n**3} AS col, (('0x' || substr(h, 21, 12))::BIGINT + 0.5::DOUBLE) / 140737488355328 - 1 AS val FROM h),
+z AS (SELECT "row", col, min_by(val, k) AS val FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s."row" = w."row" AND s.col = w.col) GROUP BY 1, 2)"""
+
+
+_STENCIL = _stencil_sql(16)
 
 
 @query(f"WITH {_STENCIL} SELECT * FROM s")
@@ -138,7 +157,7 @@ def stencil27(spark, d):
     return src.stencil27(spark, 16, 16, 16, scale=1).coo
 
 
-@query()
+@query(f"WITH {_STENCIL}, {_noise_sql(16, 11059)} SELECT * FROM s UNION ALL SELECT * FROM z")
 def stencil27_noise(spark, d):
     return src.stencil27(spark, 16, 16, 16, noise=0.1, scale=1).coo
 
@@ -353,15 +372,52 @@ def distributed_spmv(spark, d):
     return pt.distributed_spmv(m, Vector(sizes_vector(spark, d), m.num_cols), PARTS)
 
 
-@query(f"""WITH {_K}, t AS (SELECT (SELECT count(*) FROM u) AS nnz, (SELECT count(DISTINCT off) FROM g) AS dg, ({_N} + 31) // 32 AS nb, (SELECT count(*) FROM k WHERE kept) AS kk,
+_COSTS = f"""{_K}, t AS (SELECT (SELECT count(*) FROM u) AS nnz, (SELECT count(DISTINCT off) FROM g) AS dg, ({_N} + 31) // 32 AS nb, (SELECT count(*) FROM k WHERE kept) AS kk,
   (SELECT coalesce(sum(n), 0)::BIGINT FROM k WHERE NOT kept) AS q, {_N} AS n, (SELECT sum(m)::BIGINT FROM (SELECT max(c) AS m FROM (SELECT "row", count(*) AS c FROM u GROUP BY 1) GROUP BY "row" // 32)) AS sl),
 c2 AS (SELECT nnz, dg AS num_diagonals, nb AS num_blocks, kk * 32 AS stored_cells, q AS fallback_entries, kk * 256 + 4 * (nb + 1) + 4 * kk + 16 * q AS hybrid_cost_bytes, 16 * nnz AS coo_cost_bytes,
-  dg * (8 * n + 4) AS dia_cost_bytes, sl * 384 + 4 * ((n + 31) // 32) AS sell_cost_bytes, 12 * nnz + 4 * (n + 1) AS csr_cost_bytes FROM t)
-SELECT *, hybrid_cost_bytes / coo_cost_bytes AS hybrid_vs_coo, dia_cost_bytes / coo_cost_bytes AS dia_vs_coo, csr_cost_bytes / coo_cost_bytes AS csr_vs_coo, sell_cost_bytes / coo_cost_bytes AS sell_vs_coo FROM c2""")
+  dg * (8 * n + 4) AS dia_cost_bytes, sl * 384 + 4 * ((n + 31) // 32) AS sell_cost_bytes, 12 * nnz + 4 * (n + 1) AS csr_cost_bytes FROM t),
+c3 AS (SELECT *, hybrid_cost_bytes / coo_cost_bytes AS hybrid_vs_coo, dia_cost_bytes / coo_cost_bytes AS dia_vs_coo, csr_cost_bytes / coo_cost_bytes AS csr_vs_coo, sell_cost_bytes / coo_cost_bytes AS sell_vs_coo FROM c2)"""
+
+
+@query(f"WITH {_COSTS} SELECT * FROM c3")
 def storage_costs(spark, d):
     return storage_cost(laid_out(spark, d))
 
 
+@query(f"""WITH {_COSTS} SELECT 'square' AS name, 0 AS nx, 0 AS ny, 0 AS nz, 0.0::DOUBLE AS noise, {_N} AS "rows", {_N} AS cols, c3.* EXCLUDE (stored_cells, fallback_entries), 32 AS block_width, 2 AS threshold,
+  20000::BIGINT AS max_coo_entries, fallback_entries AS coo_fallback_entries, stored_cells AS hybrid_data_size, {", ".join(f'{int(f == "execCOOGPU")} AS "{f}"' for f in sinks.FLAGS)} FROM c3""")
+def run_report(spark, d):
+    m = laid_out(spark, d)
+    return matrix_info(m, "square", flags={"execCOOGPU": True})
+
+
+@query(f"""WITH {_K}, s AS (SELECT b, count(k.block) AS size, coalesce(sum(k.n), 0) AS nnz FROM (SELECT unnest(generate_series(0, ({_N} + 31) // 32 - 1)) AS b) LEFT JOIN (SELECT * FROM k WHERE kept) k ON k.block = b GROUP BY b)
+SELECT size AS diagonal_count, count(*) AS blocks_with_diagonals, sum(nnz)::BIGINT AS nnz_in_blocks FROM s GROUP BY 1""")
+def histogram_file(spark, d):
+    path = _scratch(spark, "histogram")
+    sinks.save_csv(sinks.histogram_rows(cv.block_histogram(laid_out(spark, d).hybrid)), path)
+    return spark.read.csv(path, header=True, schema="diagonal_count long, blocks_with_diagonals long, nnz_in_blocks long")
+
+
+def _sweep_sql(n: int, noises: tuple[float, ...], threshold: int) -> str:
+    """What a sweep of runs on the n x n x n stencil builds at one threshold, and that its results agree."""
+    levels = " UNION ALL ".join(f"SELECT {p}::DOUBLE AS noise, {int(27 * n**3 * p)} AS draws" for p in noises)
+    return f"""WITH {_stencil_sql(n)}, h AS (SELECT k, md5('42-' || k) AS h FROM (SELECT unnest(generate_series(0, {int(27 * n**3 * max(noises)) - 1})) AS k)), p AS ({levels}),
+w AS (SELECT DISTINCT noise, ('0x' || substr(h, 1, 10))::BIGINT % {n**3} AS "row", ('0x' || substr(h, 11, 10))::BIGINT % {n**3} AS col FROM h JOIN p ON k < draws),
+e AS (SELECT noise, "row", col FROM s, p UNION SELECT noise, "row", col FROM w),
+b AS (SELECT noise, "row" // 32 AS block, col - "row" AS off, count(*) AS n FROM e GROUP BY 1, 2, 3)
+SELECT noise, {threshold} AS threshold, sum(n)::BIGINT AS nnz, (count(*) FILTER (n >= {threshold}) * 32)::BIGINT AS stored_cells, coalesce(sum(n) FILTER (n < {threshold}), 0)::BIGINT AS fallback_entries, true AS passed FROM b GROUP BY 1"""
+
+
+@query(_sweep_sql(8, (0.0, 0.1), 8))
+def run_sweep(spark, d):
+    path = _scratch(spark, "runs")
+    done = run.sweep(spark, run.Config((8, 8, 8), iterations=2), path, (0.0, 0.1), (8,))
+    passed = spark.createDataFrame([(r["noise"], r["threshold"], bool(r["passed"])) for r in done], "noise double, threshold int, passed boolean")
+    info = run.read_info(spark, path).select(F.col("noise_level").alias("noise"), "threshold", F.col("nnz").cast("long").alias("nnz"), F.col("hybrid_data_size").cast("long").alias("stored_cells"), F.col("coo_fallback_entries").cast("long").alias("fallback_entries"))
+    return info.join(passed, ["noise", "threshold"])
+
+
 @query(f'WITH {_U} SELECT "row", col, val FROM u ORDER BY 1, 2 LIMIT 10')
 def coo_head(spark, d):
     return report.coo_head(cv.dedup(square(spark, d).coo))
@@ -375,13 +431,21 @@ def density(spark, d):
 
 @query('SELECT user_id AS "row", hour(ts)::BIGINT AS col, count(*)::DOUBLE AS val FROM events GROUP BY 1, 2')
 def mtx_round_trip(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{base}/mtx-{uuid.uuid4().hex[:12]}"
-    m = tall(spark, d)
+    m, path = tall(spark, d), _scratch(spark, "mtx")
     sinks.save_mtx(Matrix(m.num_rows, m.num_cols, cv.dedup(m.coo)), path)
     return src.read_mtx(spark, path).coo
 
 
+@query("""WITH u AS (SELECT user_id AS r, hour(ts)::BIGINT AS c, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2)
+SELECT (SELECT max(user_id) + 8 FROM events) AS num_rows, 30::BIGINT AS num_cols, count(*) AS nnz, max(r) AS last_row, max(c) AS last_col, sum(v) AS total FROM u""")
+def mtx_given_dims(spark, d):
+    m, path = tall(spark, d), _scratch(spark, "mtx")
+    sinks.save_mtx(Matrix(m.num_rows, m.num_cols, cv.dedup(m.coo)), path)
+    back = src.read_mtx(spark, path, num_rows=m.num_rows + 7, num_cols=30)
+    size = [F.lit(n).cast("long").alias(k) for k, n in (("num_rows", back.num_rows), ("num_cols", back.num_cols))]
+    return back.coo.agg(F.count("*").alias("nnz"), F.max("row").alias("last_row"), F.max("col").alias("last_col"), F.sum("val").alias("total")).select(*size, "*")
+
+
 @query('SELECT vec_id AS "row", count(*) AS nnz FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) WHERE v <> 0 GROUP BY 1')
 def dense_to_triples(spark, d):
     return cv.nnz_per_row(src.from_dense(_load(spark, d, "embeddings"), "vec_id", "embedding").coo)
@@ -403,6 +467,16 @@ def measurements_union(spark, d):
     return an.measurements_union([m.where("method = 'baseline'"), m.where("method = 'hybrid'")])
 
 
+@query(f"WITH {_M} SELECT noise_level, iteration, time_ms, 1 AS \"execCOOGPU\" FROM m WHERE method = 'hybrid'")
+def measurement_files(spark, d):
+    """Written in a folder for each noise level, and read again from all of them."""
+    m, path = measurements(spark, d).where("method = 'hybrid'"), _scratch(spark, "measured")
+    for k in range(5):
+        folder = sinks.run_folder("grid", 8, 8, 8, k / 10, dt.datetime(2025, 1, 1))
+        sinks.save_csv(sinks.hybrid_measurements(m.where(F.col("noise_level") == k / 10.0), {"execCOOGPU": True}), f"{path}/{folder}")
+    return src.read_measurements(spark, f"{path}/*", "iteration long, time_ms double, " + ", ".join(f"{f} int" for f in sinks.FLAGS)).select("noise_level", "iteration", "time_ms", "execCOOGPU")
+
+
 @query(f"WITH {_M} SELECT event_id FROM m WHERE iteration > 0 AND method = 'hybrid' AND noise_level = 0.2")
 def warmup_filter(spark, d):
     return an.without_warmup(measurements(spark, d)).where("method = 'hybrid' and noise_level = 0.2D").select("event_id")
@@ -485,9 +559,21 @@ def mean_speedup(spark, d):
     return _rounded(an.mean_speedup(measurements(spark, d), "baseline", "hybrid"), "speedup")
 
 
-@query()
+_T = ", ".join(f"({df + 1}, {st.t_quantile(0.975, df):.12f})" for df in range(1, 29))
+_MOMENTS = f"""{_M}, g AS (SELECT noise_level, method, avg(time_ms) AS mu FROM m GROUP BY 1, 2),
+q AS (SELECT noise_level, method, count(*)::DOUBLE AS n, avg((time_ms - mu) ** 2) AS m2, avg((time_ms - mu) ** 3) AS m3, avg((time_ms - mu) ** 4) AS m4 FROM m JOIN g USING (noise_level, method) GROUP BY 1, 2),
+k AS (SELECT *, m3 / m2 ** 1.5::DOUBLE * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
+  (m4 / m2 ** 2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS v,
+  6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS r FROM q WHERE n >= 8),
+a AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w, 6 + 8 / r * (2 / r + sqrt(1 + 4 / r ** 2)) AS a FROM k),
+z AS (SELECT *, asinh(y / sqrt(2 / (w - 1))) / sqrt(0.5::DOUBLE * ln(w)) AS z1, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + v * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM a),
+t AS (SELECT noise_level, method, n::BIGINT AS n, exp(-(z1 ** 2 + z2 ** 2) / 2) AS p FROM z)"""
+
+
+@query(f"""WITH {_M}, t(n, q) AS (VALUES {_T}), s AS (SELECT noise_level, method, count(*) AS n, avg(time_ms) AS mean, stddev_samp(time_ms) AS s FROM m GROUP BY 1, 2)
+SELECT noise_level, method, s.n, round(mean, 6) AS mean, round(mean - coalesce(q, 1.959963984540054) * s / sqrt(s.n), 6) AS ci_low, round(mean + coalesce(q, 1.959963984540054) * s / sqrt(s.n), 6) AS ci_high FROM s LEFT JOIN t ON t.n = s.n""")
 def parametric_ci(spark, d):
-    return an.parametric_ci(measurements(spark, d), "noise_level", "method", normal_from=30)
+    return _rounded(an.parametric_ci(measurements(spark, d), "noise_level", "method", normal_from=30), "mean", "ci_low", "ci_high")
 
 
 @query()
@@ -500,12 +586,17 @@ def bootstrap_speedup_ci(spark, d):
     return an.bootstrap_speedup_ci(measurements(spark, d), "baseline", "hybrid", "noise_level")
 
 
-@query()
+@query(f"WITH {_MOMENTS} SELECT noise_level, method, n, round(p, 6) AS p_value, p > 0.05 AS is_normal FROM t")
 def normality(spark, d):
-    return an.normality(measurements(spark, d), "noise_level", "method")
+    return _rounded(an.normality(measurements(spark, d), "noise_level", "method"), "p_value")
 
 
 @query()
+def shapiro(spark, d):
+    return an.shapiro(measurements(spark, d), "noise_level", "method")
+
+
+@query(f"WITH {_MOMENTS} SELECT CASE WHEN coalesce(bool_and(p > 0.05), false) THEN 'mean' ELSE 'median' END AS measure FROM t")
 def location_measure(spark, d):
     return an.location_measure(an.normality(measurements(spark, d), "noise_level", "method"))
 

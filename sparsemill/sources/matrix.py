@@ -84,11 +84,15 @@ def stencil27(spark: SparkSession, nx: int, ny: int, nz: int, *, noise: float =
 
 
 def _noise(spark: SparkSession, entries: DataFrame, n: int, draws: int, iteration: int) -> DataFrame:
-    """Up to draws entries with hashed row, column and value in (-1, 1), none where an entry is; one a cell."""
+    """Up to draws entries with row, column and value in (-1, 1) from the MD5 of seed and number, none where an entry is; one a cell.
+
+    An MD5 has 128 bits: 40 for the row, 40 for the column, 48 for the value.
+    """
     seed = NOISE_SEED + iteration
-    h = lambda name: F.xxhash64(F.lit(seed), F.lit(name), "id")
-    value = F.shiftrightunsigned(h("val"), 11) / F.lit(float(1 << 52)) - 1
-    drawn = spark.range(draws).select(F.pmod(h("row"), F.lit(n)).alias("row"), F.pmod(h("col"), F.lit(n)).alias("col"), "id", value.alias("val"))
+    number = lambda at, digits: F.conv(F.substring("h", at, digits), 16, 10).cast("long")
+    hashed = spark.range(draws).select("id", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")).alias("h"))
+    value = (number(21, 12) + F.lit(0.5)) / F.lit(float(1 << 47)) - 1
+    drawn = hashed.select(F.pmod(number(1, 10), F.lit(n)).alias("row"), F.pmod(number(11, 10), F.lit(n)).alias("col"), "id", value.alias("val"))
     once = drawn.groupBy("row", "col").agg(F.min_by("val", "id").alias("val"))
     return once.join(entries, ["row", "col"], "left_anti").select("row", "col", "val")
 
@@ -101,6 +105,7 @@ def from_dense(df: DataFrame, row: str, values: str) -> Matrix:
 
 # fixed values: how a run's folder is named
 FOLDER = r"_(\d+\.\d+)_\d{8}_\d{6}_\d{3}$"
+IN_PATH = r"([^/]+_\d+\.\d+_\d{8}_\d{6}_\d{3})/"
 
 
 def folder_noise(folder: Column) -> Column:
@@ -109,7 +114,7 @@ def folder_noise(folder: Column) -> Column:
     return F.when(found != "", found).cast("double")
 
 
-def read_measurements(spark: SparkSession, glob: str, schema: str = "iteration int, time_ms double") -> DataFrame:
-    """All CSV files of a glob, with folder and noise_level; folders without a noise level are left out."""
-    read = spark.read.csv(glob, header=True, schema=schema).withColumn("folder", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
+def read_measurements(spark: SparkSession, glob: str, schema: str | None = "iteration int, time_ms double") -> DataFrame:
+    """All CSV files of a glob, with the run's folder and noise_level; files outside such folders are left out. Without a schema, types are inferred."""
+    read = spark.read.csv(glob, header=True, schema=schema, inferSchema=schema is None).withColumn("folder", F.regexp_extract(F.input_file_name(), IN_PATH, 1))
     return read.withColumn("noise_level", folder_noise(F.col("folder"))).where("noise_level is not null")
