@@ -18,6 +18,8 @@ from sparsemill.schema import BLOCK_WIDTH, MOST_CELLS, MOST_DIAGONAL, THRESHOLD,
 
 #: Blocks or rows that one stretch of a running sum covers.
 STRETCH = 4096
+#: The widest block whose lanes are columns of an aggregation; wider ones are gathered as lists.
+LANE_COLUMNS = 64
 
 
 def dedup(coo: DataFrame, duplicates: str = "sum") -> DataFrame:
@@ -118,12 +120,11 @@ def check_storage(layout: HybridLayout) -> int:
 
 def blocks(layout: HybridLayout) -> DataFrame:
     """block, offset, lanes: zero-filled arrays of the block width."""
-    return packed_blocks(layout).select("block", "offset", zero_filled(F.col("cells"), layout.block_width).alias("lanes"))
-
-
-def packed_blocks(layout: HybridLayout) -> DataFrame:
-    """block, offset, cells: the lanes that hold entries, as (pos, val) by lane. Entries are dealt by (block, offset) already."""
-    return layout.cells.groupBy("block", "offset").agg(sorted_cells(F.col("lane"), F.col("val")).alias("cells"))
+    width, groups = layout.block_width, layout.cells.groupBy("block", "offset")  # dealt by (block, offset) already
+    if width > LANE_COLUMNS:
+        return groups.agg(sorted_cells(F.col("lane"), F.col("val")).alias("cells")).select("block", "offset", zero_filled(F.col("cells"), width).alias("lanes"))
+    lanes = groups.agg(*(F.sum(F.when(F.col("lane") == k, F.col("val"))).alias(f"l{k}") for k in range(width)))
+    return lanes.select("block", "offset", F.array(*(F.coalesce(f"l{k}", F.lit(0.0)) for k in range(width))).alias("lanes"))
 
 
 def hybrid_to_coo(layout: HybridLayout) -> DataFrame:

@@ -137,17 +137,22 @@ def needed_columns(dealt: DataFrame, layout: DataFrame | None, num_rows: int, nu
 def data_ranges(needed: DataFrame) -> DataFrame:
     """part, range_start, range_end: the union of the runs as separate ranges.
 
-    A run begins a range if no earlier one reaches it. What earlier runs reach is known within a stretch
-    of starts from its rows, and from before the stretch by one number, so no part's columns are all in one task.
+    Runs are cut where stretches of columns meet, and joined within each stretch, so no part's columns are all in one task.
+    Of the results only those that touch an end of their stretch, two a stretch at most, are joined over the whole part.
     """
-    key, first = ["part", "stretch"], Window.unboundedPreceding
-    runs = needed.withColumn("stretch", F.expr(f"lo div {STRETCH}"))
-    inside, across = Window.partitionBy(*key).orderBy("lo", "hi").rowsBetween(first, -1), Window.partitionBy("part").orderBy("stretch").rowsBetween(first, -1)
-    ends = runs.groupBy(*key).agg(F.max("hi").alias("end")).select(*key, F.max("end").over(across).alias("before"))
-    reach = F.greatest(F.max("hi").over(inside), F.col("before"))  # of the two, the one that is not null
-    marked = runs.join(ends, key).withColumn("reach", reach).withColumn("new", F.when(F.col("lo") <= F.col("reach"), 0).otherwise(1).cast("long")).drop("reach", "before", "stretch")
-    islands = running_total(marked, "lo", F.col("new"), "island", span=STRETCH, ties=("hi",), by=("part",), inclusive=True)
-    return islands.groupBy("part", "island").agg(F.min("lo").alias("range_start"), F.max("hi").alias("range_end")).drop("island")
+
+    def merged(df: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("lo", "hi")
+        reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        marked = df.withColumn("new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
+        return marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+
+    over = needed.withColumn("stretch", F.explode(F.sequence(F.expr(f"lo div {STRETCH}"), F.expr(f"(hi - 1) div {STRETCH}"))))
+    begin, end = F.col("stretch") * STRETCH, (F.col("stretch") + 1) * STRETCH
+    near = merged(over.select("part", "stretch", F.greatest("lo", begin).alias("lo"), F.least("hi", end).alias("hi")), ["part", "stretch"])
+    at_end = (F.col("lo") == begin) | (F.col("hi") == end)
+    ranges = near.where(~at_end).drop("stretch").unionByName(merged(near.where(at_end).drop("stretch"), ["part"]))
+    return ranges.withColumnsRenamed({"lo": "range_start", "hi": "range_end"})
 
 
 def owner_ranges(ranges: DataFrame, num_cols: int, parts: int) -> DataFrame:

@@ -81,7 +81,7 @@ def _shards(spark: SparkSession, d: str) -> tuple[Matrix, DataFrame, DataFrame,
     dealt = pt.partition_rows(cv.dedup(m.coo), m.num_rows, PARTS)
     layout = pt.part_layout(dealt, m.num_rows, m.num_cols, PARTS, SHARD_WIDTH, DENSE)
     needed = pt.needed_columns(dealt, layout, m.num_rows, m.num_cols, PARTS, SHARD_WIDTH)
-    ranges = pt.data_ranges(needed)
+    ranges = pt.data_ranges(needed).persist()  # few rows, which the queries read several times
     return m, layout, ranges, pt.owner_ranges(ranges, m.num_cols, PARTS)
 
 
@@ -274,13 +274,14 @@ def spmv_hybrid(spark, d):
 
 @query(f"WITH {_U} SELECT i.i AS idx, coalesce(sum(t.val * p.p_size), 0)::DOUBLE AS y " + _Y.format("u t"))
 def spmv_hybrid_block_form(spark, d):
-    return mv.spmv_hybrid(laid_out(spark, d).hybrid, sizes_vector(spark, d), strategy="block")
+    m = laid_out(spark, d)
+    return mv.spmv_hybrid(m.hybrid, sizes_vector(spark, d), strategy="block", size=m.num_cols)
 
 
 @query(f"WITH {_K} SELECT i.i AS idx, coalesce(sum(t.val * p.p_size), 0)::DOUBLE AS y " + _Y.format("(SELECT c.* FROM c JOIN k USING (block, off) WHERE kept) t"))
 def spmv_blocks_only(spark, d):
     m = laid_out(spark, d)
-    return mv.total(mv.block_products(m.hybrid, sizes_vector(spark, d)), m.num_rows)
+    return mv.total(mv.block_products(m.hybrid, sizes_vector(spark, d), size=m.num_cols), m.num_rows)
 
 
 @query(f"WITH {_K} SELECT i.i AS idx, coalesce(sum(t.val * p.p_size), 0)::DOUBLE AS y " + _Y.format("(SELECT c.* FROM c JOIN k USING (block, off) WHERE NOT kept) t"))
