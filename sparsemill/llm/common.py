@@ -8,7 +8,6 @@ import ctypes
 import gc
 import inspect
 import math
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparsemill.sources.shared import shared_dir
+
 #: Words are runs of anything but these six ASCII characters (bytes.split() uses the same set).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,41 +32,48 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
-    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
-        return set_dir
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='sparsemill-')}")
-        held = spark.sparkContext.getCheckpointDir()
-    return held
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path.rpartition("/")[0]
+    return out
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """Where a table of this process may lie in the shared folder."""
     path = f"{shared_dir(spark)}/sparsemill-{uuid.uuid4().hex[:12]}/{name}"
     if not _tables:
         atexit.register(drop_tables, spark)
     _tables.append(path.rpartition("/")[0])
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
-#: Folders of this process's tables.
+#: Folders of this process's tables, oldest first.
 _tables: list[str] = []
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete this process's tables in the shared folder; results that read them end with it. Runs when Python ends, too."""
+def drop_tables(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Delete these tables (all of this process's) in the shared folder; results that read them end with it. Runs when Python ends, too."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc
     with contextlib.suppress(Exception):  # the JVM may be gone before Python
-        while _tables:
-            path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        for folder in list(_tables if folders is None else folders):
+            _tables.remove(folder)
+            path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf.hadoopConfiguration()).delete(path, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of `materialise` that nothing reads any more."""
+    drop_tables(tables[0].sparkSession, [t._folder for t in tables])
+
+
+def tables_made() -> list[str]:
+    """The folders of this process's tables, oldest first."""
+    return list(_tables)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -110,8 +118,23 @@ def input_bytes(df: DataFrame, text_col: str) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long") + 16), F.lit(0))).first()[0]
 
 
-def parts_for(total: int, each: int, least: int = 1, most: int = 1 << 20) -> int:
-    return max(least, min(most, math.ceil(total / each)))
+def parts_for(total: int, each: int, least: int = 1) -> int:
+    return max(least, math.ceil(total / each))
+
+
+def in_struct(columns: list[str]) -> Column:
+    """These columns as one struct, _rest: no name that an operator uses can meet one of them."""
+    return (F.struct(*columns) if columns else F.lit(None).cast("int")).alias("_rest")
+
+
+def packed(df: DataFrame, *inputs: str) -> DataFrame:
+    """df's inputs, and all its other columns in _rest."""
+    return df.select(*inputs, in_struct([c for c in df.columns if c not in inputs]))
+
+
+def unpacked(df: DataFrame, columns: list[str], inputs: tuple[str, ...]) -> list[Column]:
+    """These columns of a packed table."""
+    return [df[c] if c in inputs else F.col("_rest").getField(c).alias(c) for c in columns]
 
 
 def cores(spark: SparkSession) -> int:

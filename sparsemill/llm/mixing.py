@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparsemill.llm.common import load, materialise
+from sparsemill.llm.common import in_struct, load, materialise
 from sparsemill.llm.native import md5_number, running_sum, word_count
 
 WEIGHTS = (3, 1, 2)
@@ -76,16 +76,17 @@ def mix(
     most: int = MOST, schedules: tuple = SCHEDULES, keep_text: bool = True,
 ) -> DataFrame:
     """One row a document: size, source_size, target, taken and the positions (one for each pass that takes it)."""
-    drop = {r for r in RESULTS if r not in (id_col, text_col, source_col)}
-    df = df.select(*(c for c in df.columns if c.lower() not in drop))
-    order = md5_number(F.concat_ws(":", F.col(id_col).cast("string"), F.coalesce(text_col, F.lit(""))))
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
-    sized = df.select("*", key.alias("_key"), word_count(F.col(text_col)).alias("size"), order.alias("_order"))
-    sized = materialise(sized if keep_text else sized.drop(text_col), "sized")
+    inputs = ("_doc_id", "_doc_text", "_doc_source")
+    carried = [c for c in df.columns if (c.lower() not in RESULTS or c in (id_col, text_col, source_col)) and (keep_text or c != text_col)]
+    df = df.select(F.col(id_col).alias(inputs[0]), F.col(text_col).alias(inputs[1]), F.col(source_col).alias(inputs[2]), in_struct([c for c in carried if c != text_col]))
+    order = md5_number(F.concat_ws(":", F.col(inputs[0]).cast("string"), F.coalesce(inputs[1], F.lit(""))))
+    key = F.coalesce(F.concat(F.lit("="), F.col(inputs[2])), F.lit(""))
+    sized = df.select("*", key.alias("_key"), word_count(F.col(inputs[1])).alias("size"), order.alias("_order"))
+    sized = materialise(sized if keep_text else sized.drop(inputs[1]), "sized")
     rows = sized.count()
-    sizes = sized.groupBy("_key").agg(F.min(source_col).alias("_source"), F.sum("size").alias("source_size"))
+    sizes = sized.groupBy("_key").agg(F.min(inputs[2]).alias("_source"), F.sum("size").alias("source_size"))
     aims = targets(sizes, weights=weights, share=share, most=most)
-    laid = running_sum(sized, "_key", "_order", "size", "_before", rows, [id_col]).join(aims, "_key")
+    laid = running_sum(sized, "_key", "_order", "size", "_before", rows, [inputs[0]]).join(aims, "_key")
     middle = lambda k: (F.col("_before") + F.col("source_size") * k) + F.col("size") / F.lit(2.0)
     passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(most) - 1)), lambda k: middle(k) / F.col("target")), lambda y: (y < 1.0))
     passes = F.when((F.col("size") > 0) & (F.col("target") > 0), passes).otherwise(F.array().cast("array<double>"))
@@ -96,11 +97,11 @@ def mix(
 
     placed = laid.withColumn("_passes", passes).withColumn("positions", F.transform("_passes", place))
     result = placed.withColumn("taken", F.col("size") * F.size("_passes"))
-    return result.select(*(c for c in df.columns if keep_text or c != text_col), *RESULTS)
+    return result.select(*((F.col(inputs[1]) if c == text_col else F.col("_rest").getField(c)).alias(c) for c in carried), *RESULTS)
 
 
 def in_training_order(mixed: DataFrame, position_col: str = "position") -> DataFrame:
-    """One row for each time that a document is trained on, range-sorted by position."""
+    """One row for each time that a document is trained on, range-sorted by position (which replaces a column of that name)."""
     every = mixed.withColumn(position_col, F.explode("positions"))
     return every.repartitionByRange(F.col(position_col)).sortWithinPartitions(position_col)
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparsemill.llm.common import NULL_ID, as_bytes, bounded_batches, cores, lean, load, materialise, parts_for, slices
+from sparsemill.llm.common import NULL_ID, as_bytes, bounded_batches, cores, drop, in_struct, lean, load, materialise, parts_for, slices
 
 SHINGLE, SEED, MOST = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, bits)
@@ -264,7 +264,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        now = materialise(small, "links")
+        last, now = now, materialise(small, "links")
+        drop(last)
         before, seen = seen, digest(now)
         if seen == before:
             break
@@ -276,18 +277,18 @@ def near_duplicates(
     fingerprint_col: str = "fingerprint", component_col: str = "component_id",
 ) -> DataFrame:
     """df without text_col, with each row's fingerprint (16 hex digits) and component (least id in it)."""
-    drop = {fingerprint_col.lower(), component_col.lower()}
-    df = df.select(*(c for c in df.columns if c.lower() not in drop or c in (id_col, text_col)))
-    marked = materialise(add_fingerprint(df, text_col=text_col, shingle=shingle), "fingerprints")
-    least = F.min(F.coalesce(F.col(id_col), F.lit(NULL_ID)))
+    taken = {fingerprint_col.lower(), component_col.lower()}
+    carried = [c for c in df.columns if c != text_col and (c.lower() not in taken or c == id_col)]
+    slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), in_struct(carried))
+    marked = materialise(add_fingerprint(slim, text_col="_text", shingle=shingle), "fingerprints")
+    least = F.min(F.coalesce(F.col("_id"), F.lit(NULL_ID)))
     classes = materialise(marked.groupBy("_fp").agg(least.alias("_least")), "classes")
     found = components(links(classes, "_fp", classes.count(), most=most))
     named = classes.join(found, classes["_fp"] == found["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
-    ids = named.groupBy("_root").agg(F.min("_least").alias("_id"))
+    ids = named.groupBy("_root").agg(F.min("_least").alias("_first"))
     # most classes are alone: only linked ones need another id than their own
-    labels = named.join(ids, "_root").select("_fp", F.col("_id").alias(component_col))
-    out = marked.join(labels, "_fp")
-    return out.select(*(c for c in df.columns if c != text_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias(fingerprint_col), F.nullif(F.col(component_col), F.lit(NULL_ID)).alias(component_col))
+    out = marked.join(named.join(ids, "_root").select("_fp", "_first"), "_fp")
+    return out.select(*(F.col("_rest").getField(c).alias(c) for c in carried), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias(fingerprint_col), F.nullif(F.col("_first"), F.lit(NULL_ID)).alias(component_col))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

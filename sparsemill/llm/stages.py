@@ -1,7 +1,7 @@
 """The pipeline's stages: each takes (spark, docs, sf_dir) and applies one operator to all of docs.
 
-docs has the columns of documents. All stages but the last return the same columns. Rows are never
-changed where an operator finds nothing to do.
+docs has the columns of documents, and may have others, of any names. All stages but the last return the same
+columns. Rows are never changed where an operator finds nothing to do.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsemill.llm.bpe import decode, encode, multilingual
-from sparsemill.llm.common import NULL_ID, doc_hash, materialise
+from sparsemill.llm.common import NULL_ID, doc_hash, materialise, packed, unpacked
 from sparsemill.llm.langid import UNDETERMINED, identify, train, train_split
 from sparsemill.llm.mixing import in_training_order, mix
 from sparsemill.llm.similar import first_of_groups
@@ -22,9 +22,9 @@ LEAST_LIKELY = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those whose language stays open (score under LEAST_LIKELY)."""
-    found = identify(docs, train(train_split(docs)), lang_out="_lang_pred", score_out="_lang_score")
+    found = identify(packed(docs, "text"), train(train_split(docs)), lang_out="_lang_pred", score_out="_lang_score")
     kept = (F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= LEAST_LIKELY)
-    return found.where(kept).select(*docs.columns)
+    return found.where(kept).select(*unpacked(found, docs.columns, ("text",)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,22 +32,26 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents link by SimHash (4 words, 4 of 64 bits) and by a Jaccard similarity of 0.8 of their distinct five-word shingles.
     """
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_hash": doc_hash("doc_id", "text")})
+    keyed = packed(docs, "doc_id", "text").withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_hash": doc_hash("doc_id", "text")})
     keys = materialise(first_of_groups(keyed.select("_id", "_hash", "text")), "kept")
-    return keyed.join(keys, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    kept = keyed.join(keys, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return kept.select(*unpacked(kept, docs.columns, ("doc_id", "text")))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated 20-word passages out of texts; a text without any stays as it is, to the byte."""
-    done = remove_repeats(docs, kept_col="_kept_text")
+    done = remove_repeats(packed(docs, "doc_id", "text", "n_chars"), kept_col="_kept_text")
     hit = F.col("n_removed") > 0
     changed = {"text": F.when(hit, F.col("_kept_text")).otherwise(F.col("text")), "n_chars": F.when(hit, F.length("_kept_text").cast("long")).otherwise(F.col("n_chars").cast("long"))}
-    return done.withColumns(changed).select(*docs.columns)
+    done = done.withColumns(changed)
+    return done.select(*unpacked(done, docs.columns, ("doc_id", "text", "n_chars")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each time that the mix takes a document, in training order."""
-    return in_training_order(mix(docs)).select(*docs.columns)
+    inputs = ("doc_id", "text", "source")
+    taken = in_training_order(mix(packed(docs, *inputs)))
+    return taken.select(*unpacked(taken, docs.columns, inputs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,39 +1,14 @@
-"""Wide links against brute force over 256-bit fingerprints."""
+"""Groups at a similarity of 0.8 against all pairs."""
 
 import random
 
 import numpy as np
+import pytest
 
 from sparsemill.llm import similar as sm
 from sparsemill.llm import simhash
 
 
-def test_links_connect_what_is_near(spark):
-    rng = np.random.default_rng(3)
-    rows, centre = [], rng.integers(0, 1 << 63, (30, 4), dtype=np.uint64)
-    for g in range(30):
-        for k in range(1 + g % 5 * 12):  # groups of 1 to 49, so that some keys have more than SMALL members
-            w = centre[g].copy()
-            for b in rng.choice(256, 6, replace=False):
-                w[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-            rows.append((g * 1000 + k, *w.view(np.int64).tolist()))
-    df = spark.createDataFrame(rows, "node long, _w0 long, _w1 long, _w2 long, _w3 long")
-    top = {}
-    for r in sm.links(df, len(rows)).collect():
-        assert r["a"] > r["b"]  # member, least member
-        top[r["a"]] = min(top.get(r["a"], r["b"]), r["b"])
-    assert all(top.get(n, n) == n // 1000 * 1000 for n, *_ in rows)
-    assert sm.links(df.limit(0), 0).count() == 0
-
-
-def test_marks(spark):
-    rng = random.Random(1)
-    text = " ".join(f"w{rng.randrange(99)}" for _ in range(200))
-    df = spark.createDataFrame([(1, text), (2, text.upper()), (3, "too short"), (4, None)], "n long, text string")
-    got = {r["n"]: [r["_fp"], *(r[c] for c in sm._COLUMNS)] for r in sm.add_marks(df, "text").collect()}
-    assert got[1] == got[2] and None not in got[1] and got[3][1:] == got[4][1:] == [None] * 4 and got[4][0] == 0
-
-
 def similar_groups(texts):
     """The least index of each group that a similarity of 0.8, or simhash's 4 bits, connects, by all pairs."""
     fps = [simhash.fingerprint(t.encode()) for t in texts]
@@ -85,3 +60,99 @@ def test_short_and_repeating_texts_take_part(spark):
     assert all(want[k] == k - 1 for k in range(1, 128, 2)) and len(set(want)) == 64 + 60 + 3
     docs = spark.createDataFrame([(k, 1000 + k, t) for k, t in enumerate(texts)], "_id long, _hash long, text string")
     assert sorted(r["_id"] for r in sm.first_of_groups(docs).collect()) == sorted(set(want))
+
+
+def family(rng, base, members, most):
+    """base with up to `most` words replaced, over and over: similarities to one another on both sides of 0.8."""
+    return [" ".join(f"e{rng.randrange(1 << 40)}" if rng.random() < most * k / members / len(base) else w for w in base) for k in range(members)]
+
+
+def grouped(spark, texts, **kw):
+    """The least index of what similar_in connects in one group of all texts."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    groups = spark.createDataFrame([(k, 0, len(sm.shingles(t.encode()))) for k, t in enumerate(texts)], "node long, root long, _n long")
+    top = list(range(len(texts)))
+    for r in sm.similar_in(groups, docs, **kw).collect():
+        x, y = top[r["a"]], top[r["b"]]
+        top = [min(x, y) if t in (x, y) else t for t in top]
+    return top
+
+
+def by_similarity(texts):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    top = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common) and top[a] != top[b]:
+                x, y = top[a], top[b]
+                top = [min(x, y) if t in (x, y) else t for t in top]
+    return top
+
+
+@pytest.mark.parametrize("set_bytes", [1 << 24, 20_000, 3_000])
+def test_large_groups_are_decided_exactly(spark, set_bytes):
+    """One group of alike texts, one of a chain, and unlike texts: in one task, after pivots, and by pairs of blocks."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(1 << 40)}" for _ in range(120)]
+    texts = family(rng, base, 90, 6) + [" ".join(f"x{k}" for k in range(6 * i, 6 * i + 100)) for i in range(40)]
+    texts += [" ".join(f"y{rng.randrange(1 << 40)}" for _ in range(rng.randrange(1, 80))) for _ in range(40)]
+    rng.shuffle(texts)
+    want = by_similarity(texts)
+    assert 60 < len(set(want)) < 140
+    assert grouped(spark, texts, set_bytes=set_bytes) == want
+
+
+def test_pivots_alone_finish_a_dense_group(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(1 << 40)}" for _ in range(200)]
+    texts = [" ".join(edited(rng, base, 1)) for _ in range(150)]
+    monkeypatch.setattr(sm, "_decide", None)  # nothing is left to decide
+    docs = spark.createDataFrame([(k, 0, sm.shingles(t.encode()).tobytes()) for k, t in enumerate(texts)], "node long, root long, set binary")
+    links, rest = sm.reduced(docs, 0)
+    assert rest.count() == 0 and {r["a"] for r in links.collect()} | {r["b"] for r in links.collect()} == set(range(150))
+
+
+def test_forest_of_alike_sets():
+    rng = random.Random(13)
+    for _ in range(30):
+        sets = [np.unique(np.array([rng.randrange(25) for _ in range(rng.randrange(1, 14))], dtype=np.uint64)) for _ in range(40)]
+        top = list(range(40))
+        for a in range(40):
+            for b in range(a):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if 9 * common >= 4 * (len(sets[a]) + len(sets[b])):
+                    x, y = top[a], top[b]
+                    top = [min(x, y) if t in (x, y) else t for t in top]
+        links = sm.alike(sets)
+        got = list(range(40))
+        for a, b in links:
+            x, y = got[a], got[b]
+            got = [min(x, y) if t in (x, y) else t for t in got]
+        assert got == top and len(links) == 40 - len(set(top))
+
+
+def test_common_shingles_bring_texts_together(spark):
+    """Texts that consist of what many texts have are found through common shingles, and decided like others."""
+    rng = random.Random(14)
+    lines = [" ".join(f"l{k}x{j}" for j in range(8)) for k in range(12)]
+    texts = [" ".join(rng.sample(lines, rng.randrange(2, 12))) for _ in range(150)] + family(rng, lines[0].split() * 3, 30, 3)
+    want = similar_groups(texts)
+    docs = spark.createDataFrame([(k, 1000 + k, t) for k, t in enumerate(texts)], "_id long, _hash long, text string")
+    assert len(sm.common_shingles(docs)) > 50
+    assert sorted(r["_id"] for r in sm.first_of_groups(docs).collect()) == sorted(set(want))
+
+
+def test_recall_between_080_and_085(spark):
+    """No pair of that band is lost, and none below is linked (by all pairs)."""
+    rng = random.Random(15)
+    texts, band = [], 0
+    for _ in range(120):
+        base = [f"w{rng.randrange(1 << 40)}" for _ in range(rng.randrange(60, 200))]
+        copy = [f"e{rng.randrange(1 << 40)}" if rng.random() < 0.022 else w for w in base]
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, copy))
+        band += 0.8 <= len(x & y) / len(x | y) < 0.85
+        texts += [" ".join(base), " ".join(copy)]
+    assert band >= 10
+    docs = spark.createDataFrame([(k, 1000 + k, t) for k, t in enumerate(texts)], "_id long, _hash long, text string")
+    assert sorted(r["_id"] for r in sm.first_of_groups(docs).collect()) == sorted(set(similar_groups(texts)))
