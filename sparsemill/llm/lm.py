@@ -99,7 +99,7 @@ def _ask(buckets: int, chunk_col: str, text_col: str):
 def _add_up(rows: pa.Table) -> pa.Table:
     """Corpus counts for every entry: training, and to chunks of deleted documents also the deleted part.
 
-    One more row (chunk -1) has, for words, the sums of tokens and of distinct ones.
+    An answer's first byte says whether its counts have 4 bytes or 8: a word may occur more than 2^32 times. One more row (chunk -1) has, for words, the sums of tokens and of distinct ones.
     """
     part, kind = rows["part"][0].as_py(), rows["kind"][0].as_py()
     chunks, blobs = rows["chunk"].to_pylist(), rows["data"].to_pylist()
@@ -114,13 +114,13 @@ def _add_up(rows: pa.Table) -> pa.Table:
     new = np.concatenate(([True], keys[1:] != keys[:-1]))
     group = np.empty(len(order), dtype=np.int64)
     group[order] = np.cumsum(new) - 1
-    total = np.bincount(group, weights=counts).astype(np.int64)
-    deleted = np.bincount(group, weights=lost).astype(np.int64)
+    begins = np.flatnonzero(new)
+    total, deleted = (np.add.reduceat(x[order], begins, dtype=np.int64) for x in (counts, lost))
     out = []
     for c, n, e in zip(chunks, number, np.cumsum(number).tolist()):
         g = group[e - n : e]
-        data = total[g].astype(np.uint32).tobytes() + (deleted[g].astype(np.uint32).tobytes() if c % 3 == DELETED else b"")
-        out.append((part, kind, c, data))
+        width = 4 if total[g].max() < 1 << 32 else 8
+        out.append((part, kind, c, b"".join([bytes([width]), *(x[g].astype(f"<u{width}").tobytes() for x in ((total, deleted) if c % 3 == DELETED else (total,)))])))
     if kind == WORDS:
         real = keys[new] != _BEGIN
         learned, rest = total[real], (total - deleted)[real]
@@ -131,11 +131,11 @@ def _add_up(rows: pa.Table) -> pa.Table:
 def _counts(answers: pa.Table, kind: int, n: int, deleted: bool) -> tuple[np.ndarray, np.ndarray]:
     """(training, deleted) counts in the order of the entries: parts are ranges of the hash, in order."""
     rows = sorted((p, d) for p, k, d in zip(answers["part"].to_pylist(), answers["kind"].to_pylist(), answers["data"].to_pylist()) if k == kind)
-    arrays = [np.frombuffer(d, np.uint32) for _, d in rows]
+    arrays = [np.frombuffer(d, f"<u{d[0]}", offset=1) for _, d in rows]
+    whole = lambda parts: np.concatenate([np.zeros(0, np.int64), *(a.astype(np.int64) for a in parts)])
     if not deleted:
-        return np.concatenate([np.zeros(0, np.uint32), *arrays]).astype(np.int64), np.zeros(n, np.int64)
-    first, second = ([np.zeros(0, np.uint32), *(a[i * (len(a) // 2) : (i + 1) * (len(a) // 2)] for a in arrays)] for i in (0, 1))
-    return np.concatenate(first).astype(np.int64), np.concatenate(second).astype(np.int64)
+        return whole(arrays), np.zeros(n, np.int64)
+    return whole(a[: len(a) // 2] for a in arrays), whole(a[len(a) // 2 :] for a in arrays)
 
 
 def _context(count: np.ndarray) -> np.ndarray:
