@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,27 @@ def test_bounds_prune():
     block = topk._Block(np.arange(50), x[::400].copy(), basis[:, ::-1].copy(), 12, 5)
     block.run(np.arange(50, 20_050), x)
     assert block.exact < 0.25 * 50 * 20_000
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    """Components of 30 and more bits: sums of products round in doubles, and scores that differ by 1 change places."""
+    rng = random.Random(6)
+    rows = [(i, [rng.randrange(1 << 30) / 256 for _ in range(4)], 0) for i in range(60)]
+    wide = "vec_id long, embedding array<double>, label int"
+    got = topk.top_k(spark.createDataFrame(rows, wide), F.col("_id") % 5 == 0, k=4).collect()
+    v = {i: [int(c * 256) for c in x] for i, x, _ in rows}
+    assert max(sum(c * c for c in x) for x in v.values()) > 1 << 60
+    for q in range(0, 60, 5):
+        want = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)[:4]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+    with pytest.raises(Exception, match="OverflowError|too large|too big"):
+        topk.top_k(spark.createDataFrame([(0, [1e17], 0), (1, [1e17], 0)], wide), F.col("_id") == 0).collect()
+
+
+def test_runs_that_cannot_reach_are_not_rotated():
+    rng = np.random.default_rng(7)
+    x = np.floor(np.sort(rng.exponential(size=50_000))[::-1, None] ** 3 * rng.normal(size=(50_000, 8)) * 256)
+    x = x[np.argsort(-(x * x).sum(axis=1))]
+    block = topk._Block(np.arange(20), x[:20].copy(), np.eye(8), 4, 5)
+    block.run(np.arange(100, 50_100), x)
+    assert block.rotated < 10_000 and block.reach() > 0
