@@ -15,7 +15,7 @@ text when there is nothing to learn from.
 Defined results: null language rows are predicted but not learned from; null ids hash as null and
 count as held out of nothing (their remainder is null: not held out, not learned from); repeated
 rows get equal results; an empty table gives an empty result; other columns are carried along,
-columns named like the results are replaced.
+columns named like the results are replaced; more than MOST_LANGS labels are an error.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from sparsemill.llm.common import bounded_batches, doc_hash, load, slices, trim
 
 BITS, GRAMS = 15, 3
 PLACES = 1 << BITS
-#: Labelled documents a language that the classifier is fitted on, and passes over them.
-SAMPLE, EPOCHS = 1000, 3
+#: Labelled documents a language that the classifier is fitted on, passes over them, and most languages that it tells apart.
+SAMPLE, EPOCHS, MOST_LANGS = 1000, 3, 1000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-3, 1e-4
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -163,7 +163,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     idf = np.log((1 + n) / (1 + df)) + 1
     # the first `sample` of each language by hash: of large languages, only hashes that can be among them are sorted
     at = F.shiftrightunsigned(doc_hash(id_col, text_col), 1)
-    sizes = {r["_lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["_lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"there are more than {MOST_LANGS} labels")
     share = {lang: (3 * sample + 100) / n for lang, n in sizes.items()}
     most = {lang: int(x * (1 << 63)) if x < 1 else (1 << 63) - 1 for lang, x in share.items()}
     limits = docs.sparkSession.createDataFrame(list(most.items()), "_lang string, _most long")
