@@ -180,32 +180,45 @@ def store(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     return df.mapInArrow(work, _fields(df, {"media": T.BinaryType()}))
 
 
-def demultiplex(df: DataFrame, *, media_col: str = "media") -> DataFrame:
-    """df with n_bytes, payload (read back), seconds (the end time of each packet) and feature."""
+def contents(media: bytes | None) -> tuple[int, bytes, np.ndarray, str]:
+    """(n_bytes, payload, seconds, feature) of one file; damage raises ValueError."""
+    streams = read(media)
+    payload, size, seconds = b"", 0, np.zeros(0)
+    if SAMPLES in streams:
+        try:
+            kind, rate, frame = struct.unpack("<8sII", streams[SAMPLES].packets[0])
+            size, crc = struct.unpack("<QI", streams[NOTES].packets[1])
+        except (struct.error, KeyError, IndexError) as e:
+            raise ValueError("the streams are not those of samples and notes") from e
+        payload = b"".join(streams[SAMPLES].packets[1:])
+        if kind != b"samples8" or zlib.crc32(payload) != crc:
+            raise ValueError("the samples are not what the notes say")
+        seconds = timestamps(streams[SAMPLES], rate, frame)
+    return size, payload, seconds, features(payload, seconds, len(streams), sum(len(s.packets) for s in streams.values()), sum(s.pages for s in streams.values()))
+
+
+def demultiplex(df: DataFrame, *, media_col: str = "media", strict: bool = True) -> DataFrame:
+    """df with n_bytes, payload (read back), seconds (the end time of each packet) and feature.
+
+    A damaged file ends the job; if not strict, its row has nulls instead, and a further column, damage, says why (null for whole files).
+    """
+    new = {"n_bytes": T.LongType(), "payload": T.BinaryType(), "seconds": T.ArrayType(T.DoubleType()), "feature": T.StringType()} | ({} if strict else {"damage": T.StringType()})
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.string(), pa.string())
+
+    def whole(media: bytes | None) -> tuple:
+        try:
+            return *contents(media), None
+        except ValueError as e:
+            if strict:
+                raise
+            return None, None, None, None, str(e)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, media_col):
-                sizes, payloads, times, words = [], [], [], []
-                for media in part.column(media_col).to_pylist():
-                    streams = read(media)
-                    payload, size, seconds = b"", 0, np.zeros(0)
-                    if SAMPLES in streams:
-                        kind, rate, frame = struct.unpack("<8sII", streams[SAMPLES].packets[0])
-                        payload = b"".join(streams[SAMPLES].packets[1:])
-                        size, crc = struct.unpack("<QI", streams[NOTES].packets[1])
-                        if kind != b"samples8" or zlib.crc32(payload) != crc:
-                            raise ValueError("the samples are not what the notes say")
-                        seconds = timestamps(streams[SAMPLES], rate, frame)
-                    sizes.append(size)
-                    payloads.append(payload)
-                    times.append(seconds)
-                    words.append(features(payload, seconds, len(streams), sum(len(s.packets) for s in streams.values()), sum(s.pages for s in streams.values())))
-                ends = np.concatenate(([0], np.cumsum([len(t) for t in times]))).astype(np.int32)
-                seconds_col = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *times])))
-                yield _batch(part, {"n_bytes": pa.array(sizes, pa.int64()), "payload": pa.array(payloads, pa.binary()), "seconds": seconds_col, "feature": pa.array(words, pa.string())})
-
-    new = {"n_bytes": T.LongType(), "payload": T.BinaryType(), "seconds": T.ArrayType(T.DoubleType()), "feature": T.StringType()}
+                found = zip(*map(whole, part.column(media_col).to_pylist()))
+                yield _batch(part, {n: pa.array(list(x), k) for n, x, k in zip(new, found, kinds)})
+
     return df.mapInArrow(work, _fields(df, new))
 
 
