@@ -1,5 +1,9 @@
+import math
 import random
 
+import numpy as np
+import pytest
+
 from sparsemill.llm import langid
 
 SYLLABLES = {"en": ["th", "ing", "the", "and"], "de": ["sch", "ein", "und", "ß"], "fr": ["eau", "é", "que", "ç"]}
@@ -45,3 +49,57 @@ def test_nothing_to_learn(make):
     model = langid.train(make([(1, "a", None)]))
     assert langid.identify(make([(1, "a", None)]), model).first()["lang_pred"] == "und"
     assert langid.identify(make([]), model).count() == 0
+
+
+def plain_ftrl(places, values, labels, n_lang):
+    """Weights by dictionaries, one coordinate at a time: {(place, language): weight}; place -1 is the bias."""
+    z, n = {}, {}
+
+    def weight(key):
+        l1 = 0.0 if key[0] < 0 else langid.L1
+        if abs(z.get(key, 0.0)) <= l1:
+            return 0.0
+        return -(z[key] - math.copysign(l1, z[key])) / ((langid.BETA + math.sqrt(n[key])) / langid.ALPHA + langid.L2)
+
+    rng, learned = np.random.default_rng(7), np.flatnonzero(np.arange(len(labels)) % 5 != 4)
+    for _ in range(langid.EPOCHS):
+        for k in rng.permutation(learned).tolist():
+            x = {**dict(zip(places[k].tolist(), values[k].tolist())), -1: 1.0}
+            old = {(p, j): weight((p, j)) for p in x for j in range(n_lang)}
+            score = [sum(x[p] * old[p, j] for p in x) for j in range(n_lang)]
+            e = [math.exp(s - max(score)) for s in score]
+            for p, v in x.items():
+                for j in range(n_lang):
+                    g, key = (e[j] / sum(e) - (labels[k] == j)) * v, (p, j)
+                    before = n.get(key, 0.0)
+                    n[key] = before + g * g
+                    z[key] = z.get(key, 0.0) + g - (math.sqrt(n[key]) - math.sqrt(before)) / langid.ALPHA * old[key]
+    return {key: weight(key) for key in z}
+
+
+@pytest.mark.parametrize("l1", [1e-3, 0.2])
+def test_fit_against_dictionaries(monkeypatch, l1):
+    """Every weight as the rule gives it, exact zeros where the penalty says so, and the temperature of least loss."""
+    monkeypatch.setattr(langid, "L1", l1)
+    rows = docs(60, seed=4)
+    langs = sorted(SYLLABLES)
+    found = [langid.feature_counts(t) for _, t, _ in rows]
+    places, counts = [f[0] for f in found], [f[1].astype(float) for f in found]
+    labels = np.array([langs.index(lang) for *_, lang in rows])
+    idf = 1 + np.random.default_rng(1).random(langid.PLACES)
+    model = langid.fit(langs, idf, places, counts, labels)
+    vectors = [model.vector(p, c) for p, c in zip(places, counts)]
+    want = plain_ftrl(places, vectors, labels, len(langs))
+    got = {key: (model.bias[key[1]] if key[0] < 0 else model.weights[key]) for key in want}
+    assert all(got[k] == pytest.approx(w, abs=1e-9) for k, w in want.items()) and np.count_nonzero(model.weights) == sum(w != 0 for k, w in want.items() if k[0] >= 0)
+    assert l1 < 0.1 or sum(w == 0 for w in want.values()) > 100
+    held = [k for k in range(len(rows)) if k % 5 == 4]
+    score = np.stack([vectors[k] @ model.weights[places[k]] + model.bias for k in held])
+    loss = lambda t: -np.log(langid._softmax(score / t)[np.arange(len(held)), labels[held]]).mean()
+    assert loss(model.temperature) <= min(loss(t) for t in np.exp(np.linspace(np.log(0.05), np.log(5), 400))) + 1e-6
+
+
+def test_too_many_labels_are_an_error(make, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    with pytest.raises(ValueError):
+        langid.train(make([(k, "some text", f"l{k}") for k in range(4)]))

@@ -72,3 +72,15 @@ def test_query(spark):
         raw = docs[r["doc_id"]]
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+
+
+def test_damaged_rows_can_be_set_aside(spark):
+    good = ogg.write(bytes(ogg.FRAME), 5)
+    rows = [(1, bytearray(good)), (2, bytearray(good[:-1])), (3, bytearray(b"xx")), (4, None), (5, bytearray(b"".join(ogg.write_packets(9, [(b"other", 0)], 1))))]
+    df = spark.createDataFrame(rows, "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in ogg.demultiplex(df, strict=False).collect()}
+    assert got[1]["n_bytes"] == 5 and bytes(got[1]["payload"]) == bytes(ogg.FRAME) and got[1]["damage"] is None
+    assert all(got[k]["payload"] is None and got[k]["feature"] is None and got[k]["damage"] for k in (2, 3))
+    assert got[4]["n_bytes"] == 0 and got[4]["damage"] is None and got[5]["feature"].startswith("streams=1")
+    with pytest.raises(Exception, match="ValueError"):
+        ogg.demultiplex(df).collect()

@@ -66,6 +66,22 @@ def test_planted_passage(make):
     assert got == {0: 0, **{k: 60 for k in range(1, 12)}}
 
 
+def test_many_documents_in_small_chunks(make):
+    """Thousands of documents over many chunks and buckets, with passages that some, many and very many share."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(3000)]
+    shared = [[rng.choice(words) for _ in range(rng.randrange(20, 90))] for _ in range(30)]
+    rows = []
+    for i in range(2500):
+        w = [rng.choice(words) for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = shared[min(29, int(rng.paretovariate(0.6)) - 1)][rng.randrange(10) :]
+        rows.append((rng.randrange(-5000, 5000), " ".join(w)))
+    rows += rng.sample(rows, 100)
+    check(make, rows, 20, chunk_bytes=12_000, bucket_bytes=60_000)
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, _chunk int, N_Words int")
     r = remove_repeats(df).first()
