@@ -32,8 +32,8 @@ from sparsemill.llm.common import NULL_ID, U64, Words, as_bytes, bounded_batches
 
 WINDOW = 20
 BASE = 5
-CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 64 << 20
+CHUNK_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes of the last level's entry for one window, and bytes a word at the least, for sizing only.
 _ENTRY, _WORD_BYTES = 28, 6
 _A, _B = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)
