@@ -40,7 +40,7 @@ from sparsemill.llm.common import NULL_ID, as_bytes, bounded_batches, cores, dro
 SHINGLE, SEED, MOST = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, bits)
 #: Entries of one bucket of keys; keys a fingerprint has on average, for sizing only.
-BUCKET_ENTRIES, KEYS_EACH = 1 << 20, 190
+BUCKET_ENTRIES, KEYS_EACH = 1 << 19, 190
 #: Members of a key that are compared at once, in a block.
 BLOCK = 1 << 22
 

@@ -44,7 +44,7 @@ from sparsemill.llm.common import U64, as_bytes, bounded_batches, cores, drop, f
 SHINGLE, WORDS, SMALL = 5, 4, 24
 _COLUMNS = [f"_w{k}" for k in range(WORDS)]
 LOOSE, LOOSE_FEW, FEW = 80, 96, 32
-KEY_ENTRIES, SET_BYTES = 1 << 20, 16 << 20
+KEY_ENTRIES, SET_BYTES = 1 << 19, 6 << 20
 #: Documents of the sample at least, those of it that make a shingle common, most documents of other keys, most common shingles held by a task.
 SAMPLE, COMMON, KEY_DOCS, HUBS = 4096, 8, 1 << 14, 1 << 21
 #: Of a large group: sets that pivots are chosen from, pivots a round, rounds at most, distance of a link.
