@@ -24,6 +24,7 @@ empty result; columns named like the results are replaced, others are carried al
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,6 +55,12 @@ def _coordinate(value: Column, low: int, high: int) -> Column:
     return F.floor((value - F.lit(low)) / F.lit(float(max(1, high - low))) * F.lit(float((1 << 31) - 1))).cast("long")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], **kinds: str) -> DataFrame:
+    """The driver's rows as a table made in the JVM; createDataFrame would start Python workers."""
+    fields = ", ".join(f"{n}: {kind}" for n, kind in kinds.items())
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(kinds, r)) for r in rows])), f"array<struct<{fields}>>")))
+
+
 def descend(points: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """points with _node, the first shard of the lowest node that a row is in. levels: _node, _dim, _cut and _step of the nodes cut at each."""
     out = points.withColumn("_node", F.lit(0).cast("long"))
@@ -75,10 +82,10 @@ def _split_level(points: DataFrame, levels: list[DataFrame], nodes: list[Node])
             d = dim[r["_node"]] = width.index(max(width))
             bound[r["_node"]] = (r[f"a{d}"], r[f"b{d}"], 0)
     want = {n.first: n.bytes * (n.shards // 2) / n.shards for n in nodes}
-    dims = spark.createDataFrame(sorted(dim.items()), "_node long, _dim int")
+    dims = small_table(spark, sorted(dim.items()), _node="long", _dim="int")
     keyed = placed.join(F.broadcast(dims), "_node").select("_node", F.element_at(F.array(*KEYS), F.col("_dim") + 1).alias("key"), "size")
     while open_nodes := [(f, a, b, (b - a) // BINS + 1, want[f] - done) for f, (a, b, done) in bound.items() if a < b]:
-        limits = spark.createDataFrame(open_nodes, "_node long, lo long, hi long, width long, need double")
+        limits = small_table(spark, open_nodes, _node="long", lo="long", hi="long", width="long", need="double")
         inside = keyed.join(F.broadcast(limits), "_node").where("key >= lo and key <= hi").withColumn("bin", F.expr("(key - lo) div width"))
         sums = inside.groupBy("_node", "bin").agg(F.sum("size").alias("w"), F.min("key").alias("a"), F.max("key").alias("b"), F.first("need").alias("need"), F.first("hi").alias("hi"))
         upto = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("_node").orderBy("bin")))
@@ -86,7 +93,7 @@ def _split_level(points: DataFrame, levels: list[DataFrame], nodes: list[Node])
         for r in held.select("_node", "x.*").collect():
             bound[r["_node"]] = (r["a"], r["b"], bound[r["_node"]][2] + r["before"])
     # the key that holds the median: cut before or after it, or at an edge of its group
-    medians = spark.createDataFrame([(f, a) for f, (a, _, _) in bound.items()], "_node long, mine long")
+    medians = small_table(spark, [(f, a) for f, (a, _, _) in bound.items()], _node="long", mine="long")
     group = keyed.join(F.broadcast(medians), "_node").where(F.shiftright("key", 12) == F.shiftright("mine", 12))
     part = {"before": F.col("key") < F.col("mine"), "at": F.col("key") == F.col("mine"), "after": F.col("key") > F.col("mine")}
     seen = {r["_node"]: r for r in group.groupBy("_node").agg(*(F.sum(F.when(c, F.col("size")).otherwise(0)).alias(n) for n, c in part.items())).collect()}
@@ -104,7 +111,7 @@ def _split_level(points: DataFrame, levels: list[DataFrame], nodes: list[Node])
         step = n.shards // 2
         cuts.append((n.first, dim[n.first], cut, step))
         below += [Node(n.first, step, left), Node(n.first + step, n.shards - step, n.bytes - left)]
-    return spark.createDataFrame(cuts, "_node long, _dim int, _cut long, _step long"), below
+    return small_table(spark, cuts, _node="long", _dim="int", _cut="long", _step="long"), below
 
 
 def with_groups(sized: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
