@@ -205,14 +205,15 @@ class Words:
     first: of each text, the index of its first word (one more entry at the end).
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, between: np.ndarray = _SEP):
+        """between: of each byte (after lower-casing A-Z, if asked), whether it lies between words; a line feed must."""
         self.data = b"\n".join(texts)
         buf = np.frombuffer(self.data, dtype=np.uint8)
         if lower:
             buf = _LOWER[buf]
         self.buf = buf
         edge = np.ones(len(buf) + 2, dtype=bool)
-        edge[1:-1] = _SEP[buf]
+        edge[1:-1] = between[buf]
         turn = np.flatnonzero(edge[1:] != edge[:-1])
         self.start, end = turn[0::2], turn[1::2]
         self.length = end - self.start

@@ -11,6 +11,7 @@ from sparsemill.llm.ogg import op7_ogg_media
 from sparsemill.llm.sharding import op10_kd_tree_shards
 from sparsemill.llm.simhash import op4_simhash
 from sparsemill.llm.substring_dedup import OP2_SQL, op2_substring_dedup
+from sparsemill.llm.suffix import OP11_SQL, op11_suffix_decontamination
 from sparsemill.llm.topk import OP5_SQL, op5_exact_top_k
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_reply_trees": op8_reply_trees,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_kd_tree_shards": op10_kd_tree_shards,
+    "op11_suffix_decontamination": op11_suffix_decontamination,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
     "op8_reply_trees": OP8_SQL,
     "op9_curriculum_mix": OP9_SQL,
+    "op11_suffix_decontamination": OP11_SQL,
 }
