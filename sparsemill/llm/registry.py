@@ -10,9 +10,11 @@ from sparsemill.llm.mixing import OP9_SQL, op9_curriculum_mix
 from sparsemill.llm.ogg import op7_ogg_media
 from sparsemill.llm.sharding import op10_kd_tree_shards
 from sparsemill.llm.simhash import op4_simhash
+from sparsemill.llm.spelling import OP13_SQL, op13_spelling_variants
 from sparsemill.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from sparsemill.llm.suffix import OP11_SQL, op11_suffix_decontamination
 from sparsemill.llm.topk import OP5_SQL, op5_exact_top_k
+from sparsemill.llm.trie import OP12_SQL, op12_prefix_trie
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_kd_tree_shards": op10_kd_tree_shards,
     "op11_suffix_decontamination": op11_suffix_decontamination,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -34,4 +38,6 @@ ORACLES: dict[str, str] = {
     "op8_reply_trees": OP8_SQL,
     "op9_curriculum_mix": OP9_SQL,
     "op11_suffix_decontamination": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
