@@ -1,7 +1,8 @@
 """Post-processing of benchmark measurements.
 
-Measurements have noise_level, method, iteration and time_ms. One noise level's samples of one method
-are a benchmark run (100 values by default), so a group is small by nature.
+Measurements have noise_level, method, iteration and time_ms. No operator gathers a group: order statistics come from refined
+histograms, ranks from a range sort, tests from sums, and resampling from mergeable sums of hashed weights.
+Null and NaN times are no measurements where ranks are needed.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparsemill.functions import resampling as rs
 from sparsemill.functions import statistics as st
+from sparsemill.functions.normal import normal_quantile
+from sparsemill.functions.prefix import scan
+from sparsemill.functions.selection import key_of, quantiles, real, tie_ranks
 
 MB = 1024**2
 
@@ -54,8 +59,7 @@ def speedup_extremes(comparison: DataFrame) -> DataFrame:
 
 def quartiles(df: DataFrame, value: str, *by: str) -> DataFrame:
     """count, mean, median and exact 25th and 75th percentiles (linear between values)."""
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p.alias("p")).select(*by, "n", "mean", F.col("p")[0].alias("p25"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p75"))
+    return quantiles(df, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}, *by)
 
 
 def to_megabytes(df: DataFrame) -> DataFrame:
@@ -102,17 +106,25 @@ def parametric_ci(df: DataFrame, *by: str, level: float = 0.95, normal_from: int
     return sums.mapInPandas(add, f"{fields}, ci_low double, ci_high double")
 
 
-def bootstrap_ci(df: DataFrame, *by: str, statistic: str = "median", resamples: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """The statistic (mean or median) with its percentile bootstrap interval."""
-    f = {"mean": np.mean, "median": np.median}[statistic]
+def _interval(value: Column, level: float) -> list[Column]:
+    """ci_low, ci_high of one value a resample: a group of bounded size."""
+    ends = F.percentile(value, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    return [ends[0].alias("ci_low"), ends[1].alias("ci_high")]
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(g["time_ms"].to_numpy(dtype=float))
-        lo, hi = st.bootstrap(x, lambda s: f(s, axis=1), resamples, level, seed)
-        return pd.DataFrame({**{c: [g[c].iloc[0]] for c in by}, "n": [len(x)], statistic: [f(x)], "ci_low": [lo], "ci_high": [hi]})
 
-    kinds = dict(df.dtypes)
-    return df.where("time_ms is not null").groupBy(*by).applyInPandas(work, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", f"{statistic} double", "ci_low double", "ci_high double"]))
+def bootstrap_ci(df: DataFrame, *by: str, statistic: str = "median", resamples: int = rs.RESAMPLES, level: float = 0.95, seed: int = rs.SEED) -> DataFrame:
+    """The statistic (mean or median) with its percentile bootstrap interval, from hashed Poisson weights."""
+    values = df.where(real(F.col("time_ms"))).select(*by, F.to_json(key_of(by), {"ignoreNullFields": "false"}).alias("g"), F.lit(0).alias("stream"), F.col("time_ms").cast("double").alias("x"))
+    rows = rs.ranked(values.select("g", "stream", "x"))
+    if statistic == "mean":
+        drawn = rs.resampled_sums(rows, resamples=resamples, seed=seed).where("total > 0").select("g", (F.col("weighted") / F.col("total")).alias("y"))
+        own = values.groupBy("g", *by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
+    elif statistic == "median":
+        drawn = rs.resampled_medians(rows, resamples=resamples, seed=seed).select("g", F.col("median").alias("y"))
+        own = quantiles(values, "x", {"median": 0.5}, "g", *by).drop("mean")
+    else:
+        raise ValueError(f"no bootstrap of the {statistic}")
+    return own.join(drawn.groupBy("g").agg(*_interval(F.col("y"), level)), "g").select(*by, "n", statistic, "ci_low", "ci_high")
 
 
 #: D'Agostino and Pearson's test, step by step, from a sample's size n (8 at least), skewness g1 and kurtosis g2.
@@ -143,14 +155,29 @@ def normality(df: DataFrame, *by: str) -> DataFrame:
 
 
 def shapiro(df: DataFrame, *by: str) -> DataFrame:
-    """n, w and p_value of Shapiro and Wilk's test, and is_normal (p of 0.05 or more). The test sorts a group's sample: one run's measurements."""
+    """n, w and p_value of Shapiro and Wilk's test, and is_normal (p of 0.05 or more; w and p are null under 3 values and where all are equal).
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        w, p = st.shapiro(g["time_ms"].to_numpy(dtype=float))
-        return pd.DataFrame({**{c: [g[c].iloc[0]] for c in by}, "n": [len(g)], "w": [w], "p_value": [p], "is_normal": [bool(p >= 0.05)]})
+    Every value gets its rank in its group by a range sort, and its normal score as a column; the test is a dot product of the
+    two and a few sums. The approximation is published for 3 to 5000 values; larger groups get its formula all the same.
+    """
+    values = df.where(real(F.col("time_ms"))).select(*by, F.col("time_ms").cast("double").alias("x"))
+    sizes = values.groupBy(*by).agg(F.count("*").alias("n"), F.var_pop("x").alias("v"))
+    ranked = scan(values, {"rank": F.lit(1).cast("long")}, order=("x",), by=by).withColumn("_g", key_of(by))
+    joined = ranked.join(sizes.select(key_of(by).alias("_g"), "n", "v"), "_g")
+    score = normal_quantile((F.col("rank") + 0.625) / (F.col("n") + 0.25))
+    end = lambda k: F.max(F.when(F.col("rank") == k, F.col("x")))
+    sums = joined.withColumn("m", score).groupBy(*by).agg(
+        F.max("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("square"), F.sum(F.col("m") * F.col("x")).alias("dot"), (F.max("v") * F.max("n")).alias("deviation"),
+        F.array(end(F.lit(0)), F.coalesce(end(F.lit(1)), end(F.lit(0))), F.coalesce(end(F.col("n") - 2), end(F.col("n") - 1)), end(F.col("n") - 1)).alias("ends"),
+    )
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [st.shapiro(*r) for r in f[["n", "square", "dot", "deviation", "ends"]].itertuples(index=False)]
+            yield f[[*by, "n"]].assign(w=[w for w, _ in found], p_value=[p for _, p in found], is_normal=[p >= 0.05 for _, p in found])
 
     kinds = dict(df.dtypes)
-    return df.where("time_ms is not null").groupBy(*by).applyInPandas(work, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", "w double", "p_value double", "is_normal boolean"]))
+    return sums.mapInPandas(finish, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", "w double", "p_value double", "is_normal boolean"]))
 
 
 def location_measure(tests: DataFrame) -> DataFrame:
@@ -159,17 +186,33 @@ def location_measure(tests: DataFrame) -> DataFrame:
 
 
 def compare_methods(df: DataFrame, first: str, second: str, *by: str) -> DataFrame:
-    """The test of two methods' times that suits their distributions."""
+    """The test of two methods' times that suits their distributions, of groups with two values of each at least.
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = (g.loc[g["method"] == m, "time_ms"].sort_values().to_numpy(dtype=float) for m in (first, second))
-        if min(len(a), len(b)) < 2:
-            return pd.DataFrame()
-        return pd.DataFrame([{**{c: g[c].iloc[0] for c in by}, **st.compare(a, b)}])
+    Levene's test takes medians by refined histograms and the sums of deviations from them; Mann and Whitney's takes mid-ranks over both methods
+    together, from a range sort of distinct values. A group's sums make one row, and the tests are made from those.
+    """
+    values = df.where(real(F.col("time_ms")) & F.col("method").isin(first, second)).select(*by, key_of(by).alias("_g"), (F.col("method") == first).alias("_a"), F.col("time_ms").cast("double").alias("x"))
+    of = lambda f, a, c: f(F.when(F.col("_a") == a, F.col(c)))
+    moments = lambda c, n: [of(f, a, c).alias(f"{n}{k}{int(not a)}") for a in (True, False) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
+    sums = values.groupBy("_g", *by).agg(*moments("x", "s")).where("sn0 > 1 and sn1 > 1")
+    normal = normality(values.withColumnRenamed("x", "time_ms"), "_g", "_a").groupBy("_g").agg(*(F.bool_or(F.when(F.col("_a") == a, F.isnan("p_value") | (F.col("p_value") > 0.05))).alias(f"normal{int(not a)}") for a in (True, False)))
+    centre = quantiles(values, "x", {"centre": 0.5}, "_g", "_a").select("_g", "_a", "centre")
+    spread = values.join(centre, ["_g", "_a"]).withColumn("z", F.abs(F.col("x") - F.col("centre"))).groupBy("_g").agg(*moments("z", "z"))
+    ties = tie_ranks(values, "x", {"mine": F.col("_a")}, "_g")
+    n = F.col("n").cast("double")
+    ranks = ties.groupBy("_g").agg(F.sum(F.col("mine") * (F.col("below") + (n + 1) / 2)).alias("ranks"), F.sum(n * n * n - n).alias("ties"))
+    joined = sums.join(normal, "_g").join(spread, "_g").join(ranks, "_g").drop("_g")
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = lambda r, c, k: st.Sample(int(r[f"{c}n{k}"]), r[f"{c}m{k}"], r[f"{c}v{k}"])
+        for f in frames:
+            rows = [st.compare(sample(r, "s", 0), sample(r, "s", 1), [bool(r["normal0"]), bool(r["normal1"])], (sample(r, "z", 0), sample(r, "z", 1)), r["ranks"], r["ties"]) for r in f.to_dict("records")]
+            if rows:
+                yield pd.concat([f[list(by)].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
 
     kinds = dict(df.dtypes)
     fields = [*(f"{c} {kinds[c]}" for c in by), "test_name string", "test_statistic double", "p_value double", "cohens_d double", "effect_size string", "significant boolean", "a_normal boolean", "b_normal boolean"]
-    return df.where("time_ms is not null").groupBy(*by).applyInPandas(work, ", ".join(fields))
+    return joined.mapInPandas(finish, ", ".join(fields))
 
 
 def speedup_ci(df: DataFrame, first: str, second: str, *by: str) -> DataFrame:
@@ -182,18 +225,16 @@ def speedup_ci(df: DataFrame, first: str, second: str, *by: str) -> DataFrame:
     return sums.where("n0 > 1 and n1 > 1 and m1 != 0").select(*by, ratio.alias("speedup"), (ratio - z * F.sqrt(variance)).alias("ci_low"), (ratio + z * F.sqrt(variance)).alias("ci_high"))
 
 
-def bootstrap_speedup_ci(df: DataFrame, first: str, second: str, *by: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """Ratio of means with its bootstrap interval."""
-
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = (g.loc[g["method"] == m, "time_ms"].sort_values().to_numpy(dtype=float) for m in (first, second))
-        if not len(a) or not len(b):
-            return pd.DataFrame()
-        lo, hi = st.bootstrap(a, lambda s, t: s.mean(axis=1) / t.mean(axis=1), resamples, 0.95, seed, b)
-        return pd.DataFrame([{**{c: g[c].iloc[0] for c in by}, "speedup": a.mean() / b.mean(), "ci_low": lo, "ci_high": hi}])
-
-    kinds = dict(df.dtypes)
-    return df.where("time_ms is not null").groupBy(*by).applyInPandas(work, ", ".join([*(f"{c} {kinds[c]}" for c in by), "speedup double", "ci_low double", "ci_high double"]))
+def bootstrap_speedup_ci(df: DataFrame, first: str, second: str, *by: str, resamples: int = rs.RESAMPLES, seed: int = rs.SEED) -> DataFrame:
+    """Ratio of means with its 95 % bootstrap interval: both methods are drawn on their own, by hashed Poisson weights."""
+    stream = F.when(F.col("method") == first, 0).otherwise(1)
+    values = df.where(real(F.col("time_ms")) & F.col("method").isin(first, second)).select(*by, F.to_json(key_of(by), {"ignoreNullFields": "false"}).alias("g"), stream.alias("stream"), F.col("time_ms").cast("double").alias("x"))
+    sums = rs.resampled_sums(rs.ranked(values.select("g", "stream", "x")), resamples=resamples, seed=seed)
+    mean = lambda k: F.try_divide(F.max(F.when(F.col("stream") == k, F.col("weighted"))), F.max(F.when(F.col("stream") == k, F.col("total"))))
+    ratios = sums.groupBy("g", "b").agg(F.try_divide(mean(0), mean(1)).alias("y"))
+    of = lambda k: F.avg(F.when(F.col("stream") == k, F.col("x")))
+    own = values.groupBy("g", *by).agg(F.try_divide(of(0), of(1)).alias("speedup")).where("speedup is not null")
+    return own.join(ratios.groupBy("g").agg(*_interval(F.col("y"), 0.95)), "g").select(*by, "speedup", "ci_low", "ci_high")
 
 
 def mean_speedup(df: DataFrame, first: str, second: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparsemill.functions import normal
+from sparsemill.functions import resampling as rs
 from sparsemill.functions import statistics as st
 from sparsemill.functions.costs import matrix_info, storage_cost
 from sparsemill.operators import analysis as an
@@ -18,7 +20,7 @@ from sparsemill.plans import report, run
 from sparsemill.schema import Matrix
 from sparsemill.sources import matrix as src
 from sparsemill.sources import sinks
-from sparsemill.sources.shared import shared_dir
+from sparsemill.sources.shared import new_path
 
 WIDTH, DENSE, CAP, PARTS, SHARD_WIDTH = 32, 2, 20_000, 4, 16
 
@@ -43,7 +45,7 @@ def wide(spark: SparkSession, d: str) -> Matrix:
 def tall(spark: SparkSession, d: str) -> Matrix:
     """User x hour of day: events."""
     coo = _load(spark, d, "events").select(F.col("user_id").alias("row"), F.hour("ts").alias("col"), F.lit(1.0).alias("val"))
-    rows = _load(spark, d, "events").agg(F.max("user_id")).first()[0] + 1
+    rows = (_load(spark, d, "events").agg(F.max("user_id")).first()[0] or 0) + 1  # one empty row where there are no events
     return Matrix.from_df(coo, num_rows=rows, num_cols=24, check=False)
 
 
@@ -71,8 +73,8 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder, which goes when Python ends at the latest."""
+    return new_path(spark, name)
 
 
 def _shards(spark: SparkSession, d: str) -> tuple[Matrix, DataFrame, DataFrame, DataFrame]:
@@ -577,14 +579,34 @@ def parametric_ci(spark, d):
     return _rounded(an.parametric_ci(measurements(spark, d), "noise_level", "method", normal_from=30), "mean", "ci_low", "ci_high")
 
 
-@query()
+_RANKED = f"{_M}, v AS (SELECT noise_level, method, time_ms AS x, row_number() OVER (PARTITION BY noise_level, method ORDER BY time_ms) - 1 AS k, 0 AS stream FROM m)"
+
+
+@query(f"""WITH {_RANKED}, {rs.sql_weights("v", "noise_level, method, x")},
+d AS (SELECT noise_level, method, b, median(x) AS y FROM (SELECT noise_level, method, b, x, unnest(range(w)) FROM hw WHERE w > 0) GROUP BY 1, 2, 3),
+i AS (SELECT noise_level, method, round(quantile_cont(y, 0.025), 6) AS ci_low, round(quantile_cont(y, 0.975), 6) AS ci_high FROM d GROUP BY 1, 2),
+s AS (SELECT noise_level, method, count(*) AS n, round(median(x), 6) AS median FROM v GROUP BY 1, 2)
+SELECT noise_level, method, n, median, ci_low, ci_high FROM s JOIN i USING (noise_level, method)""")
 def bootstrap_ci(spark, d):
-    return an.bootstrap_ci(measurements(spark, d), "noise_level", "method")
+    return _rounded(an.bootstrap_ci(measurements(spark, d), "noise_level", "method"), "median", "ci_low", "ci_high")
+
+
+@query(f"""WITH {_RANKED}, {rs.sql_weights("v", "noise_level, method, x")},
+d AS (SELECT noise_level, method, b, sum(w * x) / nullif(sum(w), 0) AS y FROM hw GROUP BY 1, 2, 3),
+i AS (SELECT noise_level, method, round(quantile_cont(y, 0.025), 6) AS ci_low, round(quantile_cont(y, 0.975), 6) AS ci_high FROM d GROUP BY 1, 2),
+s AS (SELECT noise_level, method, count(*) AS n, round(avg(x), 6) AS mean FROM v GROUP BY 1, 2)
+SELECT noise_level, method, n, mean, ci_low, ci_high FROM s JOIN i USING (noise_level, method)""")
+def bootstrap_mean_ci(spark, d):
+    return _rounded(an.bootstrap_ci(measurements(spark, d), "noise_level", "method", statistic="mean"), "mean", "ci_low", "ci_high")
 
 
-@query()
+@query(f"""WITH {_M}, v AS (SELECT noise_level, method, time_ms AS x, row_number() OVER (PARTITION BY noise_level, method ORDER BY time_ms) - 1 AS k, (method <> 'baseline')::INTEGER AS stream FROM m),
+{rs.sql_weights("v", "noise_level, method, x")}, e AS (SELECT noise_level, method, b, sum(w * x) / nullif(sum(w), 0) AS y FROM hw GROUP BY 1, 2, 3),
+d AS (SELECT noise_level, p.y / q.y AS y FROM e p JOIN e q USING (noise_level, b) WHERE p.method = 'baseline' AND q.method = 'hybrid'),
+s AS (SELECT noise_level, round(avg(x) FILTER (stream = 0) / avg(x) FILTER (stream = 1), 6) AS speedup FROM v GROUP BY 1)
+SELECT noise_level, speedup, round(quantile_cont(y, 0.025), 6) AS ci_low, round(quantile_cont(y, 0.975), 6) AS ci_high FROM s JOIN d USING (noise_level) GROUP BY 1, 2""")
 def bootstrap_speedup_ci(spark, d):
-    return an.bootstrap_speedup_ci(measurements(spark, d), "baseline", "hybrid", "noise_level")
+    return _rounded(an.bootstrap_speedup_ci(measurements(spark, d), "baseline", "hybrid", "noise_level"), "speedup", "ci_low", "ci_high")
 
 
 @query(f"WITH {_MOMENTS} SELECT noise_level, method, n, round(p, 6) AS p_value, p > 0.05 AS is_normal FROM t")
@@ -592,9 +614,39 @@ def normality(spark, d):
     return _rounded(an.normality(measurements(spark, d), "noise_level", "method"), "p_value")
 
 
-@query()
+def _series(first: str, ratio: str) -> str:
+    """1 + r(0) (1 + r(1) (1 + ...)) with r(k) a text of k."""
+    return f"list_reduce(list_prepend(1::DOUBLE, list_transform(range(600, -1, -1), lambda k: k::DOUBLE)), lambda acc, k: 1 + {ratio} * acc) * {first}"
+
+
+def _normal_upper(z: str) -> str:
+    """The normal distribution's upper tail, from the series of its density."""
+    return f"(0.5::DOUBLE - {_series(f'({z}) * exp(-0.5::DOUBLE * ({z}) ** 2) / sqrt(2 * pi())', f'({z}) ** 2 / (2 * k + 3)')})"
+
+
+def _t_two_sided(t2: str, df: str) -> str:
+    """Student's two-sided probability from the square of t, by the series of the incomplete beta function."""
+    y = f"(({t2}) / (({df}) + ({t2})))"
+    front = f"2 * exp(0.5::DOUBLE * ln(greatest({y}, 1e-300)) + ({df}) / 2.0::DOUBLE * ln(1 - {y}) + lgamma((({df}) + 1) / 2.0::DOUBLE) - lgamma(0.5::DOUBLE) - lgamma(({df}) / 2.0::DOUBLE))"
+    return f"(1 - {_series(front, f'((({df}) + 1) / 2.0::DOUBLE + k) / (1.5::DOUBLE + k) * {y}')})"
+
+
+def _normal_score(p: str) -> str:
+    poly = lambda c, r: reduce(lambda acc, k: f"({acc} * {r} + {k!r}::DOUBLE)", c[1:], f"{c[0]!r}::DOUBLE")
+    ratio = lambda c, r: f"{poly(c[0], r)} / {poly(c[1], r)}"
+    q, tail = f"({p} - 0.5::DOUBLE)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(normal.MIDDLE, f'(0.180625::DOUBLE - {q} ** 2)')} WHEN {tail} <= 5 THEN sign({q}) * {ratio(normal.TAIL, f'({tail} - 1.6::DOUBLE)')} ELSE sign({q}) * {ratio(normal.FAR, f'({tail} - 5)')} END"
+
+
+@query(f"""WITH {_M}, v AS (SELECT noise_level, method, time_ms AS x, row_number() OVER (PARTITION BY noise_level, method ORDER BY time_ms) AS i, count(*) OVER (PARTITION BY noise_level, method) AS n FROM m),
+p AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM v), z AS (SELECT *, {_normal_score("p")} AS s FROM p),
+g AS (SELECT noise_level, method, n, sum(s * s) AS square, sum(s * x) AS dot, var_pop(x) * n AS dev, max(x) - min(x) AS d1, max(x) FILTER (i = n - 1) - max(x) FILTER (i = 2) AS d2, max(s) AS s1, max(s) FILTER (i = n - 1) AS s2, 1 / sqrt(n) AS u FROM z GROUP BY 1, 2, 3),
+h AS (SELECT *, 0.221157 * u - 0.147981 * u ** 2 - 2.07119 * u ** 3 + 4.434685 * u ** 4 - 2.706056 * u ** 5 + s1 / sqrt(square) AS w1, 0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4 - 3.582633 * u ** 5 + s2 / sqrt(square) AS w2 FROM g WHERE n > 11),
+k AS (SELECT *, ((dot - s1 * d1 - s2 * d2) / sqrt((square - 2 * (s1 ** 2 + s2 ** 2)) / (1 - 2 * (w1 ** 2 + w2 ** 2))) + w1 * d1 + w2 * d2) ** 2 / dev AS w, ln(n) AS l FROM h),
+t AS (SELECT *, greatest(-20, least(20, (ln(1 - w) - (-1.5861 - 0.31082 * l - 0.083751 * l ** 2 + 0.0038915 * l ** 3)) / exp(-0.4803 - 0.082676 * l + 0.0030302 * l ** 2))) AS y FROM k),
+q AS (SELECT noise_level, method, n, w, {_normal_upper("y")} AS p FROM t) SELECT noise_level, method, n, round(w, 6) AS w, round(greatest(p, 0), 6) AS p_value, p >= 0.05 AS is_normal FROM q""")
 def shapiro(spark, d):
-    return an.shapiro(measurements(spark, d), "noise_level", "method")
+    return _rounded(an.shapiro(measurements(spark, d), "noise_level", "method"), "w", "p_value")
 
 
 @query(f"WITH {_MOMENTS} SELECT CASE WHEN coalesce(bool_and(p > 0.05), false) THEN 'mean' ELSE 'median' END AS measure FROM t")
@@ -602,6 +654,21 @@ def location_measure(spark, d):
     return an.location_measure(an.normality(measurements(spark, d), "noise_level", "method"))
 
 
-@query()
+_COMPARE = f"""{_MOMENTS}, v AS (SELECT noise_level, method = 'baseline' AS a, method, time_ms AS x, median(time_ms) OVER (PARTITION BY noise_level, method) AS mid,
+  rank() OVER (PARTITION BY noise_level ORDER BY time_ms) - 1 AS below, count(*) OVER (PARTITION BY noise_level, time_ms) AS c FROM m),
+s AS (SELECT noise_level, count(*) FILTER (a)::DOUBLE AS n0, count(*) FILTER (NOT a)::DOUBLE AS n1, avg(x) FILTER (a) AS m0, avg(x) FILTER (NOT a) AS m1, var_samp(x) FILTER (a) AS v0, var_samp(x) FILTER (NOT a) AS v1,
+  avg(abs(x - mid)) AS z, avg(abs(x - mid)) FILTER (a) AS z0, avg(abs(x - mid)) FILTER (NOT a) AS z1, var_samp(abs(x - mid)) FILTER (a) AS y0, var_samp(abs(x - mid)) FILTER (NOT a) AS y1,
+  sum(below + (c + 1) / 2) FILTER (a) AS ranks, sum(c::DOUBLE ** 2 - 1) AS ties FROM v GROUP BY 1),
+f AS (SELECT s.*, coalesce(p0.p > 0.05, true) AS a_normal, coalesce(p1.p > 0.05, true) AS b_normal, (n0 + n1 - 2) * (n0 * (z0 - z) ** 2 + n1 * (z1 - z) ** 2) / ((n0 - 1) * y0 + (n1 - 1) * y1) AS lev,
+  ((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) AS pooled, v0 / n0 + v1 / n1 AS apart, ranks - n0 * (n0 + 1) / 2 AS u, sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - ties / ((n0 + n1) * (n0 + n1 - 1)))) AS sd
+  FROM s LEFT JOIN t p0 ON p0.noise_level = s.noise_level AND p0.method = 'baseline' LEFT JOIN t p1 ON p1.noise_level = s.noise_level AND p1.method = 'hybrid' WHERE n0 > 1 AND n1 > 1),
+e AS (SELECT *, {_t_two_sided("lev", "n0 + n1 - 2")} > 0.05 AS equal FROM f),
+c2 AS (SELECT *, CASE WHEN NOT (a_normal AND b_normal) THEN 'Mann-Whitney U' WHEN equal THEN 't-test' ELSE 'Welch''s t-test' END AS test_name, (m0 - m1) / sqrt(pooled) AS d,
+  CASE WHEN equal THEN (m0 - m1) / sqrt(pooled * (1 / n0 + 1 / n1)) ELSE (m0 - m1) / sqrt(apart) END AS tt, CASE WHEN equal THEN n0 + n1 - 2 ELSE apart ** 2 / ((v0 / n0) ** 2 / (n0 - 1) + (v1 / n1) ** 2 / (n1 - 1)) END AS df, least(20, (abs(u - n0 * n1 / 2) - 0.5) / sd) AS z2 FROM e),
+r2 AS (SELECT *, CASE test_name WHEN 'Mann-Whitney U' THEN u ELSE tt END AS stat, CASE test_name WHEN 'Mann-Whitney U' THEN least(1, 2 * {_normal_upper("z2")}) ELSE {_t_two_sided("tt ** 2", "df")} END AS p FROM c2)"""
+
+
+@query(f"""WITH {_COMPARE} SELECT noise_level, test_name, round(stat, 6) AS test_statistic, round(p, 6) AS p_value, round(d, 6) AS cohens_d,
+  CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect_size, p < 0.05 AS significant, a_normal, b_normal FROM r2""")
 def compare_methods(spark, d):
-    return an.compare_methods(measurements(spark, d), "baseline", "hybrid", "noise_level")
+    return _rounded(an.compare_methods(measurements(spark, d), "baseline", "hybrid", "noise_level"), "test_statistic", "p_value", "cohens_d")
