@@ -5,22 +5,27 @@ feature is (1 + log count) x IDF, scaled to length 1. Document frequencies are c
 training documents. The text is used whole.
 
 Model. Follow-the-regularised-leader (FTRL-proximal, per coordinate) with elastic-net penalties is fitted on a
-bounded sample of labelled training documents: the first SAMPLE of each language by a hash of (id, text)
-(a documented limit of fitting alone). A fifth of the sample is held back to fit one temperature, by
-least negative log-likelihood, that calibrates the probabilities.
+bounded sample of labelled training documents: the first of each language by a hash of (id, text), SAMPLE at most and
+MOST_SAMPLE for all languages together (a documented limit of fitting alone). The MOST_LANGS most frequent labels are told apart, so a
+column with junk labels stops nothing. A fifth of the sample is held back: passes over the rest end
+when its loss no longer falls, and one temperature that calibrates the probabilities is fitted to it. Targets
+are smoothed as in Platt's scaling, (N + 1) / (N + 2) for the true label, so that the best temperature is not 0 where all
+of the held-back documents are told right; the search widens until the best one lies inside its ends.
 
-Prediction sees the text alone. A text that is null or has no letter is `und` with score 0; so is every
-text when there is nothing to learn from.
+The penalty leaves few weights: they are kept by place as (label, weight), 8 bytes each, so what is broadcast is
+bounded by PLACES x MOST_LANGS of these, and is far less in fact.
+
+Prediction sees the text alone. A text that is null or has no letter (Unicode category L; numerals and marks are none) is `und`
+with score 0; so is every text when there is nothing to learn from.
 
 Defined results: null language rows are predicted but not learned from; null ids hash as null and
 count as held out of nothing (their remainder is null: not held out, not learned from); repeated
 rows get equal results; an empty table gives an empty result; other columns are carried along,
-columns named like the results are replaced; more than MOST_LANGS labels are an error.
+columns named like the results are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,11 +39,12 @@ from sparsemill.llm.common import bounded_batches, doc_hash, load, slices, trim
 
 BITS, GRAMS = 15, 3
 PLACES = 1 << BITS
-#: Labelled documents a language that the classifier is fitted on, passes over them, and most languages that it tells apart.
-SAMPLE, EPOCHS, MOST_LANGS = 1000, 3, 1000
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-3, 1e-4
+#: Labelled documents a language and in all that the classifier is fitted on, most passes over them, and most languages that it tells apart.
+SAMPLE, MOST_SAMPLE, MOST_EPOCHS, MOST_LANGS = 1000, 50_000, 12, 400
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.4, 1e-4
+#: A pass that lowers the held-back loss by less than this share is the last.
+LEAST_GAIN = 0.01
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLY = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _PART = 1 << 18  # characters hashed at once
 
@@ -62,51 +68,98 @@ def feature_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    return text is not None and any(map(str.isalpha, text))
 
 
 @dataclass
 class Model:
+    """Languages, and the weights that are not zero: those of place p are at first[p] to first[p + 1]."""
+
     langs: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # places x languages
+    first: np.ndarray
+    label: np.ndarray
+    weight: np.ndarray
     bias: np.ndarray
-    temperature: float
+    temperature: float = 1.0
+    passes: int = 0
+
+    @classmethod
+    def of(cls, langs: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> Model:
+        place, label = np.nonzero(weights)
+        first = np.searchsorted(place, np.arange(PLACES + 1))
+        return cls(langs, idf, first, label.astype(np.int32), weights[place, label].astype(np.float32), bias)
 
     def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(counts)) * self.idf[places]
-        return v / max(1e-12, np.sqrt((v * v).sum()))
+        return weighted(self.idf, places, counts)
+
+    def scores(self, places: np.ndarray, vector: np.ndarray) -> np.ndarray:
+        n = self.first[places + 1] - self.first[places]
+        at = np.repeat(self.first[places] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.label[at], np.repeat(vector, n) * self.weight[at], len(self.langs)) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not has_letter(text):
             return UNDETERMINED, 0.0
         places, counts = feature_counts(text)
-        z = (self.vector(places, counts) @ self.weights[places] + self.bias) / self.temperature
+        z = self.scores(places, self.vector(places, counts)) / self.temperature
         p = np.exp(z - z.max())
         k = int(p.argmax())
         return self.langs[k], float(p[k] / p.sum())
 
 
+def weighted(idf: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    v = (1 + np.log(counts)) * idf[places]
+    return v / max(1e-12, np.sqrt((v * v).sum()))
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(axis=-1, keepdims=True))
     return p / p.sum(axis=-1, keepdims=True)
 
 
+def smoothed_loss(scores: np.ndarray, labels: np.ndarray, temperature: float) -> float:
+    """Mean cross entropy with Platt's targets: (N + 1) / (N + 2) for the true label, the rest even."""
+    n, k = scores.shape
+    p = np.log(np.maximum(_softmax(scores / temperature), 1e-300))
+    true, miss = p[np.arange(n), labels], 1 / (n + 2)
+    return float(-((1 - miss) * true + miss * (p.sum(axis=1) - true) / max(1, k - 1)).mean())
+
+
+def best_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The temperature of least smoothed loss, by golden-section search over its logarithm; the ends move out until it lies inside."""
+    if not len(labels) or scores.shape[1] < 2:
+        return 1.0
+    ratio, wide = (np.sqrt(5) - 1) / 2, np.log(16.0)
+    while True:
+        lo, hi = -wide, wide
+        for _ in range(60):
+            a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+            lo, hi = (lo, b) if smoothed_loss(scores, labels, np.exp(a)) <= smoothed_loss(scores, labels, np.exp(b)) else (a, hi)
+        if abs(lo + hi) / 2 < 0.99 * wide or wide > 100:  # beyond e^100 nothing changes: all scores are equal
+            return float(np.exp((lo + hi) / 2))
+        wide *= 2
+
+
 def fit(langs: list[str], idf: np.ndarray, places: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray) -> Model:
-    """FTRL-proximal over the documents in the order given; each fifth one only sets the temperature."""
+    """FTRL-proximal over the documents in the order given; each fifth one only ends the passes and sets the temperature."""
     n_lang = len(langs)
-    model = Model(langs, idf, np.zeros((PLACES, n_lang)), np.zeros(n_lang), 1.0)
-    vectors = [model.vector(p, c) for p, c in zip(places, counts)]
+    vectors = [weighted(idf, p, c) for p, c in zip(places, counts)]
     held = np.arange(len(labels)) % 5 == 4
     # the last place is the bias, which is not penalised
     z, g2 = np.zeros((PLACES + 1, n_lang)), np.zeros((PLACES + 1, n_lang))
-    rng = np.random.default_rng(7)
+    rng, rows = np.random.default_rng(7), np.flatnonzero(held)
 
     def weight(at: np.ndarray) -> np.ndarray:
         zz, l1 = z[at], np.where(at == PLACES, 0.0, L1)[:, None]
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((BETA + np.sqrt(g2[at])) / ALPHA + L2))
 
-    for _ in range(EPOCHS):
+    def fitted() -> Model:
+        weights = np.concatenate([weight(np.arange(lo, min(lo + 4096, PLACES))) for lo in range(0, PLACES, 4096)])
+        return Model.of(langs, idf, weights, weight(np.array([PLACES]))[0])
+
+    loss, passes = np.inf, 0
+    while passes < MOST_EPOCHS:
         for k in rng.permutation(np.flatnonzero(~held)).tolist():
             at, x = np.append(places[k], PLACES), np.append(vectors[k], 1.0)
             w = weight(at)
@@ -116,20 +169,13 @@ def fit(langs: list[str], idf: np.ndarray, places: list[np.ndarray], counts: lis
             more = g2[at] + grad * grad
             z[at] += grad - (np.sqrt(more) - np.sqrt(g2[at])) / ALPHA * w
             g2[at] = more
-    for lo in range(0, PLACES, 4096):
-        model.weights[lo : lo + 4096] = weight(np.arange(lo, lo + 4096))
-    model.bias = weight(np.array([PLACES]))[0]
-    rows = np.flatnonzero(held)
-    if len(rows):
-        scores = np.stack([vectors[k] @ model.weights[places[k]] + model.bias for k in rows])
-        loss = lambda t: -np.log(np.maximum(_softmax(scores / t)[np.arange(len(rows)), labels[rows]], 1e-300)).mean()
-        lo, hi = np.log(0.05), np.log(5.0)  # golden-section search over the temperature's logarithm
-        ratio = (np.sqrt(5) - 1) / 2
-        for _ in range(40):
-            a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-            lo, hi = (lo, b) if loss(np.exp(a)) <= loss(np.exp(b)) else (a, hi)
-        model.temperature = float(np.exp((lo + hi) / 2))
-    return model
+        model, passes = fitted(), passes + 1
+        scores = np.stack([model.scores(places[k], vectors[k]) for k in rows]) if len(rows) else np.zeros((0, n_lang))
+        model.temperature, model.passes = best_temperature(scores, labels[rows]), passes
+        before, loss = loss, smoothed_loss(scores, labels[rows], model.temperature) if len(rows) else 0.0
+        if loss > before * (1 - LEAST_GAIN):
+            return model
+    return model if passes else fitted()
 
 
 def _document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -161,11 +207,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     df, n = _document_frequencies(labelled, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # the first `sample` of each language by hash: of large languages, only hashes that can be among them are sorted
+    # the first of each language by hash: of large languages, only hashes that can be among them are sorted
     at = F.shiftrightunsigned(doc_hash(id_col, text_col), 1)
-    sizes = {r["_lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"there are more than {MOST_LANGS} labels")
+    counted = labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "_lang").limit(MOST_LANGS)
+    sizes = {r["_lang"]: r["n"] for r in counted.collect()}
+    sample = min(sample, max(1, MOST_SAMPLE // max(1, len(sizes))))
     share = {lang: (3 * sample + 100) / n for lang, n in sizes.items()}
     most = {lang: int(x * (1 << 63)) if x < 1 else (1 << 63) - 1 for lang, x in share.items()}
     limits = docs.sparkSession.createDataFrame(list(most.items()), "_lang string, _most long")
