@@ -10,9 +10,10 @@ one key. The sums stay in Spark; one row a node reaches the driver, and a level'
 small table (32 bytes a node), which is broadcast. A row finds its leaf with one such join a level.
 
 The sort key is the coordinate, then a hash of the text, then a hash of the row. A group is therefore
-contiguous; a cut within a group moves to the group's edge unless that moves more than SNAP of a
-shard, so small groups stay whole and a group with a third of all rows is split evenly. The law is
-`bytes`: shards' sizes are near equal.
+contiguous. A cut within a group moves to the group's nearer edge, unless that moves more than SNAP of a
+shard and what the node has of the group is larger than the largest row of the table. So a group no larger than a row stays
+whole (a shard's size is no finer than that anyway), and one with a third of all rows is split evenly.
+The law is `bytes`: shards' sizes are near equal.
 
 Rows meet their group's metadata in a join on the text. Of the texts that have more than one in HOT of all
 rows there are fewer than HOT, so these are broadcast and no task gets a hot text's rows.
@@ -70,8 +71,8 @@ def descend(points: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _split_level(points: DataFrame, levels: list[DataFrame], nodes: list[Node]) -> tuple[DataFrame, list[Node]]:
-    """The cuts of all these nodes, and the nodes below them."""
+def _split_level(points: DataFrame, levels: list[DataFrame], nodes: list[Node], largest: int) -> tuple[DataFrame, list[Node]]:
+    """The cuts of all these nodes, and the nodes below them. largest: the size of the largest row."""
     spark = points.sparkSession
     placed = descend(points.select(*KEYS, "size"), levels)
     ends = placed.groupBy("_node").agg(*(f(k).alias(f"{n}{d}") for d, k in enumerate(KEYS) for n, f in (("a", F.min), ("b", F.max)))).collect()
@@ -105,7 +106,7 @@ def _split_level(points: DataFrame, levels: list[DataFrame], nodes: list[Node])
             r = seen[n.first]
             off = lambda x: abs(x[0] - want[n.first])
             cut = min([(done - r["before"], k >> 12 << 12), (done + r["at"] + r["after"], ((k >> 12) + 1) << 12)], key=off)
-            if off(cut) > SNAP * n.bytes / n.shards:
+            if off(cut) > SNAP * n.bytes / n.shards and r["before"] + r["at"] + r["after"] > largest:
                 cut = min([(done, k), (done + r["at"], k + 1)], key=off)
             left, cut = cut[0], min(cut[1], (1 << 63) - 1)
         step = n.shards // 2
@@ -144,7 +145,7 @@ def shard(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     drop(sized)
     levels, nodes = [], [Node(0, shards, every["w"] or 0)] if shards > 1 and every["n"] else []
     while nodes:
-        cuts, below = _split_level(points, levels, nodes)
+        cuts, below = _split_level(points, levels, nodes, every["s1"])
         levels.append(cuts)
         nodes = [n for n in below if n.shards > 1]
     placed = descend(points, levels).withColumn("shard", F.col("_node").cast("int")).withColumn("_one", F.lit(1).cast("long"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsemill.llm import sharding
+from sparsemill.llm.common import load
 
 
 def check(rows, got, shards):
@@ -45,6 +46,19 @@ def test_hot_group_is_split_and_small_groups_are_not(make):
     assert sum(whole) >= len(whole) - 8
 
 
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_groups_up_to_the_largest_document_stay_whole(spark, table):
+    got = sharding.op10_kd_tree_shards(spark, f"/root/testdata/{table}").collect()
+    texts = {r["doc_id"]: r["text"] for r in load(spark, f"/root/testdata/{table}", "documents").select("doc_id", "text").collect()}
+    groups, largest = {}, max(r["size"] for r in got)
+    for r in got:
+        groups.setdefault(texts[r["doc_id"]], []).append(r)
+    small = [g for g in groups.values() if len(g) > 1 and sum(r["size"] for r in g) <= largest]
+    assert small and all(len({r["shard"] for r in g}) == 1 for g in small)
+    total = check([(r["doc_id"], texts[r["doc_id"]]) for r in got], got, 24)
+    assert max(abs(t - sum(total.values()) / 24) for t in total.values()) <= 2 * largest
+
+
 def test_odd_rows(make, odd):
     check(odd, sharding.shard(make(odd)).collect(), 24)
     assert sharding.shard(make([])).count() == 0
@@ -94,7 +108,7 @@ def plain_tree(spark, rows, shards):
             mine = lambda low, high: sum(size[k] for k in at if keys[k][d] >> 12 == key >> 12 and low <= keys[k][d] < high)
             off = lambda x: abs(x[0] - want)
             left, cut = min([(done - mine(0, key), key >> 12 << 12), (done + here + mine(key + 1, 1 << 80), ((key >> 12) + 1) << 12)], key=off)
-            if off((left, cut)) > sharding.SNAP * total / n:
+            if off((left, cut)) > sharding.SNAP * total / n and mine(0, 1 << 80) > max(size):
                 left, cut = min([(done, key), (done + here, key + 1)], key=off)
         split([k for k in at if keys[k][d] < cut], first, n // 2, left)
         split([k for k in at if keys[k][d] >= cut], first + n // 2, n - n // 2, total - left)
