@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparsemill.llm import stages
-from sparsemill.llm.common import drop_tables, load, materialise, tables_made
+from sparsemill.llm.common import drop_tables, load, materialise, scope
 
 STAGES = [
     ("language ID", stages.language),
@@ -21,9 +21,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what lies between two stages is a table in the shared folder, which goes when the next one is written."""
-    held = tables_made()
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        drop_tables(spark, [t for t in tables_made() if t not in (*held, docs._folder)])
+        with scope() as made:
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_tables(spark, before + [t for t in made if t != docs._folder])  # what other runs have made stays
+        before = [docs._folder]
     return STAGES[-1][1](spark, docs, sf_dir)

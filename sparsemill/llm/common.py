@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import ctypes
 import gc
 import inspect
 import math
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsemill.sources.shared import shared_dir
+from sparsemill.sources.shared import drop, drop_tables, materialise, new_path, scope  # noqa: F401
 
 #: Words are runs of anything but these six ASCII characters (bytes.split() uses the same set).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,48 +30,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._folder = path.rpartition("/")[0]
-    return out
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """Where a table of this process may lie in the shared folder."""
-    path = f"{shared_dir(spark)}/sparsemill-{uuid.uuid4().hex[:12]}/{name}"
-    if not _tables:
-        atexit.register(drop_tables, spark)
-    _tables.append(path.rpartition("/")[0])
-    return path
-
-
-#: Folders of this process's tables, oldest first.
-_tables: list[str] = []
-
-
-def drop_tables(spark: SparkSession, folders: list[str] | None = None) -> None:
-    """Delete these tables (all of this process's) in the shared folder; results that read them end with it. Runs when Python ends, too."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc
-    with contextlib.suppress(Exception):  # the JVM may be gone before Python
-        for folder in list(_tables if folders is None else folders):
-            _tables.remove(folder)
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf.hadoopConfiguration()).delete(path, True)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables of `materialise` that nothing reads any more."""
-    drop_tables(tables[0].sparkSession, [t._folder for t in tables])
-
-
-def tables_made() -> list[str]:
-    """The folders of this process's tables, oldest first."""
-    return list(_tables)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -267,11 +223,11 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def bucket_cuts(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of equal ranges of the 64-bit space begins in sorted keys (one more entry at the end)."""
-    width = (1 << 64) // buckets + 1
-    edges = np.array([min(b * width, (1 << 64) - 1) for b in range(1, buckets)], dtype=U64)
-    return np.concatenate(([0], np.searchsorted(sorted_keys, edges), [len(sorted_keys)])).astype(np.int64)
+def bucket_runs(sorted_keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """(range, where its keys are) for those of equal ranges of the 64-bit space that sorted keys fall into; its time depends on the keys alone."""
+    names, begins = np.unique(sorted_keys // U64((1 << 64) // buckets + 1) if buckets > 1 else np.zeros(len(sorted_keys), U64), return_index=True)
+    ends = [*begins[1:].tolist(), len(sorted_keys)]
+    return zip(names.tolist(), map(slice, begins.tolist(), ends))
 
 
 def table(schema: pa.Schema, columns: list) -> pa.Table:

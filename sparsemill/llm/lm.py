@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparsemill.llm.common import U64, Words, as_bytes, bounded_batches, bucket_cuts, cores, doc_hash, free_name, free_shuffles, input_bytes, lean, load, materialise, mix, parts_for
+from sparsemill.llm.common import U64, Words, as_bytes, bounded_batches, bucket_runs, cores, doc_hash, free_name, free_shuffles, input_bytes, lean, load, materialise, mix, parts_for
 
 CHUNK_BYTES, BUCKET_BYTES = 5 << 20, 14 << 20
 #: One in FOLD training documents gives the held-out counts; kinds of chunks.
@@ -86,9 +86,7 @@ def _ask(buckets: int, chunk_col: str, text_col: str):
     def work(docs: pa.Table) -> pa.Table:
         chunk, c, rows = docs[chunk_col][0].as_py(), _Chunk(docs, text_col), []
         for kind, keys, counts in ((WORDS, c.word, c.word_n), (PAIRS, c.pair, c.pair_n)):
-            cuts = bucket_cuts(keys, buckets)
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                part = slice(cuts[b], cuts[b + 1])
+            for b, part in bucket_runs(keys, buckets):
                 data = _pack(keys[part], KEY_BYTES[kind]) + (b"" if chunk % 3 == SCORED else counts[part].astype(np.uint32).tobytes())
                 rows.append((b * 2 + kind, kind, chunk, data))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ROWS)], schema=_ROWS)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparsemill.llm.common import NULL_ID, U64, Words, as_bytes, bounded_batches, bucket_cuts, cores, free_name, input_bytes, lean, load, mix, parts_for, with_chunk
+from sparsemill.llm.common import NULL_ID, U64, Words, as_bytes, bounded_batches, bucket_runs, cores, free_name, input_bytes, lean, load, mix, parts_for, with_chunk
 
 WINDOW = 20
 BASE = 5
@@ -109,9 +109,8 @@ class _Chunk:
 
 
 def _send(chunk: int, found: dict, buckets: int) -> list[tuple[int, int, bytes]]:
-    cuts, out = bucket_cuts(found["keys"], buckets), []
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        part = slice(cuts[b], cuts[b + 1])
+    out = []
+    for b, part in bucket_runs(found["keys"], buckets):
         if "second" in found:
             data = b"".join((found["keys"][part].tobytes(), found["second"][part].tobytes(), found["ids"][part].tobytes(), found["starts"][part].astype(np.uint32).tobytes()))
         else:
@@ -122,10 +121,9 @@ def _send(chunk: int, found: dict, buckets: int) -> list[tuple[int, int, bytes]]
 
 def _bits(found: dict, answers: dict[int, bytes], buckets: int) -> np.ndarray:
     """The answers' bits in the order of the entries."""
-    out, cuts = np.zeros(len(found["keys"]), dtype=bool), bucket_cuts(found["keys"], buckets)
-    for b, data in answers.items():
-        n = int(cuts[b + 1] - cuts[b])
-        out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+    out = np.zeros(len(found["keys"]), dtype=bool)
+    for b, part in bucket_runs(found["keys"], buckets):
+        out[part] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=part.stop - part.start).astype(bool)
     return out
 
 
