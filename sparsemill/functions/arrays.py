@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def zero_filled(cells: Column, length: int) -> Column:
+def zero_filled(cells: Column, length: int | Column) -> Column:
     """`length` doubles: the val of each (pos, val) struct at its pos, 0.0 elsewhere. cells are sorted and their positions distinct."""
     before = lambda i: F.coalesce(F.get(cells, i - 1)["pos"], F.lit(-1))
     zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparsemill.functions.arrays import sorted_cells, zero_filled
-from sparsemill.functions.prefix import running_total
-from sparsemill.schema import BLOCK_WIDTH, MOST_CELLS, MOST_DIAGONAL, THRESHOLD, HybridLayout, Matrix, num_blocks
+from sparsemill.functions.prefix import running_total, scan
+from sparsemill.schema import BLOCK_WIDTH, MOST_CELLS, SEGMENT, THRESHOLD, HybridLayout, Matrix, num_blocks
 
 #: Blocks or rows that one stretch of a running sum covers.
 STRETCH = 4096
@@ -53,28 +53,29 @@ def dia_long(m: Matrix, *, assume_unique: bool = False) -> DataFrame:
     return with_offsets(coo).where(F.col("row") < min(m.num_rows, m.num_cols)).select("offset", F.col("row").alias("pos"), "val")
 
 
-def to_dia(m: Matrix, *, assume_unique: bool = False) -> Matrix:
-    """m with dia: offset and its zero-filled array, indexed by local row. Every offset of an entry is kept.
+def to_dia(m: Matrix, *, assume_unique: bool = False, segment: int = SEGMENT) -> Matrix:
+    """m with dia: offset, seg and the zero-filled array of its rows seg * segment and on. Every offset of an entry is kept.
 
-    A diagonal is one row, so its length is bounded; `dia_long` has the same cells without that bound.
+    A diagonal is cut into segments of bounded length, so it may be of any length; segments without an entry are
+    not stored (an offset whose entries are all left out has one of zeros), and stand for zeros.
     """
     if m.has("dia") or not m.has("coo"):
         return m
+    if segment < 1:
+        raise ValueError("a segment must have a cell")
     coo, length = m.coo if assume_unique else dedup(m.coo), min(m.num_rows, m.num_cols)
-    offs = with_offsets(coo)
-    if length > MOST_DIAGONAL:
-        raise ValueError(f"a diagonal would have {length} cells")
-    if (cells := length * offs.select("offset").distinct().count()) > MOST_CELLS:
-        raise ValueError(f"the diagonal layout would have {cells} cells")
-    inside = F.when(F.col("row") < length, F.col("row"))
-    arrays = offs.groupBy("offset").agg(sorted_cells(inside, F.col("val")).alias("cells"))
-    return replace(m, dia=arrays.select("offset", zero_filled(F.col("cells"), length).alias("diag")))
+    inside = F.col("row") < length
+    offs = with_offsets(coo).withColumn("seg", F.when(inside, F.expr(f"row div {segment}")).otherwise(0))
+    stored = offs.groupBy("offset", "seg").agg(sorted_cells(F.when(inside, F.expr(f"row % {segment}")), F.col("val")).alias("cells"))
+    size = F.least(F.lit(segment), F.lit(length) - F.col("seg") * segment)
+    return replace(m, dia=stored.select("offset", "seg", zero_filled(F.col("cells"), size).alias("diag")), dia_segment=segment)
 
 
-def dia_to_coo(dia: DataFrame) -> DataFrame:
+def dia_to_coo(dia: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """The entries of a diagonal layout that are not zero."""
-    every = dia.select("offset", F.posexplode("diag").alias("row", "val")).where("val != 0")
-    return every.select(F.col("row").cast("long").alias("row"), (F.col("row") + F.col("offset")).alias("col"), "val")
+    every = dia.select("offset", "seg", F.posexplode("diag").alias("at", "val")).where("val != 0")
+    row = F.col("seg") * segment + F.col("at")
+    return every.select(row.alias("row"), (row + F.col("offset")).alias("col"), "val")
 
 
 def block_offset_counts(coo: DataFrame, num_rows: int, num_cols: int, block_width: int = BLOCK_WIDTH, by: tuple[str, ...] = ()) -> DataFrame:
@@ -92,7 +93,7 @@ def keep_rule(counts: DataFrame, threshold: int, max_fallback: int | None) -> Da
     dense = F.col("n") >= threshold
     if max_fallback is None:
         return counts.withColumn("kept", dense)
-    summed = running_total(counts, "block", F.when(dense, 0).otherwise(F.col("n")).cast("long"), "_before", span=STRETCH, ties=("offset",))
+    summed = scan(counts, {"_before": F.when(dense, 0).otherwise(F.col("n")).cast("long")}, order=("block", "offset"))
     return summed.withColumn("kept", dense | (F.col("_before") >= max_fallback)).drop("_before")
 
 
@@ -103,7 +104,7 @@ def to_hybrid(m: Matrix, *, block_width: int = BLOCK_WIDTH, threshold: int = THR
     coo = m.coo if assume_unique else dedup(m.coo, duplicates)
     counts = block_offset_counts(coo, m.num_rows, m.num_cols, block_width)
     ruled = keep_rule(counts, threshold, max_fallback)
-    # counts are dealt by (block, offset) already, so this join shuffles the entries alone
+    # without a cap, counts are dealt by (block, offset) already, so this join shuffles the entries alone
     entries = with_offsets(coo, block_width).join(ruled.select("block", "offset", "kept"), ["block", "offset"], "left")
     entries = entries.select("block", "offset", "lane", "row", "col", "val", F.coalesce("kept", F.lit(False)).alias("kept"))
     kept = ruled.where("kept").select("block", "offset", "n")
@@ -158,7 +159,7 @@ def block_directory(kept: DataFrame, blocks_in_all: int) -> DataFrame:
 
 def flattened_offsets(kept: DataFrame) -> DataFrame:
     """pos, block, offset: kept offsets in storage order."""
-    total = running_total(kept.select("block", "offset"), "block", F.lit(1).cast("long"), "pos", span=STRETCH, ties=("offset",))
+    total = scan(kept.select("block", "offset"), {"pos": F.lit(1).cast("long")}, order=("block", "offset"))
     return total.select(F.col("pos").cast("long").alias("pos"), "block", "offset")
 
 

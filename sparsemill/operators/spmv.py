@@ -12,19 +12,41 @@ from pyspark.sql import functions as F
 from sparsemill.functions.arrays import sorted_cells, zero_filled
 from sparsemill.operators.convert import dedup
 from sparsemill.schema import HybridLayout, Matrix, Vector
+from sparsemill.sources.shared import materialise
 
 #: Most elements of x that are broadcast: 16 bytes each, so 32 MB.
 BROADCAST_ELEMENTS = 2_000_000
+#: A column is heavy with more than one in HEAVY of all entries, so fewer are; columns that the sketch which finds them tracks.
+HEAVY, TRACKED = 1000, 16_000
 
 
 def _product(val: Column, x: Column) -> Column:
     return F.when(val == 0, F.lit(0.0)).otherwise(val * x)
 
 
+def heavy_columns(entries: DataFrame) -> DataFrame:
+    """col of all that hold more than one in HEAVY of the entries, from a sketch of bounded size; 3/2 HEAVY rows at most.
+
+    The sketch's counts are off by under 4 / TRACKED of all entries, a quarter of that share, so fewer than 4/3 HEAVY columns can rank
+    before one that is heavy, and none that is heavy is missed; a column of half that share may be listed too.
+    """
+    sketch = entries.agg(F.count("*").alias("_n"), F.expr(f"approx_top_k(col, {HEAVY * 3 // 2}, {TRACKED})").alias("_top"))
+    return sketch.select("_n", F.inline("_top")).where(F.col("count") > 0.75 * F.col("_n") / HEAVY).select(F.col("item").alias("col"))
+
+
 def partial_products(entries: DataFrame, x: DataFrame, *, size: int | None = None) -> DataFrame:
-    """row, y of each entry; x is broadcast only where its size is known to be small."""
-    side = F.broadcast(x) if size is not None and size <= BROADCAST_ELEMENTS else x
-    return entries.join(side, entries["col"] == side["idx"]).select("row", _product(F.col("val"), F.col("x")).alias("y"))
+    """row, y of each entry. x is broadcast only where its size is known to be small.
+
+    Elsewhere entries and x meet in a join on the column. A column with a large share of all entries would put those in one task, so the
+    elements of heavy columns alone, 3/2 HEAVY of them at most, are broadcast, and their entries stay where they are.
+    """
+    product = lambda e, side: e.join(side, e["col"] == side["idx"]).select("row", _product(F.col("val"), F.col("x")).alias("y"))
+    if size is not None and size <= BROADCAST_ELEMENTS:
+        return product(entries, F.broadcast(x))
+    heavy = materialise(heavy_columns(entries), "heavy")
+    elements = x.join(F.broadcast(heavy), x["idx"] == heavy["col"]).select("idx", "x")
+    rest = entries.join(F.broadcast(heavy), "col", "left_anti")
+    return product(rest, x).unionByName(product(entries, F.broadcast(elements)))
 
 
 def total(partial: DataFrame, num_rows: int) -> DataFrame:
@@ -60,18 +82,30 @@ def block_products(layout: HybridLayout, x: DataFrame, *, size: int | None = Non
     w = layout.block_width
     if size is not None and size <= BROADCAST_ELEMENTS:
         return segment_products(layout.cells, x, w)
-    runs = segments(x, w)
-    start = F.col("block") * w + F.col("offset")
     kept = layout.cells.groupBy("block", "offset").agg(F.collect_list(F.struct("lane", "val")).alias("cells"))  # dealt by (block, offset) already
-    kept = kept.withColumn("seg", F.floor(start / w).cast("long")).withColumn("shift", F.pmod(start, F.lit(w)))
-    one = kept.join(runs.withColumnRenamed("s", "s0"), "seg", "left").withColumn("seg", F.col("seg") + 1)
+    return _window_products(kept, x, F.col("block") * w, w)
+
+
+def _window_products(groups: DataFrame, x: DataFrame, first: Column, w: int) -> DataFrame:
+    """row, y of groups (offset, cells of lane and val) of up to w rows from `first` on: their window of x spans two segments of w at most."""
+    runs, start = segments(x, w), first + F.col("offset")
+    placed = groups.withColumn("first", first).withColumn("seg", F.floor(start / w).cast("long")).withColumn("shift", F.pmod(start, F.lit(w)))
+    one = placed.join(runs.withColumnRenamed("s", "s0"), "seg", "left").withColumn("seg", F.col("seg") + 1)
     two = one.join(runs.withColumnRenamed("s", "s1"), "seg", "left")
     at = lambda c: (F.col("shift") + c["lane"]).cast("int")
     element = lambda c: F.coalesce(F.when(at(c) < w, F.get("s0", at(c))).otherwise(F.get("s1", at(c) - w)), F.lit(0.0))
-    products = F.transform("cells", lambda c: F.struct((F.col("block") * w + c["lane"]).alias("row"), _product(c["val"], element(c)).alias("y")))
+    products = F.transform("cells", lambda c: F.struct((F.col("first") + c["lane"]).alias("row"), _product(c["val"], element(c)).alias("y")))
     return two.select(F.inline(products))
 
 
+def spmv_dia(m: Matrix, x: DataFrame) -> DataFrame:
+    """The product of a diagonal layout, segment by segment: a segment's window of x spans two of x's. Rows that the layout leaves out are 0."""
+    w = m.dia_segment
+    cells = F.transform("diag", lambda v, i: F.struct(i.alias("lane"), v.alias("val")))
+    groups = m.dia.select("offset", (F.col("seg") * w).alias("_first"), F.filter(cells, lambda c: c["val"] != 0).alias("cells"))
+    return total(_window_products(groups, x, F.col("_first"), w), m.num_rows)
+
+
 def spmv_hybrid(layout: HybridLayout, x: DataFrame, *, strategy: str = "join", size: int | None = None) -> DataFrame:
     """Block and fallback products together, under one final sum; one pass over both parts where nothing is grouped."""
     if strategy == "block" and size is not None and size <= BROADCAST_ELEMENTS:

@@ -292,6 +292,23 @@ def spmv_coo_fallback(spark, d):
     return mv.spmv_coo(m.hybrid.fallback, sizes_vector(spark, d), m.num_rows, size=m.num_cols)
 
 
+@query(f"""SELECT i.i AS idx, coalesce(sum(l_quantity * p_size), 0)::DOUBLE AS y FROM (SELECT unnest(generate_series(0, {_N} - 1)) AS i) i
+LEFT JOIN (SELECT l_orderkey % {_N} AS "row", CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE l_partkey END AS col, l_quantity FROM lineitem) e ON e."row" = i.i LEFT JOIN part p ON p.p_partkey = e.col GROUP BY 1""")
+def spmv_heavy_column(spark, d):
+    """Half of all entries lie in one column, and the vector is taken to be too large to broadcast."""
+    n = _load(spark, d, "part").count()
+    coo = _load(spark, d, "lineitem").select((F.col("l_orderkey") % n).alias("row"), F.when(F.col("l_linenumber") % 2 == 1, 0).otherwise(F.col("l_partkey")).alias("col"), F.col("l_quantity").alias("val"))
+    return mv.spmv_coo(coo, sizes_vector(spark, d), n)
+
+
+@query("""WITH u AS (SELECT user_id AS r, hour(ts)::BIGINT AS c FROM events), n AS (SELECT greatest(max(r) + 1, 24) AS n FROM u)
+SELECT i AS idx, coalesce(sum(c + 1), 0)::DOUBLE AS y FROM (SELECT unnest(generate_series(0, n - 1)) AS i FROM n) LEFT JOIN u ON r = i GROUP BY 1""")
+def spmv_dia(spark, d):
+    """Diagonals in segments of 16 rows, so that there are many of each."""
+    m = cv.to_dia(tall_squared(spark, d), segment=16)
+    return mv.spmv_dia(m, src.ramp(spark, m.num_cols, 1).df)
+
+
 @query("SELECT coalesce(a.i, b.i) AS idx, coalesce(a.x, 0) + coalesce(b.x, 0) AS x FROM (SELECT p_partkey AS i, p_size::DOUBLE AS x FROM part) a FULL JOIN (SELECT l_partkey AS i, sum(l_quantity) AS x FROM lineitem GROUP BY 1) b ON a.i = b.i")
 def vector_add(spark, d):
     sums = _load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("idx")).agg(F.sum("l_quantity").alias("x"))

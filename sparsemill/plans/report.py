@@ -89,7 +89,7 @@ def dense_cells(m: Matrix) -> DataFrame:
     """row, col, val of what m holds, from the first encoding of coo, dia, hybrid that it has."""
     if m.has("coo"):
         return convert.dedup(m.coo).select("row", "col", "val")
-    return convert.dia_to_coo(m.dia) if m.has("dia") else convert.hybrid_to_coo(m.hybrid)
+    return convert.dia_to_coo(m.dia, m.dia_segment) if m.has("dia") else convert.hybrid_to_coo(m.hybrid)
 
 
 def dense(m: Matrix) -> str:

@@ -17,8 +17,8 @@ VECTOR = T.StructType([T.StructField("idx", T.LongType()), T.StructField("x", T.
 BLOCK_WIDTH, THRESHOLD = 32, 1
 #: The largest number of cells that a dense encoding may have.
 MOST_CELLS = 100_000_000_000
-#: The longest diagonal that one row holds: 128 MB.
-MOST_DIAGONAL = 1 << 24
+#: Cells of one row of a diagonal layout: 512 KB.
+SEGMENT = 1 << 16
 ENCODINGS = ("coo", "dia", "hybrid")
 
 
@@ -79,6 +79,7 @@ class Matrix:
     global_nnz: int | None = None
     part: int = -1
     parts: int = -1
+    dia_segment: int = SEGMENT
 
     @staticmethod
     def empty(spark) -> "Matrix":

@@ -18,16 +18,16 @@ def ramp(spark: SparkSession, n: int, first: int = 0) -> Vector:
 
 
 def read_mtx(spark: SparkSession, path: str, *, num_rows: int | None = None, num_cols: int | None = None) -> Matrix:
-    """A MatrixMarket coordinate file.
+    """A MatrixMarket coordinate file, or a folder of parts in the order of their names.
 
     Lines of % are comments; the first other line is the header; lines that do not parse are skipped, and
     so are entries beyond the header's number; a missing value is 1 (pattern). Symmetric files are mirrored,
     skew-symmetric ones with the other sign. With given dimensions, entries outside them raise.
     Raises FileNotFoundError where the path has no file, ValueError for kinds that are not supported.
     """
-    # lines are split over tasks; (start of the split, number within it) is their order
+    # lines are split over tasks; (file, start of the split, number within it) is their order
     try:
-        read = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k")).alias("ln"))
+        read = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k")).alias("ln"))
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(path) from e
@@ -43,7 +43,7 @@ def read_mtx(spark: SparkSession, path: str, *, num_rows: int | None = None, num
         raise ValueError("there is no header of rows, columns and entries")
     rows, cols, nnz = head["t"][:3]
     at = lambda k: F.get("t", F.lit(k))
-    parsed = body.where(F.col("ln") > F.struct(F.lit(head["ln"]["at"]).alias("at"), F.lit(head["ln"]["k"]).alias("k"))).select("ln", (at(0).try_cast("long") - 1).alias("row"), (at(1).try_cast("long") - 1).alias("col"), F.when(at(2).isNull(), F.lit(1.0)).otherwise(at(2).try_cast("double")).alias("val"))
+    parsed = body.where(F.col("ln") > F.struct(*(F.lit(head["ln"][c]).alias(c) for c in ("file", "at", "k")))).select("ln", (at(0).try_cast("long") - 1).alias("row"), (at(1).try_cast("long") - 1).alias("col"), F.when(at(2).isNull(), F.lit(1.0)).otherwise(at(2).try_cast("double")).alias("val"))
     parsed = parsed.where("row is not null and col is not null and val is not null")
     if parsed.count() > nnz:
         parsed = parsed.orderBy("ln").limit(nnz)

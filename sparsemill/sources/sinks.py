@@ -1,4 +1,4 @@
-"""CSV sinks of a benchmark run."""
+"""CSV sinks of a benchmark run, and MatrixMarket text."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ FLAGS = ("execCOOCPU", "execCOOGPU", "unifiedMemory", "unifiedMemory_malloc", "u
 
 
 def save_csv(df: DataFrame, path: str) -> None:
-    """A header and comma-separated rows, one file; for results of a bounded size."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True, quote="", escapeQuotes=False)
+    """Comma-separated rows in as many parts as df has, each with the header; parts and rows are in df's order, if it is sorted."""
+    df.write.mode("overwrite").csv(path, header=True, quote="", escapeQuotes=False)
 
 
 def baseline_measurements(df: DataFrame) -> DataFrame:
@@ -39,8 +39,11 @@ def run_folder(name: str, nx: int, ny: int, nz: int, noise: float, now: dt.datet
 
 
 def save_mtx(m, path: str) -> None:
-    """One MatrixMarket file (a folder with one part), 1-based, general and real."""
+    """MatrixMarket text, 1-based, general and real: a folder of parts whose names follow the order of rows and columns. The first begins
+    with the header, so they are one file when put behind one another; `read_mtx` takes the folder."""
     coo = m.coo
-    head = coo.agg(F.count("*").alias("n")).select(F.lit(0).alias("k"), F.concat(F.lit(f"%%MatrixMarket matrix coordinate real general\n{m.num_rows} {m.num_cols} "), F.col("n").cast("string")).alias("value"))
-    body = coo.select(F.lit(1).alias("k"), F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, F.col("val")).alias("value"))
-    head.unionByName(body).repartition(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+    parts = int(coo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = F.lit(-1).cast("long")
+    head = coo.agg(F.count("*").alias("n")).select(least.alias("row"), least.alias("col"), F.concat(F.lit(f"%%MatrixMarket matrix coordinate real general\n{m.num_rows} {m.num_cols} "), F.col("n").cast("string")).alias("value"))
+    body = coo.select("row", "col", F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, F.col("val")).alias("value"))
+    head.unionByName(body).repartitionByRange(parts, "row", "col").sortWithinPartitions("row", "col").select("value").write.mode("overwrite").text(path)

@@ -3,14 +3,17 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparsemill.functions.costs import matrix_info, storage_cost
+from sparsemill.functions.prefix import scan
 from sparsemill.operators import convert as cv
 from sparsemill.operators import partition as pt
 from sparsemill.operators import spmv as mv
 from sparsemill.plans import report
 from sparsemill.schema import ENTRY, VECTOR, Matrix, Vector
 from sparsemill.sources import matrix as src
+from sparsemill.sources import sinks
 
 SMALL = [(0, 0, 1), (0, 2, 2), (1, 0, 3), (1, 1, 4), (1, 2, 5), (2, 1, 6), (2, 2, 7)]
 
@@ -238,3 +241,86 @@ def test_vectors(spark):
         mv.spmv(Matrix.from_df(entries(spark, SMALL)), Vector(v.df, 2))
     p = pt.partition_vector(v.df, 3, 2)
     assert [r["x"] for r in pt.gather(p).collect()] == [1, 2, 3]
+
+
+def test_diagonals_in_segments(spark):
+    """Segments of any length give the matrix and the product back; those without entries are not stored."""
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), rng.randrange(30), float(rng.choice([0, 1, 2, 5]))) for _ in range(90)] + [(39, 0, 4.0), (35, 29, 1.5)]
+    m = Matrix.from_df(entries(spark, rows), num_rows=40, num_cols=30)
+    x = [1.0 + k * k for k in range(30)]
+    want, sums = [0.0] * 40, {}
+    for r, c, v in rows:
+        sums[r, c] = sums.get((r, c), 0.0) + v
+        want[r] += v * x[c] if r < 30 else 0.0  # rows beyond min(rows, columns) are left out
+    vector = spark.createDataFrame(list(enumerate(x)), "idx long, x double")
+    for segment in (1, 7, 16, 1000):
+        d = cv.to_dia(m, segment=segment)
+        stored = d.dia.collect()
+        assert {(r["offset"], r["seg"]) for r in stored} == {(c - r, r // segment if r < 30 else 0) for r, c in sums}
+        assert all(len(r["diag"]) == min(segment, 30 - r["seg"] * segment) for r in stored)
+        assert triples(cv.dia_to_coo(d.dia, segment)) == sorted((r, c, v) for (r, c), v in sums.items() if r < 30 and v)
+        got = {r["idx"]: r["y"] for r in mv.spmv_dia(d, vector).collect()}
+        assert [got[k] for k in range(40)] == pytest.approx(want)
+    with pytest.raises(ValueError):
+        cv.to_dia(m, segment=0)
+
+
+def test_heavy_columns(spark):
+    """A column in half of all entries is found, its entries are not joined on it, and the product is as ever."""
+    rng = random.Random(12)
+    rows = [(rng.randrange(500), 7 if k % 2 else rng.randrange(5000), float(rng.randrange(9))) for k in range(6000)]
+    coo, x = entries(spark, rows), spark.createDataFrame([(k, float(k % 13)) for k in range(0, 5000, 3)] + [(7, 2.0)], "idx long, x double")
+    heavy = {r["col"] for r in mv.heavy_columns(coo).collect()}
+    assert 7 in heavy and len(heavy) <= mv.HEAVY * 3 // 2
+    assert mv.heavy_columns(coo.where("false")).count() == 0
+    at = {k: float(k % 13) for k in range(0, 5000, 3)} | {7: 2.0}
+    want = [0.0] * 500
+    for r, c, v in rows:
+        want[r] += v * at.get(c, 0.0)
+    got = {r["idx"]: r["y"] for r in mv.spmv_coo(coo, x, 500).collect()}
+    assert [got[k] for k in range(500)] == pytest.approx(want)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = mv.partial_products(coo, x)
+        assert [got[k] for k in range(500)] == pytest.approx([r["y"] for r in mv.total(parts, 500).orderBy("idx").collect()])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_scan_of_one_hot_block(spark):
+    """Running sums over (block, offset) where one block has nearly all groups, in ranges that are bounded by rows."""
+    rng = random.Random(13)
+    rows = [(0 if k % 20 else k, k * 7919 % 100_003, rng.randrange(4)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "block long, offset long, n long")
+    got = scan(df, {"before": F.col("n"), "pos": F.lit(1).cast("long")}, order=("block", "offset")).collect()
+    want, at = {}, 0
+    for k, (b, o, n) in enumerate(sorted(rows)):
+        want[b, o] = (at, k)
+        at += n
+    assert {(r["block"], r["offset"]): (r["before"], r["pos"]) for r in got} == want
+    by = scan(df, {"before": F.col("n")}, order=("offset",), by=("block",)).collect()
+    for r in by:
+        assert r["before"] == sum(n for b, o, n in rows if b == r["block"] and o < r["offset"]) or r["block"]
+    assert scan(df.where("false"), {"before": F.col("n")}, order=("block", "offset")).count() == 0
+
+
+def test_mtx_in_many_parts(spark, tmp_path):
+    """Parts put behind one another are one file; the folder reads back as it is, with its header in the first part."""
+    rng = random.Random(14)
+    rows = sorted({(rng.randrange(60), rng.randrange(50)): float(rng.randrange(1, 9)) for _ in range(700)}.items())
+    m = Matrix.from_df(entries(spark, [(r, c, v) for (r, c), v in rows]), num_rows=60, num_cols=50)
+    path = str(tmp_path / "m.mtx")
+    sinks.save_mtx(m, path)
+    parts = sorted(p for p in (tmp_path / "m.mtx").iterdir() if p.name.startswith("part-"))
+    lines = "".join(p.read_text() for p in parts).splitlines()
+    assert len(parts) > 1 and lines[0].startswith("%%MatrixMarket") and lines[1] == f"60 50 {len(rows)}"
+    assert lines[2:] == [f"{r + 1} {c + 1} {v}" for (r, c), v in rows]
+    whole = tmp_path / "one.mtx"
+    whole.write_text("\n".join(lines) + "\n")
+    for p in (path, str(whole)):
+        back = src.read_mtx(spark, p)
+        assert (back.num_rows, back.num_cols) == (60, 50) and triples(back.coo) == [(r, c, v) for (r, c), v in rows]
+    sinks.save_mtx(Matrix.from_df(entries(spark, []), num_rows=3, num_cols=4), str(tmp_path / "none"))
+    assert src.read_mtx(spark, str(tmp_path / "none")).coo.count() == 0
