@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparsemill.functions.arrays import sorted_cells, zero_filled
+from sparsemill.functions.exact import repeatable_sums
 from sparsemill.functions.prefix import running_total, scan
 from sparsemill.schema import BLOCK_WIDTH, MOST_CELLS, SEGMENT, THRESHOLD, HybridLayout, Matrix, num_blocks
 
@@ -22,8 +23,8 @@ STRETCH = 4096
 LANE_COLUMNS = 64
 
 
-def dedup(coo: DataFrame, duplicates: str = "sum") -> DataFrame:
-    """One entry for each cell: the sum of its entries (zero sums stay), or the one written last (of those the largest, where seq ties)."""
+def dedup(coo: DataFrame, duplicates: str = "sum", *, repeatable: bool = False) -> DataFrame:
+    """One entry for each cell: the sum of its entries (zero sums stay), or the one written last (of those the largest, where seq ties). repeatable: sums with the same bits in any order."""
     if duplicates == "last":
         if "seq" not in coo.columns:
             raise ValueError("the last writer needs a seq column")
@@ -33,6 +34,8 @@ def dedup(coo: DataFrame, duplicates: str = "sum") -> DataFrame:
     else:
         raise ValueError(f"no way {duplicates} to treat duplicates")
     keys = ["row", "col", *(c for c in ("part", "global_row") if c in coo.columns)]
+    if repeatable and duplicates == "sum":
+        return repeatable_sums(coo, keys, val=F.col("val"))
     return coo.groupBy(*keys).agg(value.alias("val"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparsemill.functions.arrays import sorted_cells, zero_filled
+from sparsemill.functions.exact import largest, repeatable_sums, sum_columns
 from sparsemill.operators.convert import dedup
 from sparsemill.schema import HybridLayout, Matrix, Vector
 from sparsemill.sources.shared import materialise
@@ -49,15 +50,16 @@ def partial_products(entries: DataFrame, x: DataFrame, *, size: int | None = Non
     return product(rest, x).unionByName(product(entries, F.broadcast(elements)))
 
 
-def total(partial: DataFrame, num_rows: int) -> DataFrame:
-    """idx, y for every row."""
+def total(partial: DataFrame, num_rows: int, *, repeatable: bool = False) -> DataFrame:
+    """idx, y for every row. repeatable: the same bits for any order and number of tasks, at the price of one more pass for the largest product."""
     spine = partial.sparkSession.range(num_rows).withColumnRenamed("id", "idx")
-    sums = partial.groupBy(F.col("row").alias("idx")).agg(F.sum("y").alias("y"))
+    rows = partial.select(F.col("row").alias("idx"), "y")
+    sums = repeatable_sums(rows, ["idx"], y=F.col("y")) if repeatable else rows.groupBy("idx").agg(F.sum("y").alias("y"))
     return spine.join(sums, "idx", "left").select("idx", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def spmv_coo(coo: DataFrame, x: DataFrame, num_rows: int, *, size: int | None = None) -> DataFrame:
-    return total(partial_products(coo, x, size=size), num_rows)
+def spmv_coo(coo: DataFrame, x: DataFrame, num_rows: int, *, size: int | None = None, repeatable: bool = False) -> DataFrame:
+    return total(partial_products(coo, x, size=size), num_rows, repeatable=repeatable)
 
 
 def segments(x: DataFrame, width: int) -> DataFrame:
@@ -138,19 +140,19 @@ def spmv(a: Matrix, x: Vector, *, strategy: str = "auto") -> Vector:
     return Vector(y.withColumnRenamed("y", "x"), a.num_rows)
 
 
-def vector_add(a: DataFrame, b: DataFrame) -> DataFrame:
+def vector_add(a: DataFrame, b: DataFrame, *, repeatable: bool = False) -> DataFrame:
     """idx, x: the sum; an index in one of them only keeps its value."""
-    return a.unionByName(b).groupBy("idx").agg(F.sum("x").alias("x"))
+    both = a.unionByName(b)
+    return repeatable_sums(both, ["idx"], x=F.col("x")) if repeatable else both.groupBy("idx").agg(F.sum("x").alias("x"))
 
 
 def compare_vectors(a: DataFrame, b: DataFrame, *, tolerance: float = 1e-6) -> DataFrame:
-    """One row: elements, greatest absolute error, sums of absolute values, mismatches over the tolerance, relative error of the sums."""
+    """One row: elements, greatest absolute error, sums of absolute values (the same bits in any order), mismatches over the tolerance, relative error of the sums."""
     both = a.join(b.withColumnRenamed("x", "_x"), "idx", "full").select(F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("_x", F.lit(0.0)).alias("_x"))
     error = F.abs(F.col("x") - F.col("_x"))
-    sums = both.agg(
-        F.count("*").alias("n"), F.coalesce(F.max(error), F.lit(0.0)).alias("max_abs_error"), F.coalesce(F.sum(F.abs("x")), F.lit(0.0)).alias("sum_abs_a"),
-        F.coalesce(F.sum(F.abs("_x")), F.lit(0.0)).alias("sum_abs_b"), F.coalesce(F.sum(F.when(error > tolerance, 1).otherwise(0)), F.lit(0)).cast("long").alias("mismatches"),
-    )
+    (one, first), (two, second) = (sum_columns(F.abs(c), largest(both, F.col(c)), c) for c in ("x", "_x"))
+    sums = both.agg(F.count("*").alias("n"), F.coalesce(F.max(error), F.lit(0.0)).alias("max_abs_error"), *one, *two, F.coalesce(F.sum(F.when(error > tolerance, 1).otherwise(0)), F.lit(0)).cast("long").alias("mismatches"))
+    sums = sums.select("n", "max_abs_error", F.coalesce(first, F.lit(0.0)).alias("sum_abs_a"), F.coalesce(second, F.lit(0.0)).alias("sum_abs_b"), "mismatches")
     relative = F.when(F.col("sum_abs_a") == 0, F.col("sum_abs_b")).otherwise(F.abs(F.col("sum_abs_a") - F.col("sum_abs_b")) / F.col("sum_abs_a"))
     return sums.withColumn("relative_error", relative)
 

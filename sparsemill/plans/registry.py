@@ -16,6 +16,7 @@ from sparsemill.operators import analysis as an
 from sparsemill.operators import convert as cv
 from sparsemill.operators import partition as pt
 from sparsemill.operators import spmv as mv
+from sparsemill.operators import stored
 from sparsemill.plans import report, run
 from sparsemill.schema import Matrix
 from sparsemill.sources import matrix as src
@@ -301,6 +302,24 @@ def spmv_heavy_column(spark, d):
     return mv.spmv_coo(coo, sizes_vector(spark, d), n)
 
 
+@query(f"""SELECT i.i AS idx, round(coalesce(fsum(l_extendedprice * (1 - l_discount) * p_retailprice), 0), 4) AS y FROM (SELECT unnest(generate_series(0, {_N} - 1)) AS i) i
+LEFT JOIN lineitem ON l_orderkey % {_N} = i.i LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1""")
+def spmv_repeatable(spark, d):
+    """Discounted prices times retail prices, summed to the same bits in any order."""
+    n = _load(spark, d, "part").count()
+    coo = _load(spark, d, "lineitem").select((F.col("l_orderkey") % n).alias("row"), F.col("l_partkey").alias("col"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("val"))
+    x = _load(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").cast("double").alias("x"))
+    return mv.spmv_coo(coo, x, n, size=n, repeatable=True).withColumn("y", F.round("y", 4))
+
+
+@query(f"""WITH {_U} SELECT i.i AS idx, coalesce(sum(e.val * p.p_size), 0)::DOUBLE AS y
+FROM (SELECT unnest(generate_series(0, {_N} - 1)) AS i) i LEFT JOIN e ON e."row" = i.i LEFT JOIN part p ON p.p_partkey = e.col GROUP BY 1""")
+def spmv_stored(spark, d):
+    """The product of a matrix that lies in buckets on disk."""
+    m = square(spark, d)
+    return mv.total(stored.store(m).products(sizes_vector(spark, d)), m.num_rows)
+
+
 @query("""WITH u AS (SELECT user_id AS r, hour(ts)::BIGINT AS c FROM events), n AS (SELECT greatest(max(r) + 1, 24) AS n FROM u)
 SELECT i AS idx, coalesce(sum(c + 1), 0)::DOUBLE AS y FROM (SELECT unnest(generate_series(0, n - 1)) AS i FROM n) LEFT JOIN u ON r = i GROUP BY 1""")
 def spmv_dia(spark, d):

@@ -1,15 +1,18 @@
 """Layouts and products against golden values, plain Python and each other."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparsemill.functions.costs import matrix_info, storage_cost
+from sparsemill.functions.exact import repeatable_sums
 from sparsemill.functions.prefix import scan
 from sparsemill.operators import convert as cv
 from sparsemill.operators import partition as pt
 from sparsemill.operators import spmv as mv
+from sparsemill.operators import stored
 from sparsemill.plans import report
 from sparsemill.schema import ENTRY, VECTOR, Matrix, Vector
 from sparsemill.sources import matrix as src
@@ -324,3 +327,47 @@ def test_mtx_in_many_parts(spark, tmp_path):
         assert (back.num_rows, back.num_cols) == (60, 50) and triples(back.coo) == [(r, c, v) for (r, c), v in rows]
     sinks.save_mtx(Matrix.from_df(entries(spark, []), num_rows=3, num_cols=4), str(tmp_path / "none"))
     assert src.read_mtx(spark, str(tmp_path / "none")).coo.count() == 0
+
+
+def test_sums_are_the_same_bits_in_any_order(spark):
+    """For any number of partitions and any order, and as close as exact addition; odd values as plain addition has them."""
+    rng = random.Random(15)
+    rows = [(k % 5, rng.choice([-1, 1]) * 10.0 ** rng.uniform(-12, 12)) for k in range(4000)] + [(5, 0.1)] * 1000 + [(6, 1e300), (6, -1e300), (6, 1e290)] + [(7, float("inf")), (7, 1.0), (8, float("nan")), (8, 2.0), (9, None)]
+    seen = set()
+    for parts in (1, 3, 16):
+        df = spark.createDataFrame(rng.sample(rows[:5000], 5000), "row long, y double").repartition(parts)
+        seen.add(tuple((r["row"], r["y"]) for r in repeatable_sums(df, ["row"], y=F.col("y")).orderBy("row").collect()))
+    assert len(seen) == 1
+    for row, y in next(iter(seen)):
+        own = [v for r, v in rows[:5000] if r == row]
+        assert y == pytest.approx(math.fsum(own), rel=1e-15, abs=len(own) * 2.0**-90 * 1e12)
+    odd = {r["row"]: r["y"] for r in repeatable_sums(spark.createDataFrame(rows[5000:], "row long, y double"), ["row"], y=F.col("y")).collect()}
+    assert odd[6] == 1e290 and odd[7] == float("inf") and math.isnan(odd[8]) and odd[9] is None
+    cells = spark.createDataFrame([(k % 3, 0, v) for k, (_, v) in enumerate(rows[:900])], ENTRY)
+    assert len({tuple(sorted(map(tuple, cv.dedup(cells.repartition(p), repeatable=True).collect()))) for p in (1, 7)}) == 1
+    v = spark.createDataFrame([(k, v) for k, (_, v) in enumerate(rows[:500])], "idx long, x double")
+    assert len({tuple(mv.compare_vectors(v.repartition(p), v).first()) for p in (1, 2, 9)}) == 1
+    assert mv.vector_add(v, v, repeatable=True).where("idx = 3").first()["x"] == 2 * rows[3][1]
+    assert mv.compare_vectors(v.where("false"), v.where("false")).first()["sum_abs_a"] == 0.0
+
+
+def test_stored_matrix(spark):
+    """Products over buckets on disk: right, with a heavy column too, and without an exchange of entries."""
+    rng = random.Random(16)
+    rows = [(rng.randrange(60), 3 if k % 3 == 0 else rng.randrange(80), float(rng.randrange(5))) for k in range(900)]
+    m = Matrix.from_df(entries(spark, rows), num_rows=60, num_cols=80)
+    kept = stored.store(m, buckets=4)
+    for shift in (1, 2):
+        x = [float(k * shift % 11) for k in range(80)]
+        want = [0.0] * 60
+        for r, c, v in rows:
+            want[r] += v * x[c]
+        got = kept.multiply(Vector(vec(spark, x), 80)).df.orderBy("idx").collect()
+        assert [r["x"] for r in got] == pytest.approx(want)
+    wide = stored.StoredMatrix(spark, kept.name, kept.heavy, kept.columns, 60, 80).products(vec(spark, range(80)))
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1  # that of x
+    with pytest.raises(ValueError):
+        kept.multiply(Vector(vec(spark, [1.0]), 1))
+    kept.drop()
+    assert not spark.catalog.tableExists(kept.name)
