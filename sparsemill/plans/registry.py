@@ -138,37 +138,40 @@ def coo_dims_inferred(spark, d):
     return coo.agg((F.max("row") + 1).alias("num_rows"), (F.max("col") + 1).alias("num_cols"), F.count("*").alias("nnz"))
 
 
-def _stencil_sql(n: int) -> str:
-    """CTEs g, o, s: the stencil of an n x n x n grid."""
-    return f"""g AS (SELECT unnest(generate_series(0, {n**3 - 1})) AS id), o AS (SELECT unnest(generate_series(-1, 1)) AS d),
-s AS (SELECT id AS "row", id + x.d + y.d * {n} + z.d * {n * n} AS col, (CASE abs(x.d) + abs(y.d) + abs(z.d) WHEN 0 THEN 2610 WHEN 1 THEN -110 WHEN 2 THEN -10 ELSE -1 END)::DOUBLE AS val
-  FROM g, o x, o y, o z WHERE id % {n} + x.d BETWEEN 0 AND {n - 1} AND id // {n} % {n} + y.d BETWEEN 0 AND {n - 1} AND id // {n * n} + z.d BETWEEN 0 AND {n - 1})"""
-
-
-def _noise_sql(n: int, draws: int) -> str:
-    """CTEs h, w, z: the noise beside that stencil."""
-    return f"""h AS (SELECT k, md5('42-' || k) AS h FROM (SELECT unnest(generate_series(0, {draws - 1})) AS k)),
-w AS (SELECT k, ('0x' || substr(h, 1, 10))::BIGINT % {n**3} AS "row", ('0x' || substr(h, 11, 10))::BIGINT % {n**3} AS col, (('0x' || substr(h, 21, 12))::BIGINT + 0.5::DOUBLE) / 140737488355328 - 1 AS val FROM h),
-z AS (SELECT "row", col, min_by(val, k) AS val FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s."row" = w."row" AND s.col = w.col) GROUP BY 1, 2)"""
+def part_grid(spark: SparkSession, d: str, noise: float = 0.0) -> Matrix:
+    """The stencil of the least cube that holds all parts, part k at point k: rows and columns are part keys."""
+    n = _load(spark, d, "part").count()
+    edge = next(k for k in range(1, n + 2) if k**3 >= n)
+    grid = src.stencil27(spark, edge, edge, edge, noise=noise, scale=1).coo
+    return Matrix(n, n, grid.where((F.col("row") < n) & (F.col("col") < n)))
 
 
-_STENCIL = _stencil_sql(16)
+#: CTEs b, g, o, s, i: the least cube over the parts, its stencil, and the entries between parts.
+_STENCIL = f"""b AS (SELECT min(k) AS n, min(k) ** 3 AS cells, {_N} AS parts FROM (SELECT unnest(range(1, {_N} + 2)) AS k) WHERE k * k * k >= {_N}),
+g AS (SELECT unnest(generate_series(0, n * n * n - 1)) AS id, n FROM b), o AS (SELECT unnest(generate_series(-1, 1)) AS d),
+s AS (SELECT id AS "row", id + x.d + y.d * n + z.d * n * n AS col, (CASE abs(x.d) + abs(y.d) + abs(z.d) WHEN 0 THEN 2610 WHEN 1 THEN -110 WHEN 2 THEN -10 ELSE -1 END)::DOUBLE AS val
+  FROM g, o x, o y, o z WHERE id % n + x.d BETWEEN 0 AND n - 1 AND id // n % n + y.d BETWEEN 0 AND n - 1 AND id // (n * n) + z.d BETWEEN 0 AND n - 1),
+i AS (SELECT s.* FROM s, b WHERE "row" < parts AND col < parts)"""
+_NOISE = """h AS (SELECT k, n * n * n AS m, parts, md5('42-' || k) AS h FROM (SELECT unnest(range(0, floor(27 * n * n * n * 0.1::DOUBLE)::BIGINT)) AS k, n, parts FROM b)),
+w AS (SELECT k, parts, ('0x' || substr(h, 1, 10))::BIGINT % m AS "row", ('0x' || substr(h, 11, 10))::BIGINT % m AS col, (('0x' || substr(h, 21, 12))::BIGINT + 0.5::DOUBLE) / 140737488355328 - 1 AS val FROM h),
+z AS (SELECT "row", col, min_by(val, k) AS val FROM w WHERE "row" < parts AND col < parts AND NOT EXISTS (SELECT 1 FROM s WHERE s."row" = w."row" AND s.col = w.col) GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_STENCIL} SELECT * FROM s")
+@query(f"WITH {_STENCIL} SELECT * FROM i")
 def stencil27(spark, d):
-    return src.stencil27(spark, 16, 16, 16, scale=1).coo
+    return part_grid(spark, d).coo
 
 
-@query(f"WITH {_STENCIL}, {_noise_sql(16, 11059)} SELECT * FROM s UNION ALL SELECT * FROM z")
+@query(f"WITH {_STENCIL}, {_NOISE} SELECT * FROM i UNION ALL SELECT * FROM z")
 def stencil27_noise(spark, d):
-    return src.stencil27(spark, 16, 16, 16, noise=0.1, scale=1).coo
+    return part_grid(spark, d, noise=0.1).coo
 
 
-@query(f'WITH {_STENCIL} SELECT "row" AS idx, sum(val * (col + 1)) AS y FROM s GROUP BY 1')
+@query(f'WITH {_STENCIL} SELECT i."row" AS idx, sum(val * p_size)::DOUBLE AS y FROM i JOIN part ON p_partkey = col GROUP BY 1')
 def spmv_stencil_blocks(spark, d):
-    m = cv.to_hybrid(src.stencil27(spark, 16, 16, 16, scale=1), threshold=8, assume_unique=True)
-    return mv.spmv_hybrid(m.hybrid, src.ramp(spark, m.num_cols, 1).df, strategy="block")
+    """The stencil over the parts times their sizes, lane by lane."""
+    m = cv.to_hybrid(part_grid(spark, d), threshold=8, assume_unique=True)
+    return mv.spmv_hybrid(m.hybrid, sizes_vector(spark, d), strategy="block")
 
 
 @query(f'WITH {_U} SELECT "row", count(*) AS nnz FROM e GROUP BY 1')
@@ -438,23 +441,19 @@ def histogram_file(spark, d):
     return spark.read.csv(path, header=True, schema="diagonal_count long, blocks_with_diagonals long, nnz_in_blocks long")
 
 
-def _sweep_sql(n: int, noises: tuple[float, ...], threshold: int) -> str:
-    """What a sweep of runs on the n x n x n stencil builds at one threshold, and that its results agree."""
-    levels = " UNION ALL ".join(f"SELECT {p}::DOUBLE AS noise, {int(27 * n**3 * p)} AS draws" for p in noises)
-    return f"""WITH {_stencil_sql(n)}, h AS (SELECT k, md5('42-' || k) AS h FROM (SELECT unnest(generate_series(0, {int(27 * n**3 * max(noises)) - 1})) AS k)), p AS ({levels}),
-w AS (SELECT DISTINCT noise, ('0x' || substr(h, 1, 10))::BIGINT % {n**3} AS "row", ('0x' || substr(h, 11, 10))::BIGINT % {n**3} AS col FROM h JOIN p ON k < draws),
-e AS (SELECT noise, "row", col FROM s, p UNION SELECT noise, "row", col FROM w),
-b AS (SELECT noise, "row" // 32 AS block, col - "row" AS off, count(*) AS n FROM e GROUP BY 1, 2, 3)
-SELECT noise, {threshold} AS threshold, sum(n)::BIGINT AS nnz, (count(*) FILTER (n >= {threshold}) * 32)::BIGINT AS stored_cells, coalesce(sum(n) FILTER (n < {threshold}), 0)::BIGINT AS fallback_entries, true AS passed FROM b GROUP BY 1"""
+_SWEPT = (2, 8)
 
 
-@query(_sweep_sql(8, (0.0, 0.1), 8))
+@query(f"""WITH {_U}, c AS (SELECT "row" // 32 AS block, col - "row" AS off, count(*) AS n FROM u GROUP BY 1, 2), t AS (SELECT unnest({list(_SWEPT)}) AS threshold)
+SELECT threshold, sum(n)::BIGINT AS nnz, (count(*) FILTER (n >= threshold) * 32)::BIGINT AS stored_cells, coalesce(sum(n) FILTER (n < threshold), 0)::BIGINT AS fallback_entries, true AS passed FROM c, t GROUP BY 1""")
 def run_sweep(spark, d):
-    path = _scratch(spark, "runs")
-    done = run.sweep(spark, run.Config((8, 8, 8), iterations=2), path, (0.0, 0.1), (8,))
-    passed = spark.createDataFrame([(r["noise"], r["threshold"], bool(r["passed"])) for r in done], "noise double, threshold int, passed boolean")
-    info = run.read_info(spark, path).select(F.col("noise_level").alias("noise"), "threshold", F.col("nnz").cast("long").alias("nnz"), F.col("hybrid_data_size").cast("long").alias("stored_cells"), F.col("coo_fallback_entries").cast("long").alias("fallback_entries"))
-    return info.join(passed, ["noise", "threshold"])
+    """Benchmark runs over a MatrixMarket file of the square matrix, at several thresholds."""
+    m, path, out = square(spark, d), _scratch(spark, "square.mtx"), _scratch(spark, "runs")
+    sinks.save_mtx(Matrix(m.num_rows, m.num_cols, cv.dedup(m.coo)), path)
+    done = run.sweep(spark, run.Config(filename=path, iterations=2), out, (0.0,), _SWEPT)
+    passed = spark.createDataFrame([(r["threshold"], bool(r["passed"])) for r in done], "threshold int, passed boolean")
+    info = run.read_info(spark, out).select("threshold", F.col("nnz").cast("long").alias("nnz"), F.col("hybrid_data_size").cast("long").alias("stored_cells"), F.col("coo_fallback_entries").cast("long").alias("fallback_entries"))
+    return info.join(passed, "threshold")
 
 
 @query(f'WITH {_U} SELECT "row", col, val FROM u ORDER BY 1, 2 LIMIT 10')
