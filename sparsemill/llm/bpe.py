@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from sparsemill.llm.common import bounded_batches, load, mix, slices
 
 NONE = np.int32((1 << 31) - 1)  # the rank of a pair that never merges
-#: Longest piece (bytes) that shares a matrix with others, cells of a matrix, and remembered pieces.
-SHARED_WIDTH, CELLS, REMEMBERED = 256, 1 << 18, 150_000
+#: Longest piece (bytes) that shares a matrix with others, cells of a matrix, remembered pieces, and the longest of those (characters).
+SHARED_WIDTH, CELLS, REMEMBERED, SHORT = 256, 1 << 18, 150_000, 64
 
 
 class PairTable:
@@ -177,7 +177,11 @@ class Tokenizer:
             new = list({p for f in found for p in f})
         self.known.update(zip(new, self.encode_pieces([p.encode("utf-8", "replace") for p in new])))
         get = self.known.__getitem__
-        return [b"".join(map(get, f)) for f in found]
+        out = [b"".join(map(get, f)) for f in found]
+        for p in new:
+            if len(p) > SHORT:  # what is remembered is bounded in bytes too
+                del self.known[p]
+        return out
 
     def decode_batch(self, packed: list[bytes | None]) -> list[bytes]:
         get = self.tokens.__getitem__

@@ -32,6 +32,13 @@ def test_long_pieces():
     assert [ids(p) for p in TOKENIZER.encode_batch(texts)] == [ENCODING.encode_ordinary(t) for t in texts]
 
 
+def test_only_short_pieces_are_remembered():
+    texts = ["b" * 5000 + " some words " + "c" * 65, "some words " + "c" * 65, "b" * 5000]
+    assert [ids(p) for p in TOKENIZER.encode_batch(texts)] == [ENCODING.encode_ordinary(t) for t in texts]
+    assert [ids(p) for p in TOKENIZER.encode_batch(texts)] == [ENCODING.encode_ordinary(t) for t in texts]
+    assert TOKENIZER.known and max(map(len, TOKENIZER.known)) <= bpe.SHORT
+
+
 def test_table(spark, make, odd):
     got = bpe.digest(make(odd).select("doc_id", "text"), **PARAMS).collect()
     want = []
