@@ -39,11 +39,14 @@ def partial_products(entries: DataFrame, x: DataFrame, *, size: int | None = Non
     """row, y of each entry. x is broadcast only where its size is known to be small.
 
     Elsewhere entries and x meet in a join on the column. A column with a large share of all entries would put those in one task, so the
-    elements of heavy columns alone, 3/2 HEAVY of them at most, are broadcast, and their entries stay where they are.
+    elements of heavy columns alone, 3/2 HEAVY of them at most, are broadcast, and their entries stay where they are. A stream is not
+    counted beforehand: its source bounds a batch.
     """
     product = lambda e, side: e.join(side, e["col"] == side["idx"]).select("row", _product(F.col("val"), F.col("x")).alias("y"))
     if size is not None and size <= BROADCAST_ELEMENTS:
         return product(entries, F.broadcast(x))
+    if entries.isStreaming:
+        return product(entries, x)
     heavy = materialise(heavy_columns(entries), "heavy")
     elements = x.join(F.broadcast(heavy), x["idx"] == heavy["col"]).select("idx", "x")
     rest = entries.join(F.broadcast(heavy), "col", "left_anti")

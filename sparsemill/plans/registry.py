@@ -21,7 +21,7 @@ from sparsemill.plans import report, run
 from sparsemill.schema import Matrix
 from sparsemill.sources import matrix as src
 from sparsemill.sources import sinks
-from sparsemill.sources.shared import new_path
+from sparsemill.sources.shared import materialise, new_path
 
 WIDTH, DENSE, CAP, PARTS, SHARD_WIDTH = 32, 2, 20_000, 4, 16
 
@@ -84,7 +84,7 @@ def _shards(spark: SparkSession, d: str) -> tuple[Matrix, DataFrame, DataFrame,
     dealt = pt.partition_rows(cv.dedup(m.coo), m.num_rows, PARTS)
     layout = pt.part_layout(dealt, m.num_rows, m.num_cols, PARTS, SHARD_WIDTH, DENSE)
     needed = pt.needed_columns(dealt, layout, m.num_rows, m.num_cols, PARTS, SHARD_WIDTH)
-    ranges = pt.data_ranges(needed).persist()  # few rows, which the queries read several times
+    ranges = materialise(pt.data_ranges(needed), "ranges")  # few rows, which the queries read several times
     return m, layout, ranges, pt.owner_ranges(ranges, m.num_cols, PARTS)
 
 
