@@ -52,6 +52,26 @@ def test_em_finds_the_mixture():
     assert np.allclose(w.sum(axis=1), 1) and w[0, 0] == 0 and w[3, 0] > 0.5
 
 
+def test_em_of_triples_finds_the_mixture():
+    """A context whose triples explain three quarters of what follows; one never seen says nothing."""
+    span = lm._SPAN
+    lv = lambda p: int(round(math.log2(p) * lm.LEVELS)) + lm.LOWEST * lm.LEVELS + 1 if p else 0
+    cells = np.array([(4 * span + lv(a)) * span + lv(b) for a, b in [(1.0, 2.0**-20), (0.0, 2.0**-10)]] + [lv(0.5)])
+    w = lm.learn_triples(cells, np.array([750.0, 250, 10]))
+    assert np.allclose(w[4], [0.75, 0.25], atol=1e-3) and w[0].tolist() == [0, 1]
+
+
+def test_triples_tell_what_pairs_cannot(spark, make):
+    """What follows m depends on the word before it: scored near certainty, where pairs give one half a chance."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{a} m {a}x" for a in (rng.choice("ab") for _ in range(10)))) for i in range(300)]
+    got = [r for r in lm.score(make(rows).select("doc_id", "text"), learn()).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
+    assert all(r["n_tokens"] == 31 for r in got)
+    # ten free choices of a, and after each turn the text goes on in ten of eleven cases
+    ideal = len(got) * (10 * math.log10(1 / 2) + 9 * math.log10(10 / 11) + math.log10(1 / 11))
+    assert sum(r["score"] for r in got) == pytest.approx(ideal, rel=0.03)
+
+
 def test_held_out_is_better_than_base(spark, make):
     rng = random.Random(2)
     rows = [(i, " ".join(f"{a} {a}x" for a in (rng.choice("abcdefghij") for _ in range(20)))) for i in range(300)]
@@ -70,39 +90,60 @@ def plain_scores(texts, learned, deleted, rounded):
     """Scores by dictionaries: ratios as they are, or rounded to the cells' levels."""
     said = [words(t) for t in texts]
     before = [["BEGIN", *t[:-1]] for t in said]
+    longer = [list(zip(["BEGIN", *b[:-1]], b)) for b in before]
 
     def counted(of):
-        c, two = Counter(), Counter()
+        c, two, three = Counter(), Counter(), Counter()
         for k in of:
             c.update(["BEGIN", *said[k]])
-            two.update(zip(before[k], said[k]))
-        return c, two
+            two.update(zip(["BEGIN", *before[k]], ["BEGIN", *said[k]]))
+            three.update(zip(longer[k], said[k]))
+        return c, two, three
 
     every, kept = (counted([k for k in range(len(texts)) if learned[k] and not (without and deleted[k])]) for without in (False, True))
     total = lambda c: sum(n for w, n in c.items() if w != "BEGIN")
     v = sum(w != "BEGIN" for w in every[0])
     near = lambda r: 2.0 ** (max(-lm.LOWEST * lm.LEVELS, min(0, round(math.log2(r) * lm.LEVELS))) / lm.LEVELS) if rounded and r else r
     bucket = lambda n: min(lm.CONTEXTS - 1, n.bit_length())
-    seen = [[] for _ in range(lm.CONTEXTS)]
-    for k in np.flatnonzero(np.array(learned) & np.array(deleted)).tolist():
-        for a, b in zip(before[k], said[k]):
-            n = kept[0][a]
-            seen[bucket(n)].append((near(kept[1][a, b] / max(1, n)), near(kept[0][b] / max(1, total(kept[0]))), 1 / (v + 1)))
+    told = [k for k in range(len(texts)) if learned[k] and deleted[k]]
 
     def em(rows):
-        parts, w = np.array(rows), np.full(3, 1 / 3)
+        parts = np.array(rows)
+        w = np.full(parts.shape[1], 1 / parts.shape[1])
         for _ in range(lm.STEPS):
             share = parts * w
             w = np.maximum((share / share.sum(axis=1)[:, None]).sum(axis=0) / len(rows), 1e-7)
             w /= w.sum()
         return w
 
-    pooled = em(sum(seen, []))
-    weights = [em(x) if x else pooled for x in seen]
-    weights[0] = np.array([0, *(weights[0][1:] / weights[0][1:].sum())])
+    def by_bucket(rows):
+        """rows: (context count, parts)."""
+        seen = [[parts for n, parts in rows if bucket(n) == b] for b in range(lm.CONTEXTS)]
+        pooled = em(sum(seen, []))
+        weights = [em(x) if x else pooled for x in seen]
+        weights[0] = np.array([0, *(weights[0][1:] / weights[0][1:].sum())])
+        return weights
+
+    def pair_parts(counts, a, b):
+        return counts[1][a, b] / max(1, counts[0][a]), counts[0][b] / total(counts[0]), 1 / (v + 1)
+
+    def pair_p(counts, a, b):
+        return weights[bucket(counts[0][a])] @ pair_parts(counts, a, b)
+
+    def triple_part(counts, ua, b):
+        return counts[2][ua, b] / max(1, counts[1][ua])
+
+    rows = []
+    for k in told:
+        for a, b in zip(before[k], said[k]):
+            two, one, none = pair_parts(kept, a, b)
+            rows.append((kept[0][a], (near(two), near(one), none)))
+    weights = by_bucket(rows)
+    rows = [(kept[1][ua], (near(triple_part(kept, ua, b)), near(pair_p(kept, ua[1], b)))) for k in told for ua, b in zip(longer[k], said[k])]
+    of_triples = by_bucket(rows)
     out = []
-    for t, b in zip(said, before):
-        p = [weights[bucket(every[0][a])] @ [every[1][a, x] / max(1, every[0][a]), every[0][x] / total(every[0]), 1 / (v + 1)] for a, x in zip(b, t)]
+    for k, t in enumerate(said):
+        p = [of_triples[bucket(every[1][ua])] @ [triple_part(every, ua, x), pair_p(every, ua[1], x)] for ua, x in zip(longer[k], t)]
         out.append(sum(map(math.log10, p)))
     return out
 
