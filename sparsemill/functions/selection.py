@@ -13,6 +13,8 @@ from sparsemill.sources.shared import drop, materialise
 
 #: Bins of an interval; rounds after which something is wrong: signs take one, logarithms two, and 52 bits of a double five.
 BINS, MOST_ROUNDS = 1 << 12, 20
+#: Values of an interval that are numbered in one sort.
+FEW = 1 << 12
 
 
 def real(value: Column) -> Column:
@@ -47,27 +49,41 @@ def select_ranks(values: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Refined histograms: a rank lies between two values of its group; in each round the values between them are counted in BINS
     bins, for all groups and ranks at once, and the ends move to the least and largest value of the rank's bin, until they
-    are equal. A round reads the values once and shuffles at most BINS counts a task and interval; nothing is sorted or
-    gathered. Bins are by sign, then by logarithm, then linear, so rounds are few whatever the values.
+    are equal or have no more than FEW values between them, which are then numbered. A round reads the values once and shuffles
+    at most BINS counts a task and interval; nothing is gathered but FEW values of an interval at the end. Bins are by sign, then
+    by logarithm, then linear, so rounds are few whatever the values.
     """
-    ends = values.groupBy("_g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    bounds = materialise(wanted.join(ends, "_g").select("_g", "rank", "lo", "hi", F.lit(0).cast("long").alias("before")), "bounds")
+    ends = values.groupBy("_g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    bounds = materialise(wanted.join(ends, "_g").select("_g", "rank", "lo", "hi", "n", F.lit(0).cast("long").alias("before")), "bounds")
+    wide = (F.col("lo") < F.col("hi")) & (F.col("n") > FEW)
     for _ in range(MOST_ROUNDS):
-        if (open_ := bounds.where("lo < hi")).isEmpty():
-            return bounds.select("_g", "rank", F.col("lo").alias("x"))
+        if (open_ := bounds.where(wide).drop("n")).isEmpty():
+            return _numbered(values, bounds)
         # intervals of a group are equal or apart, so a value is counted once
-        intervals = open_.select("_g", "lo", "hi").distinct()
-        inside = values.join(intervals, "_g").where("v >= lo and v <= hi")
+        inside = _inside(values, open_.select("_g", "lo", "hi"))
         counts = inside.groupBy("_g", "lo", _bin(F.col("v"), F.col("lo"), F.col("hi")).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
         before = Window.partitionBy("_g", "lo").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         summed = counts.withColumn("under", F.coalesce(F.sum("n").over(before), F.lit(0)))
         found = open_.join(summed, ["_g", "lo"]).where("rank - before >= under and rank - before < under + n")
-        moved = found.select("_g", "rank", F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("before") + F.col("under")).alias("before"))
-        last, bounds = bounds, materialise(bounds.where("lo >= hi").unionByName(moved), "bounds")
+        moved = found.select("_g", "rank", F.col("a").alias("lo"), F.col("b").alias("hi"), "n", (F.col("before") + F.col("under")).alias("before"))
+        last, bounds = bounds, materialise(bounds.where(~wide).unionByName(moved), "bounds")
         drop(last)
     raise RuntimeError("the histograms do not close in on a value")
 
 
+def _inside(values: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Values with the interval of their group that they lie in."""
+    return values.join(intervals.distinct(), "_g").where("v >= lo and v <= hi")
+
+
+def _numbered(values: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(_g, rank, x) where an interval has one distinct value, or few values, each of which then gets its rank."""
+    few = bounds.where("lo < hi")
+    order = Window.partitionBy("_g", "lo").orderBy("v")
+    ranked = _inside(values, few.select("_g", "lo", "hi", "before")).select("_g", (F.col("before") + F.row_number().over(order) - 1).alias("rank"), F.col("v").alias("x"))
+    return bounds.where("lo >= hi").select("_g", "rank", F.col("lo").alias("x")).unionByName(few.select("_g", "rank").join(ranked, ["_g", "rank"]))
+
+
 def quantiles(df: DataFrame, value: str, names: dict[str, float], *by: str) -> DataFrame:
     """by, n, mean and a column for each named probability: exact, linear between the two nearest values."""
     values = df.select(*by, key_of(by).alias("_key"), F.col(value).cast("double").alias("_v")).where(real(F.col("_v")))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsemill.functions import resampling as rs
+from sparsemill.functions import selection
 from sparsemill.functions import statistics as st
 from sparsemill.functions.normal import normal_quantile
 from sparsemill.functions.selection import quantiles, tie_ranks
@@ -101,7 +102,9 @@ def test_normal_quantile(spark):
         assert r["z"] == pytest.approx(st.normal_quantile(r["p"]), rel=1e-13, abs=1e-15)
 
 
-def test_quantiles_of_any_values(spark):
+@pytest.mark.parametrize("few", [1, 100, selection.FEW])  # by rounds alone, by both, by numbering alone
+def test_quantiles_of_any_values(spark, monkeypatch, few):
+    monkeypatch.setattr(selection, "FEW", few)
     rng = np.random.default_rng(4)
     groups = {
         "wide": 10.0 ** rng.uniform(-300, 300, 700), "signs": np.concatenate((-(10.0 ** rng.uniform(-300, 300, 300)), 10.0 ** rng.uniform(-300, 300, 301), np.zeros(50))), "ties": rng.integers(0, 3, 500), "one": [3.5], "two": [-1, 4],
