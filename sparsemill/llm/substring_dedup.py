@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,12 +171,18 @@ def _read(answers: pa.Table | None) -> tuple[dict[int, bytes], np.ndarray | None
     return got, None if notes is None else np.unpackbits(np.frombuffer(notes, np.uint8)).astype(bool)
 
 
+def _in_order(docs: pa.Table, id_col: str, text_col: str) -> pa.Table:
+    """The rows in an order of their own: rows equal in both columns have equal words, so any order of these will do."""
+    return docs.take(pc.sort_indices(docs.select([id_col, text_col]), sort_keys=[(id_col, "ascending"), (text_col, "ascending")]))
+
+
 def _step(level: int, steps: list[int], id_col: str, text_col: str, chunk_col: str, buckets: int, finish=None):
     """A chunk's work between two levels: take the answers for level - 1, ask for this level (or finish)."""
 
     def work(docs: pa.Table, answers: pa.Table | None) -> pa.Table:
         if not docs.num_rows:
             return finish(docs, None, None) if finish else _table([])
+        docs = _in_order(docs, id_col, text_col)
         chunk, c = docs[chunk_col][0].as_py(), _Chunk(docs, id_col, text_col, steps)
         got, before = _read(answers)
         repeated = None

@@ -1,9 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from sparsemill.llm.substring_dedup import levels, op2_substring_dedup, remove_repeats
+from sparsemill.llm.substring_dedup import _answer, _step, levels, op2_substring_dedup, remove_repeats
 
 
 def brute(rows, window):
@@ -82,6 +84,32 @@ def test_many_documents_in_small_chunks(make):
     check(make, rows, 20, chunk_bytes=12_000, bucket_bytes=60_000)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_arrive_in_another_order_at_each_level(seed):
+    """Executors fetch the rows of a chunk in any order; local ones always in the same."""
+    rng = random.Random(seed)
+    phrase = [rng.choice("abcdefg") for _ in range(60)]
+    rows = [(i if i % 7 else None, " ".join([rng.choice("abcdefgh") for _ in range(rng.randrange(30))] + phrase[rng.randrange(20) :])) for i in range(40)]
+    rows += [(1, None), (2, ""), rows[3], rows[4]]
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("_chunk", pa.int64())])
+    table = lambda some: pa.table([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+    steps, chunks, got = levels(20), [0, 1, 2], {}
+    dealt = {c: [(*r, c) for k, r in enumerate(rows) if k % 3 == c] for c in chunks}
+    answers = {c: None for c in chunks}
+    ends = lambda docs, c, starts: got.update({(docs["doc_id"][k].as_py(), docs["text"][k].as_py()): set((starts[c.words.doc[starts] == k] - c.words.first[k]).tolist()) for k in range(docs.num_rows)})
+    for level in range(len(steps) + 1):
+        work, asked = _step(level, steps, "doc_id", "text", "_chunk", 4, ends if level == len(steps) else None), []
+        for c in chunks:
+            some = table(rng.sample(dealt[c], len(dealt[c])))
+            asked.append(work(some, answers[c]) if level else work(some))
+        if level < len(steps):
+            asked = pa.concat_tables(asked)
+            told = pa.concat_tables([_answer(level == len(steps) - 1)(asked.filter(pc.equal(asked["bucket"], b))) for b in set(asked["bucket"].to_pylist())])
+            answers = {c: told.filter(pc.equal(told["chunk"], c)) for c in chunks}
+    for key, (_, gone, _) in brute(rows, 20).items():
+        assert len({at + k for at in got[key] for k in range(20)}) == gone
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, _chunk int, N_Words int")
     r = remove_repeats(df).first()
