@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparsemill.functions.tasks import dealt as deal
+from sparsemill.functions.tasks import tasks
 from sparsemill.sources.shared import materialise
 
 
@@ -24,15 +26,16 @@ def running_total(df: DataFrame, key: str, measure: Column, out: str, *, span: i
     return df.join(bases, group).withColumn(out, total).drop("_stretch", "_base", value)
 
 
-def scan(df: DataFrame, measures: dict[str, Column], *, order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+def scan(df: DataFrame, measures: dict[str, Column], *, order: tuple[str, ...], by: tuple[str, ...] = (), bound: int | None = None) -> DataFrame:
     """df with a column for each measure: its sum over the rows before, in the order of `order` within `by`.
 
     Rows are dealt into ranges of (by, order) that Spark samples, so that a task's share is bounded by rows, whatever the keys.
     The ranges are written once, so that sums of ranges and of rows speak of the same; the ranges' totals are accumulated (one row a
     range and group), and each range then runs on its own. Rows equal in order follow one another in any order. Groups may be null.
+    bound: a number that the rows do not exceed; more rows get more ranges.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks(spark, bound)
     values = {out: f"_{out}_value" for out in measures}
     group = F.struct(*by) if by else F.struct(F.lit(0))
     dealt = df.withColumns({values[out]: m for out, m in measures.items()}).repartitionByRange(parts, *by, *order)
@@ -43,4 +46,4 @@ def scan(df: DataFrame, measures: dict[str, Column], *, order: tuple[str, ...],
     bases = sums.select("_group", "_range", *(zero(F.sum(v).over(before)).alias(f"{v}_base") for v in values.values()))
     inside = Window.partitionBy("_group", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = {out: F.col(f"{v}_base") + zero(F.sum(v).over(inside)) for out, v in values.items()}
-    return dealt.join(bases, ["_group", "_range"]).select(*df.columns, *(t.alias(out) for out, t in totals.items()))
+    return deal(dealt, bound, "_group", "_range").join(bases, ["_group", "_range"]).select(*df.columns, *(t.alias(out) for out, t in totals.items()))

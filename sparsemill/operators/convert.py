@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sparsemill.functions.arrays import sorted_cells, zero_filled
 from sparsemill.functions.exact import repeatable_sums
 from sparsemill.functions.prefix import running_total, scan
+from sparsemill.functions.tasks import dealt
 from sparsemill.schema import BLOCK_WIDTH, MOST_CELLS, SEGMENT, THRESHOLD, HybridLayout, Matrix, num_blocks
 
 #: Blocks or rows that one stretch of a running sum covers.
@@ -33,7 +34,7 @@ def dedup(coo: DataFrame, duplicates: str = "sum", *, repeatable: bool = False)
         value = F.sum("val")
     else:
         raise ValueError(f"no way {duplicates} to treat duplicates")
-    keys = ["row", "col", *(c for c in ("part", "global_row") if c in coo.columns)]
+    keys = ["row", "col", *(c for c in ("part", "global_row", "offset", "block", "lane") if c in coo.columns)]
     if repeatable and duplicates == "sum":
         return repeatable_sums(coo, keys, val=F.col("val"))
     return coo.groupBy(*keys).agg(value.alias("val"))
@@ -87,7 +88,7 @@ def block_offset_counts(coo: DataFrame, num_rows: int, num_cols: int, block_widt
     return inside.groupBy(*by, "block", "offset").agg(F.count("*").alias("n"))
 
 
-def keep_rule(counts: DataFrame, threshold: int, max_fallback: int | None) -> DataFrame:
+def keep_rule(counts: DataFrame, threshold: int, max_fallback: int | None, bound: int | None = None) -> DataFrame:
     """counts with kept: dense enough, or the entries that fell back before already reach the cap.
 
     In the order of (block, offset) the cap is a running sum of the groups under the threshold: up to
@@ -96,7 +97,7 @@ def keep_rule(counts: DataFrame, threshold: int, max_fallback: int | None) -> Da
     dense = F.col("n") >= threshold
     if max_fallback is None:
         return counts.withColumn("kept", dense)
-    summed = scan(counts, {"_before": F.when(dense, 0).otherwise(F.col("n")).cast("long")}, order=("block", "offset"))
+    summed = scan(counts, {"_before": F.when(dense, 0).otherwise(F.col("n")).cast("long")}, order=("block", "offset"), bound=bound)
     return summed.withColumn("kept", dense | (F.col("_before") >= max_fallback)).drop("_before")
 
 
@@ -104,14 +105,16 @@ def to_hybrid(m: Matrix, *, block_width: int = BLOCK_WIDTH, threshold: int = THR
     """m with its hybrid layout: cells in kept (block, offset) groups, all other entries as fallback."""
     if block_width < 1:
         raise ValueError("the block width must be positive")
-    coo = m.coo if assume_unique else dedup(m.coo, duplicates)
-    counts = block_offset_counts(coo, m.num_rows, m.num_cols, block_width)
-    ruled = keep_rule(counts, threshold, max_fallback)
+    # many entries are dealt by (block, offset) at once: duplicates, counts, the join and the lanes all take that exchange
+    placed = dealt(with_offsets(m.coo, block_width), m.bound, "block", "offset")
+    coo = placed if assume_unique else dedup(placed, duplicates)
+    counts = coo.where(F.col("block") < num_blocks(m.num_rows, m.num_cols, block_width)).groupBy("block", "offset").agg(F.count("*").alias("n"))
+    ruled = keep_rule(counts, threshold, max_fallback, m.bound)
     # without a cap, counts are dealt by (block, offset) already, so this join shuffles the entries alone
-    entries = with_offsets(coo, block_width).join(ruled.select("block", "offset", "kept"), ["block", "offset"], "left")
+    entries = coo.join(ruled.select("block", "offset", "kept"), ["block", "offset"], "left")
     entries = entries.select("block", "offset", "lane", "row", "col", "val", F.coalesce("kept", F.lit(False)).alias("kept"))
     kept = ruled.where("kept").select("block", "offset", "n")
-    return replace(m, hybrid=HybridLayout(kept, entries, counts, m.num_rows, m.num_cols, block_width, threshold, max_fallback))
+    return replace(m, hybrid=HybridLayout(kept, entries, counts, m.num_rows, m.num_cols, block_width, threshold, max_fallback, m.bound))
 
 
 def check_storage(layout: HybridLayout) -> int:

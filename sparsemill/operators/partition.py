@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparsemill.functions.prefix import running_total
+from sparsemill.functions.tasks import dealt as deal
 from sparsemill.operators.convert import dedup, with_offsets
 from sparsemill.operators.spmv import total
 from sparsemill.schema import Matrix, Vector
@@ -70,6 +71,12 @@ def partition_rows(coo: DataFrame, num_rows: int, parts: int, strategy: str = "r
     return dealt.select("part", (F.col("row") - p.start(F.col("part"))).alias("row"), F.col("row").alias("global_row"), "col", "val")
 
 
+def unique_parts(m: Matrix, parts: int, block_width: int) -> DataFrame:
+    """The matrix in parts without repeated cells, with offset, block (of local rows) and lane: one exchange by (part, block, offset) for many entries."""
+    placed = with_offsets(partition_rows(m.coo, m.num_rows, parts), block_width)
+    return dedup(deal(placed, m.bound, "part", "block", "offset"))
+
+
 def co_located(parts_df: DataFrame, parts: int) -> DataFrame:
     """Each part in one Spark partition, as a shard is on one node."""
     return parts_df.repartition(parts, "part")
@@ -111,12 +118,13 @@ def gather(dealt: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- halo ranges
 
 
-def part_layout(dealt: DataFrame, num_rows: int, num_cols: int, parts: int, block_width: int, threshold: int) -> DataFrame:
-    """part, block (of local rows), offset (from the global row), n, kept: each part's own hybrid layout."""
+def part_layout(dealt: DataFrame, num_rows: int, num_cols: int, parts: int, block_width: int, threshold: int, *, assume_unique: bool = False) -> DataFrame:
+    """part, block (of local rows), offset (from the global row), n, kept: each part's own hybrid layout. Entries of `unique_parts` are taken as they lie."""
     p = RowWise(num_rows, parts)
     local_rows = F.when(F.col("part") == parts - 1, F.lit(num_rows - (parts - 1) * p.each)).otherwise(F.lit(p.each))
     blocks_here = F.ceil(F.least(local_rows, F.lit(num_cols)) / block_width)
-    counts = with_offsets(dedup(dealt), block_width).where(F.col("block") < blocks_here).groupBy("part", "block", "offset").agg(F.count("*").alias("n"))
+    placed = dealt if {"block", "offset"} <= set(dealt.columns) else with_offsets(dealt, block_width)
+    counts = (placed if assume_unique else dedup(placed)).where(F.col("block") < blocks_here).groupBy("part", "block", "offset").agg(F.count("*").alias("n"))
     return counts.withColumn("kept", F.col("n") >= threshold)
 
 

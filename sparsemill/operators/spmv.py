@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparsemill.functions.arrays import sorted_cells, zero_filled
 from sparsemill.functions.exact import largest, repeatable_sums, sum_columns
+from sparsemill.functions.tasks import dealt
 from sparsemill.operators.convert import dedup
 from sparsemill.schema import HybridLayout, Matrix, Vector
 from sparsemill.sources.shared import materialise
@@ -88,15 +89,15 @@ def block_products(layout: HybridLayout, x: DataFrame, *, size: int | None = Non
     if size is not None and size <= BROADCAST_ELEMENTS:
         return segment_products(layout.cells, x, w)
     kept = layout.cells.groupBy("block", "offset").agg(F.collect_list(F.struct("lane", "val")).alias("cells"))  # dealt by (block, offset) already
-    return _window_products(kept, x, F.col("block") * w, w)
+    return _window_products(kept, x, F.col("block") * w, w, bound=layout.bound)
 
 
-def _window_products(groups: DataFrame, x: DataFrame, first: Column, w: int) -> DataFrame:
-    """row, y of groups (offset, cells of lane and val) of up to w rows from `first` on: their window of x spans two segments of w at most."""
+def _window_products(groups: DataFrame, x: DataFrame, first: Column, w: int, *, bound: int | None = None) -> DataFrame:
+    """row, y of groups (offset, cells of lane and val) of up to w rows from `first` on: their window of x spans two segments of w at most. bound: of all cells, by which groups are dealt."""
     runs, start = segments(x, w), first + F.col("offset")
     placed = groups.withColumn("first", first).withColumn("seg", F.floor(start / w).cast("long")).withColumn("shift", F.pmod(start, F.lit(w)))
-    one = placed.join(runs.withColumnRenamed("s", "s0"), "seg", "left").withColumn("seg", F.col("seg") + 1)
-    two = one.join(runs.withColumnRenamed("s", "s1"), "seg", "left")
+    one = dealt(placed, bound, "seg").join(runs.withColumnRenamed("s", "s0"), "seg", "left").withColumn("seg", F.col("seg") + 1)
+    two = dealt(one, bound, "seg").join(runs.withColumnRenamed("s", "s1"), "seg", "left")
     at = lambda c: (F.col("shift") + c["lane"]).cast("int")
     element = lambda c: F.coalesce(F.when(at(c) < w, F.get("s0", at(c))).otherwise(F.get("s1", at(c) - w)), F.lit(0.0))
     products = F.transform("cells", lambda c: F.struct((F.col("first") + c["lane"]).alias("row"), _product(c["val"], element(c)).alias("y")))

@@ -12,6 +12,7 @@ from sparsemill.functions import normal
 from sparsemill.functions import resampling as rs
 from sparsemill.functions import statistics as st
 from sparsemill.functions.costs import matrix_info, storage_cost
+from sparsemill.functions.tasks import dealt
 from sparsemill.operators import analysis as an
 from sparsemill.operators import convert as cv
 from sparsemill.operators import partition as pt
@@ -32,9 +33,9 @@ def _load(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 def square(spark: SparkSession, d: str) -> Matrix:
     """Order key modulo the number of parts x part key: quantity."""
-    n = _load(spark, d, "part").count()
-    coo = _load(spark, d, "lineitem").select((F.col("l_orderkey") % n).alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"))
-    return Matrix.from_df(coo, num_rows=n, num_cols=n, check=False)
+    n, lines = _load(spark, d, "part").count(), _load(spark, d, "lineitem")
+    coo = lines.select((F.col("l_orderkey") % n).alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"))
+    return Matrix.from_df(coo, num_rows=n, num_cols=n, check=False, bound=lines.count())
 
 
 def wide(spark: SparkSession, d: str) -> Matrix:
@@ -78,11 +79,16 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return new_path(spark, name)
 
 
+def _parts(spark: SparkSession, d: str) -> tuple[Matrix, DataFrame, DataFrame]:
+    """The square matrix, its entries in parts, and its parts' layouts."""
+    m = square(spark, d)
+    dealt = pt.unique_parts(m, PARTS, SHARD_WIDTH)
+    return m, dealt, pt.part_layout(dealt, m.num_rows, m.num_cols, PARTS, SHARD_WIDTH, DENSE, assume_unique=True)
+
+
 def _shards(spark: SparkSession, d: str) -> tuple[Matrix, DataFrame, DataFrame, DataFrame]:
     """The square matrix in parts, its parts' layouts, needed ranges and their owners."""
-    m = square(spark, d)
-    dealt = pt.partition_rows(cv.dedup(m.coo), m.num_rows, PARTS)
-    layout = pt.part_layout(dealt, m.num_rows, m.num_cols, PARTS, SHARD_WIDTH, DENSE)
+    m, dealt, layout = _parts(spark, d)
     needed = pt.needed_columns(dealt, layout, m.num_rows, m.num_cols, PARTS, SHARD_WIDTH)
     ranges = materialise(pt.data_ranges(needed), "ranges")  # few rows, which the queries read several times
     return m, layout, ranges, pt.owner_ranges(ranges, m.num_cols, PARTS)
@@ -142,8 +148,8 @@ def part_grid(spark: SparkSession, d: str, noise: float = 0.0) -> Matrix:
     """The stencil of the least cube that holds all parts, part k at point k: rows and columns are part keys."""
     n = _load(spark, d, "part").count()
     edge = next(k for k in range(1, n + 2) if k**3 >= n)
-    grid = src.stencil27(spark, edge, edge, edge, noise=noise, scale=1).coo
-    return Matrix(n, n, grid.where((F.col("row") < n) & (F.col("col") < n)))
+    grid = src.stencil27(spark, edge, edge, edge, noise=noise, scale=1)
+    return Matrix(n, n, grid.coo.where((F.col("row") < n) & (F.col("col") < n)), bound=grid.bound)
 
 
 #: CTEs b, g, o, s, i: the least cube over the parts, its stencil, and the entries between parts.
@@ -366,7 +372,7 @@ def gather_vector(spark, d):
 
 @query(f'WITH {_P} SELECT part, block, off AS "offset", n, kept FROM l')
 def distributed_layout(spark, d):
-    return _shards(spark, d)[1]
+    return _parts(spark, d)[2]
 
 
 @query(f"WITH {_R} SELECT * FROM rg")
@@ -449,7 +455,7 @@ SELECT threshold, sum(n)::BIGINT AS nnz, (count(*) FILTER (n >= threshold) * 32)
 def run_sweep(spark, d):
     """Benchmark runs over a MatrixMarket file of the square matrix, at several thresholds."""
     m, path, out = square(spark, d), _scratch(spark, "square.mtx"), _scratch(spark, "runs")
-    sinks.save_mtx(Matrix(m.num_rows, m.num_cols, cv.dedup(m.coo)), path)
+    sinks.save_mtx(Matrix(m.num_rows, m.num_cols, cv.dedup(dealt(m.coo, m.bound, "row", "col")), bound=m.bound), path)
     done = run.sweep(spark, run.Config(filename=path, iterations=2), out, (0.0,), _SWEPT)
     passed = spark.createDataFrame([(r["threshold"], bool(r["passed"])) for r in done], "threshold int, passed boolean")
     info = run.read_info(spark, out).select("threshold", F.col("nnz").cast("long").alias("nnz"), F.col("hybrid_data_size").cast("long").alias("stored_cells"), F.col("coo_fallback_entries").cast("long").alias("fallback_entries"))

@@ -49,6 +49,7 @@ class HybridLayout:
     block_width: int
     threshold: int
     max_fallback: int | None
+    bound: int | None = None
 
     @property
     def cells(self) -> DataFrame:
@@ -67,7 +68,10 @@ class HybridLayout:
 
 @dataclass(frozen=True)
 class Matrix:
-    """A matrix in one or more encodings. Methods return new matrices."""
+    """A matrix in one or more encodings. Methods return new matrices.
+
+    bound: a number that coo's rows do not exceed, where one is known without counting them; operators deal rows over tasks by it.
+    """
 
     num_rows: int
     num_cols: int
@@ -80,13 +84,14 @@ class Matrix:
     part: int = -1
     parts: int = -1
     dia_segment: int = SEGMENT
+    bound: int | None = None
 
     @staticmethod
     def empty(spark) -> "Matrix":
         return Matrix(0, 0, spark.createDataFrame([], ENTRY))
 
     @staticmethod
-    def from_df(df: DataFrame, *, num_rows: int | None = None, num_cols: int | None = None, check: bool = True) -> "Matrix":
+    def from_df(df: DataFrame, *, num_rows: int | None = None, num_cols: int | None = None, check: bool = True, bound: int | None = None) -> "Matrix":
         """Entries with inferred (greatest index + 1) or given dimensions, which bound the indices."""
         given = num_rows is not None or num_cols is not None
         if given and (num_rows is None or num_cols is None or num_rows <= 0 or num_cols <= 0):
@@ -99,7 +104,7 @@ class Matrix:
         if check:
             outside = F.expr(f"row < 0 or col < 0 or row >= {num_rows} or col >= {num_cols}")
             reject(df, {"an index is outside the matrix": (outside, IndexError)}, ("row", "col", "val"))
-        return Matrix(num_rows, num_cols, df)
+        return Matrix(num_rows, num_cols, df, bound=bound)
 
     @property
     def partial(self) -> bool:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsemill.schema import Matrix, Vector, reject
+from sparsemill.sources.shared import materialise
 
 # fixed values: weights of the 27-point stencil by the number of directions that differ, times 100
 STENCIL_WEIGHTS = {0: 2610, 1: -110, 2: -10, 3: -1}
@@ -32,19 +33,24 @@ def read_mtx(spark: SparkSession, path: str, *, num_rows: int | None = None, num
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(path) from e
         raise
-    lines = read.select("ln", F.trim(F.regexp_replace("value", r"[\r\t]", " ")).alias("line")).where("line != ''")
+    lines = read.select("ln", F.trim(F.translate("value", "\r\t", "  ")).alias("line")).where("line != ''")
     comments = lines.where(F.col("line").startswith("%")).select(F.lower("line").alias("c")).where("c rlike 'symmetric|hermitian|complex| array'").limit(100).collect()
     said = " ".join(r["c"] for r in comments)
     if any(k in said for k in ("hermitian", "complex", " array")):
         raise ValueError("hermitian, complex and array files are not supported")
-    body = lines.where(~F.col("line").startswith("%")).select("ln", F.split("line", r"\s+").alias("t"))
-    head = body.agg(F.min(F.struct("ln", F.transform("t", lambda x: x.try_cast("long")).alias("t"))).alias("h")).select("h.*").first()
+    body = lines.where(~F.col("line").startswith("%"))
+    first = body.orderBy("ln").limit(1).collect()  # each task's first line alone; no other is split for it
+    words = spark.createDataFrame(first, body.schema).select("ln", F.transform(F.split("line", r"\s+"), lambda x: x.try_cast("long")).alias("t"))
+    head = words.first() or {"t": None}
     if head["t"] is None or len(head["t"]) < 3 or None in head["t"][:3]:
         raise ValueError("there is no header of rows, columns and entries")
     rows, cols, nnz = head["t"][:3]
     at = lambda k: F.get("t", F.lit(k))
-    parsed = body.where(F.col("ln") > F.struct(*(F.lit(head["ln"][c]).alias(c) for c in ("file", "at", "k")))).select("ln", (at(0).try_cast("long") - 1).alias("row"), (at(1).try_cast("long") - 1).alias("col"), F.when(at(2).isNull(), F.lit(1.0)).otherwise(at(2).try_cast("double")).alias("val"))
-    parsed = parsed.where("row is not null and col is not null and val is not null")
+    at = lambda t, k: F.get(t, F.lit(k))
+    entry = lambda t: F.struct((at(t, 0).try_cast("long") - 1).alias("row"), (at(t, 1).try_cast("long") - 1).alias("col"), F.when(at(t, 2).isNull(), F.lit(1.0)).otherwise(at(t, 2).try_cast("double")).alias("val"))
+    later = body.where(F.col("ln") > F.struct(*(F.lit(head["ln"][c]).alias(c) for c in ("file", "at", "k"))))
+    parsed = later.select("ln", F.inline(F.transform(F.array(F.split("line", r"\s+")), entry)))  # a line is split once, for all three
+    parsed = materialise(parsed.where("row is not null and col is not null and val is not null"), "lines")  # text is parsed once
     if parsed.count() > nnz:
         parsed = parsed.orderBy("ln").limit(nnz)
     entries = parsed.select("row", "col", "val")
@@ -57,7 +63,7 @@ def read_mtx(spark: SparkSession, path: str, *, num_rows: int | None = None, num
         sign = -1.0 if "skew" in said else 1.0
         mirror = entries.where("row != col").select(F.col("col").alias("row"), F.col("row").alias("col"), (F.col("val") * sign).alias("val"))
         entries = entries.unionByName(mirror)
-    return Matrix(rows, cols, entries)
+    return Matrix(rows, cols, entries, bound=max(0, nnz) * (1 + ("symmetric" in said)))
 
 
 def stencil27(spark: SparkSession, nx: int, ny: int, nz: int, *, noise: float = 0.0, iteration: int = 0, scale: int = 100) -> Matrix:
@@ -78,9 +84,10 @@ def stencil27(spark: SparkSession, nx: int, ny: int, nz: int, *, noise: float =
     weight = F.coalesce(*(F.when(kind == k, F.lit(float(v) / scale)) for k, v in STENCIL_WEIGHTS.items()))
     col = F.col("row") + F.col("dx") + F.col("dy") * nx + F.col("dz") * nx * ny
     entries = both.where(inside).select("row", col.alias("col"), weight.alias("val"))
-    if draws := int(27 * n * noise):
+    draws = int(27 * n * noise)
+    if draws:
         entries = entries.unionByName(_noise(spark, entries, n, draws, iteration))
-    return Matrix(n, n, entries)
+    return Matrix(n, n, entries, bound=27 * n + draws)
 
 
 def _noise(spark: SparkSession, entries: DataFrame, n: int, draws: int, iteration: int) -> DataFrame:
