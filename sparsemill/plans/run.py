@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsemill.functions.costs import matrix_info
+from sparsemill.functions.tasks import dealt
 from sparsemill.operators import convert, spmv
 from sparsemill.schema import BLOCK_WIDTH, Matrix
 from sparsemill.sources import matrix as src
 from sparsemill.sources import sinks
+from sparsemill.sources.shared import drop_tables, materialise, scope
 
 # fixed values: a run's defaults, a sweep's levels, the accuracy that saves measurements, and the stencil's name
 GRID, THRESHOLD, NOISE, ITERATIONS, TOLERANCE, STENCIL = (32, 32, 32), 2, 0.1, 100, 1e-6, "3D27Stencil"
@@ -51,10 +53,20 @@ class Config:
         return sinks.run_folder(self.name, *self.grid, self.noise, now)
 
 
-def build(spark: SparkSession, c: Config) -> Matrix:
-    """The matrix of a run, without repeated cells, with its hybrid layout."""
-    m = src.read_mtx(spark, c.filename) if c.filename else src.stencil27(spark, *c.grid, noise=c.noise, iteration=c.iteration)
-    m = replace(m, coo=convert.dedup(m.coo)) if c.filename else m
+def source(spark: SparkSession, c: Config) -> Matrix:
+    """The matrix of a run, without repeated cells; that of a file as a table, which all runs of a sweep read."""
+    if not c.filename:
+        return src.stencil27(spark, *c.grid, noise=c.noise, iteration=c.iteration)
+    with scope() as made:
+        m = src.read_mtx(spark, c.filename)
+        coo = materialise(convert.dedup(dealt(m.coo, m.bound, "row", "col")), "entries")
+    drop_tables(spark, [t for t in made if t != coo._folder])
+    return replace(m, coo=coo)
+
+
+def build(spark: SparkSession, c: Config, m: Matrix | None = None) -> Matrix:
+    """The matrix of a run (m, or its source), with its hybrid layout."""
+    m = m or source(spark, c)
     return convert.to_hybrid(m, block_width=c.block_width, threshold=c.threshold, max_fallback=c.max_fallback, assume_unique=True)
 
 
@@ -74,12 +86,12 @@ def mean_time(measured: list[tuple[int, float]]) -> float | None:
     return sum(rest) / len(rest) if rest else None
 
 
-def run(spark: SparkSession, c: Config, out: str, now: dt.datetime | None = None) -> dict:
+def run(spark: SparkSession, c: Config, out: str, now: dt.datetime | None = None, m: Matrix | None = None) -> dict:
     """One run: its folder, sizes, greatest error, whether results agree, mean times and speed-up.
 
     The layout and the vector are kept while products are timed, as a solver would keep them.
     """
-    m, path = build(spark, c), f"{out}/{c.folder(now or dt.datetime.now())}"
+    m, path = build(spark, c, m), f"{out}/{c.folder(now or dt.datetime.now())}"
     kept = [m.coo.select("row", "col", "val").persist(), m.hybrid.entries.select("row", "col", "val").persist(), src.ramp(spark, m.num_cols).df.persist()]
     try:
         plain, hybrid = (spmv.spmv_coo(e, kept[2], m.num_rows, size=m.num_cols) for e in kept[:2])
@@ -104,7 +116,8 @@ def run(spark: SparkSession, c: Config, out: str, now: dt.datetime | None = None
 
 def sweep(spark: SparkSession, c: Config, out: str, noises: Iterable[float] = SWEEP_NOISE, thresholds: Iterable[int] = SWEEP_THRESHOLDS, repeats: int = 1) -> list[dict]:
     """Runs at every noise level and threshold, and as many iterations of the noise."""
-    return [run(spark, replace(c, noise=n, threshold=t, iteration=k), out) for n in noises for t in thresholds for k in range(repeats)]
+    m = source(spark, c) if c.filename else None  # a file is the same at all levels
+    return [run(spark, replace(c, noise=n, threshold=t, iteration=k), out, m=m) for n in noises for t in thresholds for k in range(repeats)]
 
 
 def read_info(spark: SparkSession, out: str) -> DataFrame:

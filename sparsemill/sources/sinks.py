@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparsemill.functions.tasks import tasks
+
 # fixed values: the columns of a run's flags
 FLAGS = ("execCOOCPU", "execCOOGPU", "unifiedMemory", "unifiedMemory_malloc", "unifiedMemory_managedMalloc", "unifiedMemory_NumaAllocOnNode")
 
@@ -42,7 +44,7 @@ def save_mtx(m, path: str) -> None:
     """MatrixMarket text, 1-based, general and real: a folder of parts whose names follow the order of rows and columns. The first begins
     with the header, so they are one file when put behind one another; `read_mtx` takes the folder."""
     coo = m.coo
-    parts = int(coo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks(coo.sparkSession, m.bound)
     least = F.lit(-1).cast("long")
     head = coo.agg(F.count("*").alias("n")).select(least.alias("row"), least.alias("col"), F.concat(F.lit(f"%%MatrixMarket matrix coordinate real general\n{m.num_rows} {m.num_cols} "), F.col("n").cast("string")).alias("value"))
     body = coo.select("row", "col", F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, F.col("val")).alias("value"))
