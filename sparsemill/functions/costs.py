@@ -9,17 +9,20 @@ from sparsemill.operators.convert import dedup, nnz_per_row, num_diagonals
 from sparsemill.schema import Matrix
 
 
-def storage_cost(m: Matrix, *, assume_unique: bool = False) -> DataFrame:
-    """One row: the sizes of the hybrid layout of m, the bytes of five layouts, and ratios to coordinates."""
+def entry_facts(m: Matrix, *, assume_unique: bool = False) -> DataFrame:
+    """One row of what does not depend on a threshold: entries, rows of all slices, diagonals."""
+    rows = nnz_per_row(m.coo if assume_unique else dedup(m.coo))
+    slices = rows.groupBy(F.expr(f"row div {m.hybrid.block_width}").alias("s")).agg(F.max("nnz").alias("m"), F.sum("nnz").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return slices.agg(total("n").alias("nnz"), total("m").alias("slice_rows")).join(num_diagonals(m.hybrid.counts))  # one row each
+
+
+def storage_cost(m: Matrix, *, assume_unique: bool = False, facts: DataFrame | None = None) -> DataFrame:
+    """One row: the sizes of the hybrid layout of m, the bytes of five layouts, and ratios to coordinates. facts: the `entry_facts` of m, if they are at hand."""
     layout, w = m.hybrid, m.hybrid.block_width
-    coo = m.coo if assume_unique else dedup(m.coo)
-    rows = nnz_per_row(coo)
-    slices = rows.groupBy(F.expr(f"row div {w}").alias("s")).agg(F.max("nnz").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("slice_rows"))
-    one = lambda df, e, n: df.agg(F.coalesce(e, F.lit(0)).cast("long").alias(n))
-    parts = [one(rows, F.sum("nnz"), "nnz"), slices, one(layout.kept, F.count("*"), "kept"), one(layout.fallback, F.count("*"), "fallback"), num_diagonals(layout.counts)]
-    joined = parts[0]
-    for p in parts[1:]:
-        joined = joined.join(p)  # one row each
+    kept = layout.kept.agg(F.count("*").alias("kept"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("_in"))
+    joined = (entry_facts(m, assume_unique=assume_unique) if facts is None else facts).join(kept)  # one row each
+    joined = joined.withColumn("fallback", F.col("nnz") - F.col("_in"))  # all entries outside kept groups
     c = F.col
     costs = joined.select(
         "nnz", "num_diagonals", F.lit(layout.num_blocks).cast("long").alias("num_blocks"), (c("kept") * w).alias("stored_cells"), c("fallback").alias("fallback_entries"),
@@ -32,12 +35,12 @@ def storage_cost(m: Matrix, *, assume_unique: bool = False) -> DataFrame:
     return costs.select("*", *((c(f"{k}_cost_bytes") / c("coo_cost_bytes")).alias(f"{k}_vs_coo") for k in ("hybrid", "dia", "csr", "sell")))
 
 
-def matrix_info(m: Matrix, name: str, *, nx: int = 0, ny: int = 0, nz: int = 0, noise: float = 0.0, flags: dict[str, bool] | None = None) -> DataFrame:
+def matrix_info(m: Matrix, name: str, *, nx: int = 0, ny: int = 0, nz: int = 0, noise: float = 0.0, flags: dict[str, bool] | None = None, facts: DataFrame | None = None) -> DataFrame:
     """The report row of a benchmark run: what was built, its costs, and the run's flags."""
     from sparsemill.sources.sinks import FLAGS
 
     lit, layout = F.lit, m.hybrid
-    costs = storage_cost(m)
+    costs = storage_cost(m, facts=facts)
     given = {"name": lit(name), "nx": lit(nx), "ny": lit(ny), "nz": lit(nz), "noise": lit(float(noise)), "rows": lit(m.num_rows), "cols": lit(m.num_cols)}
     more = {"block_width": lit(layout.block_width), "threshold": lit(layout.threshold), "max_coo_entries": lit(layout.max_fallback).cast("long")}
     return costs.select(

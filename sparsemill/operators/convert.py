@@ -101,10 +101,29 @@ def keep_rule(counts: DataFrame, threshold: int, max_fallback: int | None, bound
     return summed.withColumn("kept", dense | (F.col("_before") >= max_fallback)).drop("_before")
 
 
-def to_hybrid(m: Matrix, *, block_width: int = BLOCK_WIDTH, threshold: int = THRESHOLD, max_fallback: int | None = None, assume_unique: bool = False, duplicates: str = "sum") -> Matrix:
-    """m with its hybrid layout: cells in kept (block, offset) groups, all other entries as fallback."""
+def grouped(m: Matrix, block_width: int = BLOCK_WIDTH) -> DataFrame:
+    """The entries of m, without repeated cells, with block, offset and lane, the number n of their group's entries, and whether they are its first one.
+
+    Layouts at any threshold are scans of this table. A group has as many entries as a block has rows at most.
+    """
+    w = Window.partitionBy("block", "offset")
+    placed = dealt(with_offsets(m.coo.select("row", "col", "val"), block_width), m.bound, "block", "offset")
+    return placed.withColumns({"n": F.count("*").over(w), "first": F.col("lane") == F.min("lane").over(w)})
+
+
+def to_hybrid(m: Matrix, *, block_width: int = BLOCK_WIDTH, threshold: int = THRESHOLD, max_fallback: int | None = None, assume_unique: bool = False, duplicates: str = "sum", groups: DataFrame | None = None) -> Matrix:
+    """m with its hybrid layout: cells in kept (block, offset) groups, all other entries as fallback. groups: a table of `grouped` entries of m at this width."""
     if block_width < 1:
         raise ValueError("the block width must be positive")
+    if groups is not None:
+        inside = F.col("block") < num_blocks(m.num_rows, m.num_cols, block_width)
+        counts = groups.where(inside & F.col("first")).select("block", "offset", "n")
+        ruled = keep_rule(counts, threshold, max_fallback, m.bound)
+        entries = groups.withColumn("kept", inside & (F.col("n") >= threshold))
+        if max_fallback is not None:
+            entries = groups.join(ruled.select("block", "offset", "kept"), ["block", "offset"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+        entries = entries.select("block", "offset", "lane", "row", "col", "val", "kept")
+        return replace(m, hybrid=HybridLayout(ruled.where("kept").select("block", "offset", "n"), entries, counts, m.num_rows, m.num_cols, block_width, threshold, max_fallback, m.bound))
     # many entries are dealt by (block, offset) at once: duplicates, counts, the join and the lanes all take that exchange
     placed = dealt(with_offsets(m.coo, block_width), m.bound, "block", "offset")
     coo = placed if assume_unique else dedup(placed, duplicates)

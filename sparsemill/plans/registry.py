@@ -12,7 +12,6 @@ from sparsemill.functions import normal
 from sparsemill.functions import resampling as rs
 from sparsemill.functions import statistics as st
 from sparsemill.functions.costs import matrix_info, storage_cost
-from sparsemill.functions.tasks import dealt
 from sparsemill.operators import analysis as an
 from sparsemill.operators import convert as cv
 from sparsemill.operators import partition as pt
@@ -455,7 +454,7 @@ SELECT threshold, sum(n)::BIGINT AS nnz, (count(*) FILTER (n >= threshold) * 32)
 def run_sweep(spark, d):
     """Benchmark runs over a MatrixMarket file of the square matrix, at several thresholds."""
     m, path, out = square(spark, d), _scratch(spark, "square.mtx"), _scratch(spark, "runs")
-    sinks.save_mtx(Matrix(m.num_rows, m.num_cols, cv.dedup(dealt(m.coo, m.bound, "row", "col")), bound=m.bound), path)
+    sinks.save_mtx(m, path, "sum")
     done = run.sweep(spark, run.Config(filename=path, iterations=2), out, (0.0,), _SWEPT)
     passed = spark.createDataFrame([(r["threshold"], bool(r["passed"])) for r in done], "threshold int, passed boolean")
     info = run.read_info(spark, out).select("threshold", F.col("nnz").cast("long").alias("nnz"), F.col("hybrid_data_size").cast("long").alias("stored_cells"), F.col("coo_fallback_entries").cast("long").alias("fallback_entries"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsemill.functions.costs import matrix_info
+from sparsemill.functions.costs import entry_facts, matrix_info
 from sparsemill.functions.tasks import dealt
 from sparsemill.operators import convert, spmv
 from sparsemill.schema import BLOCK_WIDTH, Matrix
@@ -53,31 +53,50 @@ class Config:
         return sinks.run_folder(self.name, *self.grid, self.noise, now)
 
 
+@dataclass(frozen=True)
+class Tables:
+    """What the runs over one matrix share, as tables: its entries (m), its `grouped` entries, facts that no threshold changes, and heavy columns where products ask for them."""
+
+    m: Matrix
+    groups: DataFrame
+    facts: DataFrame
+    heavy: DataFrame | None
+    folders: tuple[str, ...]
+
+
 def source(spark: SparkSession, c: Config) -> Matrix:
-    """The matrix of a run, without repeated cells; that of a file as a table, which all runs of a sweep read."""
-    if not c.filename:
-        return src.stencil27(spark, *c.grid, noise=c.noise, iteration=c.iteration)
+    """The matrix of a run, without repeated cells, its entries as a table."""
     with scope() as made:
-        m = src.read_mtx(spark, c.filename)
-        coo = materialise(convert.dedup(dealt(m.coo, m.bound, "row", "col")), "entries")
+        m = src.read_mtx(spark, c.filename) if c.filename else src.stencil27(spark, *c.grid, noise=c.noise, iteration=c.iteration)
+        coo = materialise(convert.dedup(dealt(m.coo, m.bound, "row", "col")) if c.filename else m.coo, "entries")
     drop_tables(spark, [t for t in made if t != coo._folder])
     return replace(m, coo=coo)
 
 
-def build(spark: SparkSession, c: Config, m: Matrix | None = None) -> Matrix:
-    """The matrix of a run (m, or its source), with its hybrid layout."""
-    m = m or source(spark, c)
-    return convert.to_hybrid(m, block_width=c.block_width, threshold=c.threshold, max_fallback=c.max_fallback, assume_unique=True)
+def prepare(spark: SparkSession, c: Config) -> Tables:
+    """The tables of a run, which all runs of a sweep over a file read."""
+    m = source(spark, c)
+    groups = materialise(convert.grouped(m, c.block_width), "groups")
+    facts = materialise(entry_facts(convert.to_hybrid(m, block_width=c.block_width, groups=groups), assume_unique=True), "facts")
+    heavy = materialise(spmv.heavy_columns(m.coo), "heavy") if m.num_cols > spmv.BROADCAST_ELEMENTS else None
+    return Tables(m, groups, facts, heavy, tuple(t._folder for t in (m.coo, groups, facts, heavy) if t is not None))
+
+
+def build(c: Config, t: Tables) -> Matrix:
+    """The matrix of a run with its hybrid layout."""
+    return convert.to_hybrid(t.m, block_width=c.block_width, threshold=c.threshold, max_fallback=c.max_fallback, groups=t.groups)
 
 
-def timed(product: DataFrame, iterations: int) -> list[tuple[int, float]]:
-    """(iteration, milliseconds) of making a table again and again; the first one warms up."""
-    out = []
+def timed(product: DataFrame, iterations: int) -> tuple[list[tuple[int, float]], DataFrame]:
+    """(iteration, milliseconds) of making a table again and again, and the table: the first one warms up, and is the one that is kept."""
+    out, began = [], time.perf_counter()
+    made = materialise(product, "product")
     for k in range(iterations):
-        began = time.perf_counter()
-        product.write.format("noop").mode("overwrite").save()
+        if k:
+            began = time.perf_counter()
+            product.write.format("noop").mode("overwrite").save()
         out.append((k, 1000 * (time.perf_counter() - began)))
-    return out
+    return out, made
 
 
 def mean_time(measured: list[tuple[int, float]]) -> float | None:
@@ -86,38 +105,42 @@ def mean_time(measured: list[tuple[int, float]]) -> float | None:
     return sum(rest) / len(rest) if rest else None
 
 
-def run(spark: SparkSession, c: Config, out: str, now: dt.datetime | None = None, m: Matrix | None = None) -> dict:
+def run(spark: SparkSession, c: Config, out: str, now: dt.datetime | None = None, tables: Tables | None = None) -> dict:
     """One run: its folder, sizes, greatest error, whether results agree, mean times and speed-up.
 
-    The layout and the vector are kept while products are timed, as a solver would keep them.
+    Entries, layout and vector are kept while products are timed, as a solver would keep them. Each product is made once an iteration.
     """
-    m, path = build(spark, c, m), f"{out}/{c.folder(now or dt.datetime.now())}"
-    kept = [m.coo.select("row", "col", "val").persist(), m.hybrid.entries.select("row", "col", "val").persist(), src.ramp(spark, m.num_cols).df.persist()]
-    try:
-        plain, hybrid = (spmv.spmv_coo(e, kept[2], m.num_rows, size=m.num_cols) for e in kept[:2])
-        nx, ny, nz = (0, 0, 0) if c.filename else c.grid
-        sinks.save_csv(matrix_info(m, c.name, nx=nx, ny=ny, nz=nz, noise=c.noise, flags=c.flags), f"{path}/matrix_info")
-        sinks.save_csv(sinks.histogram_rows(convert.block_histogram(m.hybrid)), f"{path}/histogram")
-        first, second = timed(plain, c.iterations), timed(hybrid, c.iterations)
-        named = [y.select("idx", F.col("y").alias("x")) for y in (plain, hybrid)]
-        found = spmv.compare_vectors(*named, tolerance=TOLERANCE).first()
-        passed = found["max_abs_error"] < TOLERANCE
-        if passed:
-            table = lambda rows: spark.createDataFrame(rows, "iteration int, time_ms double")
-            sinks.save_csv(sinks.baseline_measurements(table(first)), f"{path}/baseline")
-            sinks.save_csv(sinks.hybrid_measurements(table(second), c.flags), f"{path}/hybrid")
-        one, two = mean_time(first), mean_time(second)
-        return {"folder": path, "noise": c.noise, "threshold": c.threshold, "max_abs_error": found["max_abs_error"], "mismatches": found["mismatches"], "passed": passed,
-                "baseline_mean_ms": one, "hybrid_mean_ms": two, "speedup": one / two if passed and one and two else None}
-    finally:
-        for df in kept:
-            df.unpersist()
+    own, path = tables is None, f"{out}/{c.folder(now or dt.datetime.now())}"
+    t = prepare(spark, c) if own else tables
+    m, x = build(c, t), src.ramp(spark, t.m.num_cols).df.persist()
+    with scope() as made:
+        try:
+            plain, hybrid = (spmv.spmv_coo(e.select("row", "col", "val"), x, m.num_rows, size=m.num_cols, heavy=t.heavy) for e in (m.coo, m.hybrid.entries))
+            nx, ny, nz = (0, 0, 0) if c.filename else c.grid
+            sinks.save_csv(matrix_info(m, c.name, nx=nx, ny=ny, nz=nz, noise=c.noise, flags=c.flags, facts=t.facts), f"{path}/matrix_info")
+            sinks.save_csv(sinks.histogram_rows(convert.block_histogram(m.hybrid)), f"{path}/histogram")
+            (first, y), (second, z) = timed(plain, c.iterations), timed(hybrid, c.iterations)
+            found = spmv.compare_vectors(*(v.select("idx", F.col("y").alias("x")) for v in (y, z)), tolerance=TOLERANCE).first()
+            passed = found["max_abs_error"] < TOLERANCE
+            if passed:
+                table = lambda rows: spark.createDataFrame(rows, "iteration int, time_ms double")
+                sinks.save_csv(sinks.baseline_measurements(table(first)), f"{path}/baseline")
+                sinks.save_csv(sinks.hybrid_measurements(table(second), c.flags), f"{path}/hybrid")
+            one, two = mean_time(first), mean_time(second)
+            return {"folder": path, "noise": c.noise, "threshold": c.threshold, "max_abs_error": found["max_abs_error"], "mismatches": found["mismatches"], "passed": passed,
+                    "baseline_mean_ms": one, "hybrid_mean_ms": two, "speedup": one / two if passed and one and two else None}
+        finally:
+            x.unpersist()
+            drop_tables(spark, [*made, *(t.folders if own else ())])
 
 
 def sweep(spark: SparkSession, c: Config, out: str, noises: Iterable[float] = SWEEP_NOISE, thresholds: Iterable[int] = SWEEP_THRESHOLDS, repeats: int = 1) -> list[dict]:
     """Runs at every noise level and threshold, and as many iterations of the noise."""
-    m = source(spark, c) if c.filename else None  # a file is the same at all levels
-    return [run(spark, replace(c, noise=n, threshold=t, iteration=k), out, m=m) for n in noises for t in thresholds for k in range(repeats)]
+    t = prepare(spark, c) if c.filename else None  # a file is the same at all levels
+    try:
+        return [run(spark, replace(c, noise=n, threshold=k, iteration=i), out, tables=t) for n in noises for k in thresholds for i in range(repeats)]
+    finally:
+        drop_tables(spark, list(t.folders) if t else [])
 
 
 def read_info(spark: SparkSession, out: str) -> DataFrame:

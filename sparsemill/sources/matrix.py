@@ -26,6 +26,7 @@ def read_mtx(spark: SparkSession, path: str, *, num_rows: int | None = None, num
     skew-symmetric ones with the other sign. With given dimensions, entries outside them raise.
     Raises FileNotFoundError where the path has no file, ValueError for kinds that are not supported.
     """
+    blanks = F.when(F.col("value").contains("\t") | F.col("value").contains("\r"), F.translate("value", "\r\t", "  ")).otherwise(F.col("value"))
     # lines are split over tasks; (file, start of the split, number within it) is their order
     try:
         read = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k")).alias("ln"))
@@ -33,9 +34,10 @@ def read_mtx(spark: SparkSession, path: str, *, num_rows: int | None = None, num
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(path) from e
         raise
-    lines = read.select("ln", F.trim(F.translate("value", "\r\t", "  ")).alias("line")).where("line != ''")
-    comments = lines.where(F.col("line").startswith("%")).select(F.lower("line").alias("c")).where("c rlike 'symmetric|hermitian|complex| array'").limit(100).collect()
-    said = " ".join(r["c"] for r in comments)
+    lines = read.select("ln", F.trim(blanks).alias("line")).where("line != ''")
+    comments = lines.where(F.col("line").startswith("%")).select(F.lower("line").alias("c")).where("c rlike 'symmetric|hermitian|complex| array'")
+    kinds = ("symmetric", "skew", "hermitian", "complex", " array")
+    said = [k for k, found in zip(kinds, comments.agg(*(F.bool_or(F.col("c").contains(k)) for k in kinds)).first()) if found]
     if any(k in said for k in ("hermitian", "complex", " array")):
         raise ValueError("hermitian, complex and array files are not supported")
     body = lines.where(~F.col("line").startswith("%"))
@@ -45,12 +47,17 @@ def read_mtx(spark: SparkSession, path: str, *, num_rows: int | None = None, num
     if head["t"] is None or len(head["t"]) < 3 or None in head["t"][:3]:
         raise ValueError("there is no header of rows, columns and entries")
     rows, cols, nnz = head["t"][:3]
-    at = lambda k: F.get("t", F.lit(k))
     at = lambda t, k: F.get(t, F.lit(k))
-    entry = lambda t: F.struct((at(t, 0).try_cast("long") - 1).alias("row"), (at(t, 1).try_cast("long") - 1).alias("col"), F.when(at(t, 2).isNull(), F.lit(1.0)).otherwise(at(t, 2).try_cast("double")).alias("val"))
+    whole = lambda t, k: at(t, k).try_cast("long") - 1
+    value = lambda t: F.when(at(t, 2).isNull(), F.lit(1.0)).otherwise(at(t, 2).try_cast("double"))
+    entry = lambda t: (whole(t, 0).alias("row"), whole(t, 1).alias("col"), value(t).alias("val"))
     later = body.where(F.col("ln") > F.struct(*(F.lit(head["ln"][c]).alias(c) for c in ("file", "at", "k"))))
-    parsed = later.select("ln", F.inline(F.transform(F.array(F.split("line", r"\s+")), entry)))  # a line is split once, for all three
-    parsed = materialise(parsed.where("row is not null and col is not null and val is not null"), "lines")  # text is parsed once
+    # single blanks part nearly all lines, which takes no pattern; the others are split by one
+    quick = later.select("ln", "line", F.split("line", " ").alias("t")).select("ln", "line", *entry(F.col("t")))
+    odd = F.expr("row is null or col is null or val is null") | F.col("line").contains("\f") | F.col("line").contains("\v")
+    both = quick.select("ln", "row", "col", "val", F.when(odd, F.split("line", r"\s+")).alias("t"))
+    parsed = both.select("ln", *(F.when(F.col("t").isNull(), F.col(c)).otherwise(e).alias(c) for c, e in zip(("row", "col", "val"), entry(F.col("t")))))
+    parsed = materialise(parsed, "lines").where("row is not null and col is not null and val is not null")  # text is parsed once, unparsed lines go after that
     if parsed.count() > nnz:
         parsed = parsed.orderBy("ln").limit(nnz)
     entries = parsed.select("row", "col", "val")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparsemill.functions.tasks import tasks
+from sparsemill.operators.convert import dedup
 
 # fixed values: the columns of a run's flags
 FLAGS = ("execCOOCPU", "execCOOGPU", "unifiedMemory", "unifiedMemory_malloc", "unifiedMemory_managedMalloc", "unifiedMemory_NumaAllocOnNode")
@@ -40,12 +41,17 @@ def run_folder(name: str, nx: int, ny: int, nz: int, noise: float, now: dt.datet
     return f"{name}_{nx}_{ny}_{nz}_{noise:.6f}_{now:%Y%m%d_%H%M%S}_{now.microsecond // 1000:03d}"
 
 
-def save_mtx(m, path: str) -> None:
-    """MatrixMarket text, 1-based, general and real: a folder of parts whose names follow the order of rows and columns. The first begins
-    with the header, so they are one file when put behind one another; `read_mtx` takes the folder."""
-    coo = m.coo
-    parts = tasks(coo.sparkSession, m.bound)
-    least = F.lit(-1).cast("long")
-    head = coo.agg(F.count("*").alias("n")).select(least.alias("row"), least.alias("col"), F.concat(F.lit(f"%%MatrixMarket matrix coordinate real general\n{m.num_rows} {m.num_cols} "), F.col("n").cast("string")).alias("value"))
-    body = coo.select("row", "col", F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, F.col("val")).alias("value"))
-    head.unionByName(body).repartitionByRange(parts, "row", "col").sortWithinPartitions("row", "col").select("value").write.mode("overwrite").text(path)
+def save_mtx(m, path: str, duplicates: str | None = None) -> None:
+    """MatrixMarket text, 1-based, general and real: a folder of parts whose names follow the order of rows and columns. The first is
+    the header, so they are one file when put behind one another; `read_mtx` takes the folder. duplicates: how repeated cells become one, as `dedup` takes it."""
+    spark = m.coo.sparkSession
+    body = m.coo.repartitionByRange(tasks(spark, m.bound), "row", "col")
+    if duplicates:
+        body = dedup(body, duplicates)  # in the same ranges
+    body = body.select("row", "col", "val").sortWithinPartitions("row", "col").persist()  # the header has their number
+    try:
+        head = spark.createDataFrame([(f"%%MatrixMarket matrix coordinate real general\n{m.num_rows} {m.num_cols} {body.count()}",)], "value string").coalesce(1)
+        lines = body.select(F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, F.col("val")).alias("value"))
+        head.unionByName(lines).write.mode("overwrite").text(path)
+    finally:
+        body.unpersist()

@@ -309,6 +309,21 @@ def test_scan_of_one_hot_block(spark):
     assert scan(df.where("false"), {"before": F.col("n")}, order=("block", "offset")).count() == 0
 
 
+def test_mtx_odd_blanks(spark, tmp_path):
+    """Any run of blanks parts a line; a blank that is not trimmed before the row makes it one that does not parse."""
+    f = tmp_path / "odd.mtx"
+    lines = ["1 1 2", "2   3\t4", " \t3 1 5 ", "1 2", "\f1 3 9", "2\f2 7", "2 1\v1 3", "x y z", "3 2 1e1 more", "3 3 abc", "4", "", "1 4 0x", "4 4 -1.5"]
+    f.write_text("%%MatrixMarket matrix coordinate real general\n% skew lines\n4 4 14\n" + "\n".join(lines) + "\n")
+    assert triples(src.read_mtx(spark, str(f)).coo) == [(0, 0, 2), (0, 1, 1), (1, 0, 1), (1, 1, 7), (1, 2, 4), (2, 0, 5), (2, 1, 10), (3, 3, -1.5)]
+
+
+def test_mtx_sums_repeated_cells(spark, tmp_path):
+    """Cells are summed in the ranges that the file is written in, with no exchange before."""
+    m = Matrix.from_df(entries(spark, [(k % 7, k % 3, 1.0) for k in range(210)]), num_rows=7, num_cols=3, bound=210)
+    sinks.save_mtx(m, str(tmp_path / "m"), "sum")
+    assert triples(src.read_mtx(spark, str(tmp_path / "m")).coo) == [(r, c, 10) for r in range(7) for c in range(3)]
+
+
 def test_mtx_in_many_parts(spark, tmp_path):
     """Parts put behind one another are one file; the folder reads back as it is, with its header in the first part."""
     rng = random.Random(14)

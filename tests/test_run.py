@@ -4,9 +4,10 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparsemill.operators import spmv
-from sparsemill.plans import run
+from sparsemill.operators import convert, spmv
+from sparsemill.plans import registry, run
 from sparsemill.sources import shared
 from sparsemill.sources import sinks
 
@@ -40,6 +41,35 @@ def test_a_run_saves_measurements_only_if_results_agree(spark, tmp_path, monkeyp
     assert not two["passed"] and two["speedup"] is None and sorted(os.listdir(two["folder"])) == ["histogram", "matrix_info"]
 
 
+def test_a_product_is_made_once_an_iteration(spark, tmp_path, monkeypatch):
+    """Results are compared as tables, not made again for each aggregation; all thresholds of a file read one table of groups."""
+    made, plain, groups, real = spark.sparkContext.accumulator(0), spmv.spmv_coo, [], convert.grouped
+
+    def seen(y):
+        made.add(1)
+        return y
+
+    monkeypatch.setattr(spmv, "spmv_coo", lambda *a, **kw: plain(*a, **kw).select("idx", F.udf(seen, "double")("y").alias("y")))
+    monkeypatch.setattr(convert, "grouped", lambda *a: groups.append(a) or real(*a))
+    f = tmp_path / "m.mtx"
+    f.write_text("%%MatrixMarket matrix coordinate real general\n5 5 4\n1 1 2\n2 3 4\n3 3 1\n3 3 1\n")
+    before = set(shared._tables)
+    done = run.sweep(spark, run.Config(filename=str(f), iterations=3), str(tmp_path / "out"), (0.0,), (1, 2))
+    assert [r["passed"] for r in done] == [True, True] and made.value == 2 * 2 * 3 * 5
+    assert len(groups) == 1 and set(shared._tables) == before
+
+
+@pytest.mark.parametrize("cap", [None, 3, 40])
+def test_a_layout_of_groups_is_the_layout(spark, tmp_path, cap):
+    m = registry.square(spark, "/root/testdata/sf0.001")
+    m = run.replace(m, coo=convert.dedup(m.coo).unionByName(spark.createDataFrame([(40, c, 1.0) for c in range(300, 330)], m.coo.schema)).groupBy("row", "col").agg(F.sum("val").alias("val")))
+    want = convert.to_hybrid(m, block_width=32, threshold=2, max_fallback=cap, assume_unique=True).hybrid
+    got = convert.to_hybrid(m, block_width=32, threshold=2, max_fallback=cap, groups=convert.grouped(m, 32)).hybrid
+    for k in ("kept", "counts", "entries"):
+        one, two = getattr(got, k), getattr(want, k)
+        assert sorted(map(tuple, one.select(*two.columns).collect())) == sorted(map(tuple, two.collect()))
+
+
 def test_no_local_folder_on_a_cluster():
     class Cluster:
         master = "spark://host:7077"
