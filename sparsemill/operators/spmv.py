@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparsemill.functions.arrays import sorted_cells, zero_filled
 from sparsemill.functions.exact import largest, repeatable_sums, sum_columns
-from sparsemill.functions.tasks import dealt
+from sparsemill.functions.tasks import dealt, tasks
 from sparsemill.operators.convert import dedup
 from sparsemill.schema import HybridLayout, Matrix, Vector
 from sparsemill.sources.shared import materialise
@@ -36,12 +36,13 @@ def heavy_columns(entries: DataFrame) -> DataFrame:
     return sketch.select("_n", F.inline("_top")).where(F.col("count") > 0.75 * F.col("_n") / HEAVY).select(F.col("item").alias("col"))
 
 
-def partial_products(entries: DataFrame, x: DataFrame, *, size: int | None = None, heavy: DataFrame | None = None) -> DataFrame:
+def partial_products(entries: DataFrame, x: DataFrame, *, size: int | None = None, heavy: DataFrame | None = None, bound: int | None = None) -> DataFrame:
     """row, y of each entry. x is broadcast only where its size is known to be small.
 
     Elsewhere entries and x meet in a join on the column. A column with a large share of all entries would put those in one task, so the
-    elements of heavy columns alone, 3/2 HEAVY of them at most, are broadcast, and their entries stay where they are. heavy: a table of these columns, if it is at hand. A stream is not
-    counted beforehand: its source bounds a batch.
+    elements of heavy columns alone, 3/2 HEAVY of them at most, are broadcast, and their entries stay where they are. heavy: a table of these columns, if it is at hand.
+    bound: of entries, by which they are dealt. Where a task's share of x is known to be small, it is held as a hash table, so that entries
+    are not sorted. A stream is not counted beforehand: its source bounds a batch.
     """
     product = lambda e, side: e.join(side, e["col"] == side["idx"]).select("row", _product(F.col("val"), F.col("x")).alias("y"))
     if size is not None and size <= BROADCAST_ELEMENTS:
@@ -50,8 +51,9 @@ def partial_products(entries: DataFrame, x: DataFrame, *, size: int | None = Non
         return product(entries, x)
     heavy = materialise(heavy_columns(entries), "heavy") if heavy is None else heavy
     elements = x.join(F.broadcast(heavy), x["idx"] == heavy["col"]).select("idx", "x")
-    rest = entries.join(F.broadcast(heavy), "col", "left_anti")
-    return product(rest, x).unionByName(product(entries, F.broadcast(elements)))
+    rest = dealt(entries.join(F.broadcast(heavy), "col", "left_anti"), bound, "col")
+    held = size is not None and size <= BROADCAST_ELEMENTS * tasks(entries.sparkSession, None)
+    return product(rest, x.hint("shuffle_hash") if held else x).unionByName(product(entries, F.broadcast(elements)))
 
 
 def total(partial: DataFrame, num_rows: int, *, repeatable: bool = False) -> DataFrame:
@@ -62,8 +64,8 @@ def total(partial: DataFrame, num_rows: int, *, repeatable: bool = False) -> Dat
     return spine.join(sums, "idx", "left").select("idx", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def spmv_coo(coo: DataFrame, x: DataFrame, num_rows: int, *, size: int | None = None, repeatable: bool = False, heavy: DataFrame | None = None) -> DataFrame:
-    return total(partial_products(coo, x, size=size, heavy=heavy), num_rows, repeatable=repeatable)
+def spmv_coo(coo: DataFrame, x: DataFrame, num_rows: int, *, size: int | None = None, repeatable: bool = False, heavy: DataFrame | None = None, bound: int | None = None) -> DataFrame:
+    return total(partial_products(coo, x, size=size, heavy=heavy, bound=bound), num_rows, repeatable=repeatable)
 
 
 def segments(x: DataFrame, width: int) -> DataFrame:

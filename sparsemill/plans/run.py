@@ -115,7 +115,7 @@ def run(spark: SparkSession, c: Config, out: str, now: dt.datetime | None = None
     m, x = build(c, t), src.ramp(spark, t.m.num_cols).df.persist()
     with scope() as made:
         try:
-            plain, hybrid = (spmv.spmv_coo(e.select("row", "col", "val"), x, m.num_rows, size=m.num_cols, heavy=t.heavy) for e in (m.coo, m.hybrid.entries))
+            plain, hybrid = (spmv.spmv_coo(e.select("row", "col", "val"), x, m.num_rows, size=m.num_cols, heavy=t.heavy, bound=m.bound) for e in (m.coo, m.hybrid.entries))
             nx, ny, nz = (0, 0, 0) if c.filename else c.grid
             sinks.save_csv(matrix_info(m, c.name, nx=nx, ny=ny, nz=nz, noise=c.noise, flags=c.flags, facts=t.facts), f"{path}/matrix_info")
             sinks.save_csv(sinks.histogram_rows(convert.block_histogram(m.hybrid)), f"{path}/histogram")

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from sparsemill.functions import tasks
 from sparsemill.operators import convert, spmv
 from sparsemill.plans import registry, run
 from sparsemill.sources import shared
@@ -59,6 +60,21 @@ def test_a_product_is_made_once_an_iteration(spark, tmp_path, monkeypatch):
     assert len(groups) == 1 and set(shared._tables) == before
 
 
+def test_a_sweep_joins_where_the_vector_is_long(spark, tmp_path, monkeypatch):
+    """Entries are dealt by bound and not sorted, and the heavy columns are found once for all runs."""
+    monkeypatch.setattr(spmv, "BROADCAST_ELEMENTS", 20)
+    monkeypatch.setattr(tasks, "ROWS_A_TASK", 100)
+    found, real, plans, product = [], spmv.heavy_columns, [], spmv.spmv_coo
+    monkeypatch.setattr(spmv, "heavy_columns", lambda e: found.append(1) or real(e))
+    monkeypatch.setattr(spmv, "spmv_coo", lambda *a, **kw: plans.append(product(*a, **kw)) or plans[-1])
+    f = tmp_path / "m.mtx"
+    cells = sorted({(k * 7 % 60, k * k % 60) for k in range(900)})
+    f.write_text(f"%%MatrixMarket matrix coordinate real general\n60 60 {len(cells)}\n" + "".join(f"{r + 1} {c + 1} 2\n" for r, c in cells))
+    done = run.sweep(spark, run.Config(filename=str(f), iterations=2), str(tmp_path / "out"), (0.0,), (1, 2))
+    assert [r["passed"] for r in done] == [True, True] and [r["mismatches"] for r in done] == [0, 0]
+    assert len(found) == 1 and len(plans) == 4
+
+
 @pytest.mark.parametrize("cap", [None, 3, 40])
 def test_a_layout_of_groups_is_the_layout(spark, tmp_path, cap):
     m = registry.square(spark, "/root/testdata/sf0.001")
